@@ -116,3 +116,139 @@ def pe_by_year(spark, sf):
 def pe_percentile(spark, sf):
     y = B.yearly(spark, sf)
     return _val.valuation_position(y, order="yr", value="v")
+
+
+# ---------------------------------------------------------------- news / knowledge base
+
+from ..functions.text import md5_id  # noqa: E402
+from ..operators import joins as _joins  # noqa: E402
+from ..operators import news as _news  # noqa: E402
+from ..operators import upsert as _upsert  # noqa: E402
+from ..functions.numeric import exact_mean  # noqa: E402
+
+# Fixed value of the binding: the batch date stamped on the pages "drop".
+PAGES_BATCH_DATE = "20240101"
+
+
+@register("news_dedup")
+def news_dedup(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", "text")
+    d = _news.with_url(d, "text").withColumn("id", md5_id("text"))
+    first = _news.dedupe_first(d, "id", ["doc_id"])
+    return first.where(F.length("text") >= 20).select("id", "doc_id", F.length("text").cast("long").alias("n"))
+
+
+@register("kb_upsert")
+def kb_upsert(spark, sf):
+    d = B.table(spark, sf, "documents")
+    u = d.select(md5_id("text").alias("id"), "doc_id", "source", (F.col("doc_id") % 7).alias("batch"))
+    merged = _upsert.upsert_latest(None, u, key="id", version="batch", order=["doc_id"])
+    return merged.select("id", "doc_id", "source", "batch")
+
+
+def _news_feeds(spark, sf):
+    docs = B.table(spark, sf, "documents")
+    pages = B.table(spark, sf, "pages")
+    conv = B.table(spark, sf, "conversations")
+    day = PAGES_BATCH_DATE
+    return [
+        _news.normalise_news(docs, _news.SourceMapping(
+            source="documents", title=F.col("text"), content=F.col("text"),
+            url=F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))), day),
+        _news.normalise_news(pages, _news.SourceMapping(
+            source="pages", title=F.regexp_extract("html", "<title>(.*?)</title>", 1),
+            title_fallback=F.col("html"), content=F.col("html"), url=F.col("url")), day),
+        _news.normalise_news(conv, _news.SourceMapping(
+            source="conversations", title=F.col("text"), content=F.col("text"),
+            url=F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))), day),
+    ]
+
+
+@register("news_union")
+def news_union(spark, sf):
+    return _news.union_sources(_news_feeds(spark, sf)).select("url", "title", "source")
+
+
+@register("news_metadata")
+def news_metadata(spark, sf):
+    pages = B.table(spark, sf, "pages")
+    news = pages.select(
+        "page_id",
+        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
+        F.col("html").alias("content"),
+        F.lit(None).cast("string").alias("source"),
+        "url",
+    )
+    kb = _news.prepare_articles(news, PAGES_BATCH_DATE, order=["page_id"])
+    return kb.select(
+        "id",
+        F.col("metadata.title").alias("title"),
+        F.col("metadata.source").alias("source"),
+        F.col("metadata.date").alias("date"),
+        F.col("metadata.url").alias("url"),
+        F.length("document").cast("long").alias("n"),
+    )
+
+
+@register("semi_topk")
+def semi_topk(spark, sf):
+    o = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    totals = o.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    top = _topn.top_n(totals, "total", 20, tiebreak=("o_custkey",), cols=["o_custkey"])
+    return _joins.semi_in(o, top, "o_custkey")
+
+
+@register("new_only_anti")
+def new_only_anti(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    return _joins.new_only(d, B.table(spark, sf, "labels"), "doc_id")
+
+
+@register("sector_left_join")
+def sector_left_join(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", "lang")
+    lab = B.table(spark, sf, "labels").select("doc_id", "quality")
+    j = _joins.with_sector(d, lab, key="doc_id", dim="quality", out="quality", version=None)
+    return (j.where(F.col("quality").isNotNull()).groupBy("lang")
+            .agg(F.count(F.lit(1)).alias("n"), round_half_up(exact_mean("quality"), 4).alias("avg_quality")))
+
+
+# ---------------------------------------------------------------- vectors / embeddings
+
+from ..operators import embed as _embed  # noqa: E402
+from ..operators import vectors as _vec  # noqa: E402
+
+
+def _label_queries(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    return _vec.centroids(e, "embedding", by=["label"], out="query")
+
+
+@register("vector_topk")
+def vector_topk(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    q = _vec.centroids(e, "embedding", out="query").withColumn("qid", F.lit(0))
+    top = _vec.cosine_topk(e, q, 10, doc_id="vec_id", doc_vec="embedding", query_id="qid", query_vec="query")
+    return top.select("rank", "vec_id", "similarity")
+
+
+@register("vector_topk_many")
+def vector_topk_many(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    top = _vec.cosine_topk(e, _label_queries(spark, sf), 10, doc_id="vec_id", doc_vec="embedding",
+                           query_id="label", query_vec="query")
+    return top.select("label", "rank", "vec_id", "similarity")
+
+
+@register("vector_topk_lsh")
+def vector_topk_lsh(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    top = _vec.cosine_topk_lsh(e, _label_queries(spark, sf), 10, doc_id="vec_id", doc_vec="embedding",
+                               query_id="label", query_vec="query", bucket_length=2.0, tables=10)
+    return top.select("label", "rank", "vec_id", "similarity")
+
+
+@register("embed_hash")
+def embed_hash(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", "text")
+    return _embed.hash_embed(d, "text", dims=256).select("doc_id", "embedding")

@@ -142,3 +142,77 @@ SELECT MAX(c.cur) AS current, MAX(v) AS max, MIN(v) AS min,
        {r(msum("v") + " / COUNT(v)", 4)} AS mean,
        {r("CAST(COUNT(*) FILTER (WHERE v < c.cur) AS DOUBLE) / COUNT(*) * 100", 1)} AS percentile
 FROM yearly, c""")
+
+ORACLE["news_dedup"] = """
+WITH d AS (SELECT md5(text) AS id, doc_id, text,
+             ROW_NUMBER() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn
+           FROM documents WHERE COALESCE(text, '') <> '')
+SELECT id, doc_id, CAST(LENGTH(text) AS BIGINT) AS n FROM d WHERE rn = 1 AND LENGTH(text) >= 20"""
+
+ORACLE["kb_upsert"] = """
+WITH u AS (SELECT md5(text) AS id, doc_id, source, doc_id % 7 AS batch FROM documents),
+ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id, batch ORDER BY doc_id) AS k FROM u),
+ f AS (SELECT * FROM r WHERE k = 1),
+ l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY batch DESC) AS z FROM f)
+SELECT id, doc_id, source, batch FROM l WHERE z = 1"""
+
+ORACLE["news_union"] = """
+SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS url,
+       substr(CASE WHEN trim(text) = '' THEN NULL ELSE text END, 1, 100) AS title, 'documents' AS source
+FROM documents
+UNION ALL
+SELECT url, substr(COALESCE(CASE WHEN trim(regexp_extract(html, '<title>(.*?)</title>', 1)) = '' THEN NULL
+                               ELSE regexp_extract(html, '<title>(.*?)</title>', 1) END, html), 1, 100) AS title,
+       'pages' AS source
+FROM pages
+UNION ALL
+SELECT 'conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS url,
+       substr(CASE WHEN trim(text) = '' THEN NULL ELSE text END, 1, 100) AS title, 'conversations' AS source
+FROM conversations"""
+
+ORACLE["news_metadata"] = """
+WITH p AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, html AS content,
+                  CAST(NULL AS VARCHAR) AS source, url, md5(url) AS id
+           FROM pages WHERE COALESCE(url, '') <> ''),
+ f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY page_id) AS rn FROM p),
+ t AS (SELECT *, COALESCE(title, '') || chr(10) || COALESCE(content, '') AS document FROM f WHERE rn = 1)
+SELECT id, substr(COALESCE(title, ''), 1, 200) AS title, COALESCE(source, 'unknown') AS source,
+       '20240101' AS date, url, CAST(LENGTH(document) AS BIGINT) AS n
+FROM t WHERE LENGTH(document) >= 20"""
+
+ORACLE["semi_topk"] = """
+WITH t AS (SELECT o_custkey, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders GROUP BY o_custkey),
+ k AS (SELECT o_custkey FROM t WHERE total IS NOT NULL ORDER BY total DESC, o_custkey LIMIT 20)
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT o_custkey FROM k)"""
+
+ORACLE["new_only_anti"] = """
+SELECT doc_id, lang, source FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
+
+ORACLE["sector_left_join"] = f"""
+SELECT d.lang, COUNT(*) AS n,
+       {r("CAST(SUM(CAST(l.quality AS DECIMAL(30,8))) AS DOUBLE) / COUNT(l.quality)", 4)} AS avg_quality
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+WHERE l.quality IS NOT NULL GROUP BY d.lang"""
+
+_VEC_CTE = """
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+x AS (SELECT label, unnest(v) AS val, generate_subscripts(v, 1) AS pos FROM e)"""
+
+ORACLE["vector_topk"] = with_([_VEC_CTE, """
+c AS (SELECT pos, AVG(val) AS m FROM x GROUP BY pos),
+q AS (SELECT list(m ORDER BY pos) AS q FROM c),
+s AS (SELECT e.vec_id, 1 - list_cosine_similarity(e.v, q.q) AS dist FROM e, q),
+t AS (SELECT *, ROW_NUMBER() OVER (ORDER BY dist, vec_id) AS rk FROM s WHERE dist IS NOT NULL AND NOT isnan(dist))"""],
+f"""
+SELECT CAST(rk AS INTEGER) AS rank, vec_id, {r("GREATEST(0.0, 1 - dist)", 6)} AS similarity FROM t WHERE rk <= 10""")
+
+ORACLE["vector_topk_many"] = with_([_VEC_CTE, """
+c AS (SELECT label, pos, AVG(val) AS m FROM x GROUP BY label, pos),
+q AS (SELECT label, list(m ORDER BY pos) AS q FROM c GROUP BY label),
+s AS (SELECT q.label, e.vec_id, 1 - list_cosine_similarity(e.v, q.q) AS dist FROM e, q),
+t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY dist, vec_id) AS rk
+      FROM s WHERE dist IS NOT NULL AND NOT isnan(dist))"""],
+f"""
+SELECT label, CAST(rk AS INTEGER) AS rank, vec_id, {r("GREATEST(0.0, 1 - dist)", 6)} AS similarity
+FROM t WHERE rk <= 10""")
