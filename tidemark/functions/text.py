@@ -44,7 +44,12 @@ def fence_body(c: ColumnOrName) -> Column:
     raw = col(c)
     body = F.regexp_extract(raw, FENCE_PATTERN, 1)
     has = raw.rlike(r"(?s)```(?:json)?\s*\n?.*?\n?```")
-    return F.when(has, F.trim(body))
+    return F.when(has, strip(body))
+
+
+def strip(c: ColumnOrName) -> Column:
+    """Remove leading/trailing whitespace of any kind (not only spaces)."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 
 
 def contains_any(c: ColumnOrName, words: list[str]) -> Column:
@@ -63,4 +68,4 @@ def fmt_pct0(c: ColumnOrName) -> Column:
 
 def fmt_fixed(c: ColumnOrName, digits: int) -> Column:
     """Fixed-point text with half-up rounding on a DECIMAL."""
-    return F.format_string(f"%.{digits}f", F.round(col(c).cast("decimal(38,8)"), digits))
+    return F.format_string(f"%.{digits}f", F.round(col(c).cast("decimal(38,8)"), digits).cast("double"))

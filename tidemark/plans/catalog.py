@@ -19,6 +19,20 @@ from ..operators import rollups as _rollups
 from ..operators import topn as _topn
 from ..operators import valuation as _val
 from ..operators.clean import with_bar_return
+from ..functions.text import md5_id
+from ..operators import joins as _joins
+from ..operators import news as _news
+from ..operators import upsert as _upsert
+from ..functions.numeric import exact_mean
+from ..operators import embed as _embed
+from ..operators import vectors as _vec
+from ..functions.text import fence_body
+from ..operators import boards as _boards
+from ..operators import evaluate as _eval
+from ..operators import gather as _gather
+from ..operators import render as _render
+from ..operators import snapshot as _snap
+from ..operators import structured as _struct
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,11 +134,6 @@ def pe_percentile(spark, sf):
 
 # ---------------------------------------------------------------- news / knowledge base
 
-from ..functions.text import md5_id  # noqa: E402
-from ..operators import joins as _joins  # noqa: E402
-from ..operators import news as _news  # noqa: E402
-from ..operators import upsert as _upsert  # noqa: E402
-from ..functions.numeric import exact_mean  # noqa: E402
 
 # Fixed value of the binding: the batch date stamped on the pages "drop".
 PAGES_BATCH_DATE = "20240101"
@@ -215,8 +224,6 @@ def sector_left_join(spark, sf):
 
 # ---------------------------------------------------------------- vectors / embeddings
 
-from ..operators import embed as _embed  # noqa: E402
-from ..operators import vectors as _vec  # noqa: E402
 
 
 def _label_queries(spark, sf):
@@ -252,3 +259,212 @@ def vector_topk_lsh(spark, sf):
 def embed_hash(spark, sf):
     d = B.table(spark, sf, "documents").select("doc_id", "text")
     return _embed.hash_embed(d, "text", dims=256).select("doc_id", "embedding")
+
+
+# ---------------------------------------------------------------- structured outputs, routing, gather
+
+
+@register("fence_extract")
+def fence_extract(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", "text")
+    wrapped = F.concat(F.lit("pre ```json\n"), F.col("text"), F.lit("\n``` post"))
+    return d.select("doc_id", fence_body(wrapped).alias("body"))
+
+
+def _conversation_answers(spark, sf):
+    """Model answers derived from conversation turns: user turns are prose (not
+    JSON), assistant turns a fenced technical-analyst object whose confidence
+    is length/1000 (out of range above 1000 chars), system turns an object
+    without its required fields."""
+    c = B.table(spark, sf, "conversations")
+    conf = (F.length("text") / F.lit(1000.0)).cast("string")
+    obj = F.concat(F.lit('{"trend": "震荡", "trend_strength": "中等", "index_summary": "turn '),
+                   F.col("turn").cast("string"), F.lit('", "momentum_signals": ["a", "b"], "confidence": "'),
+                   conf, F.lit('"}'))
+    raw = (F.when(F.col("role") == "user", F.col("text"))
+           .when(F.col("role") == "assistant", F.concat(F.lit("answer:\n```json\n"), obj, F.lit("\n```")))
+           .otherwise(F.lit('{"trend": "上涨"}')))
+    return c.select("conv_id", "turn", "role", raw.alias("raw"))
+
+
+@register("structured_parse")
+def structured_parse(spark, sf):
+    parsed = _struct.parse_structured(_conversation_answers(spark, sf), "raw", "technical")
+    return parsed.select("conv_id", "turn", "status", F.col("parsed.confidence").alias("confidence"))
+
+
+@register("gather_defaults")
+def gather_defaults(spark, sf):
+    c = B.table(spark, sf, "conversations")
+    res = c.select("conv_id", "role", F.length("text").cast("long").alias("v"))
+    return _gather.gather(res, ["conv_id"], "role", "v", kinds=["user", "assistant", "system"],
+                          defaults={"system": F.lit(-1).cast("long")})
+
+
+@register("label_route")
+def label_route(spark, sf):
+    c = B.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", _gather.label_route("text", rules=[("the", "stock"), ("ou", "no_data")]).alias("label"))
+
+
+# ---------------------------------------------------------------- reports, evaluation
+
+
+def _conversation_reports(spark, sf):
+    """Reports derived from conversations: one per conversation, one section
+    per turn, user turns as highlights, system turns as disagreements."""
+    c = B.table(spark, sf, "conversations")
+    turns = c.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"),
+        F.min_by("text", "turn").alias("summary"),
+    )
+    return turns.select(
+        F.col("conv_id").cast("string").alias("report_date"),
+        "conv_id",
+        "summary",
+        F.transform("t", lambda s: F.struct(s["role"].alias("heading"), s["text"].alias("content"),
+                                            s["role"].alias("source_agent"))).alias("sections"),
+        F.lit("中性").alias("overall_sentiment"),
+        F.lit("medium").alias("risk_level"),
+        F.transform(F.filter("t", lambda s: s["role"] == "user"), lambda s: F.substring(s["text"], 1, 50)).alias("key_highlights"),
+        F.transform(F.filter("t", lambda s: s["role"] == "system"), lambda s: F.substring(s["text"], 1, 50)).alias("contradictions_resolved"),
+    )
+
+
+@register("report_quality")
+def report_quality(spark, sf):
+    rep = _conversation_reports(spark, sf)
+    q = _eval.report_quality("sections", "key_highlights", "contradictions_resolved",
+                             min_words=100, max_words=2000, min_sections=4, min_highlights=2)
+    return rep.select("conv_id", q.alias("q")).select("conv_id", "q.*")
+
+
+@register("render_report")
+def render_report(spark, sf):
+    rep = _conversation_reports(spark, sf)
+    md = _render.render_report(F.col("report_date"), F.col("summary"), F.col("sections"),
+                               F.col("overall_sentiment"), F.col("risk_level"),
+                               F.col("key_highlights"), F.col("contradictions_resolved"))
+    return rep.select("conv_id", md.alias("markdown"))
+
+
+@register("render_context")
+def render_context(spark, sf):
+    c = B.table(spark, sf, "conversations")
+    hits = c.select(
+        "conv_id",
+        (F.col("turn") + 1).alias("rank"),
+        F.col("role").alias("title"),
+        F.lit("conversations").alias("source"),
+        F.lit(None).cast("string").alias("date"),
+        (F.lit(1.0) / (F.col("turn") + 1)).alias("similarity"),
+        F.col("text").alias("document"),
+    )
+    return _render.render_context(hits, ["conv_id"])
+
+
+@register("judge_score")
+def judge_score(spark, sf):
+    e = B.table(spark, sf, "events")
+    ctx = F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("event_type"))
+    return e.select(
+        "event_id",
+        _eval.judge_score(F.col("props"), "k").alias("k_score"),
+        _eval.judge_score(F.col("props"), "score").alias("absent_score"),
+        _eval.judge_score(F.col("props"), "k", context=ctx).alias("retrieval"),
+    )
+
+
+@register("eval_overall")
+def eval_overall(spark, sf):
+    lab = B.table(spark, sf, "labels")
+    return lab.select(
+        "doc_id",
+        _eval.overall_score(F.col("quality").cast("double"), (F.lit(1) - F.col("toxic")).cast("double"),
+                            F.col("toxic") == 0).alias("overall"),
+    )
+
+
+def _risk_results(spark, sf):
+    lab = B.table(spark, sf, "labels")
+    result = F.struct(
+        F.when(F.col("toxic") == 1, F.lit("high")).otherwise(F.lit("low")).alias("overall_risk_level"),
+        (F.lit(0.15) + F.lit(0.7) * F.col("toxic")).alias("fragility_score"),
+        (F.lit(0.5) + F.lit(0.25) * F.col("quality")).alias("confidence"),
+    )
+    failed = (F.col("quality") == 0) & (F.col("toxic") == 1)
+    return lab.select("doc_id", F.lit("risk").alias("analyst"), F.when(~failed, result).alias("result"))
+
+
+@register("render_answer")
+def render_answer(spark, sf):
+    r = _risk_results(spark, sf)
+    brief = F.when(F.col("result").isNotNull(), _render.analyst_brief("risk", F.col("result")))
+    line = _render.answer_row(_render.display_name("risk"), brief, F.col("result.confidence"))
+    return r.select("doc_id", line.alias("line"))
+
+
+# ---------------------------------------------------------------- snapshot, focus text, boards
+
+
+def _snapshot(spark, sf):
+    q = B.quotes(spark, sf)
+    spot = _breadth.breadth(q)
+    pe = _val.valuation_position(B.yearly(spark, sf), order="yr", value="v")
+    gain = _topn.top_n(q, "change_pct", 20, cols=["code", "name", "change_pct"])
+    lose = _topn.top_n(q, "change_pct", 20, desc=False, cols=["code", "name", "change_pct"])
+    amt = _topn.top_n(q, "amount_num", 20, cols=["code", "name", "amount_num", "change_pct"]).select(
+        "code", "name", round_half_up("amount_num", 0).alias("amount"), "change_pct", "amount_num")
+    sectors = _rollups.rollup_by(q, "sector")
+    conc = _conc.concentration(q, "amount_num", (10, 50))
+    bars = B.bars(spark, sf)
+    idx = _rollups.range_stats(bars)
+    last = with_bar_return(bars).agg(
+        F.max_by("close", "d").alias("close"),
+        round_half_up(F.avg("change_pct"), 2).alias("avg_change_pct"),
+    )
+    idx = idx.withColumn("close", last.select("close").scalar()).withColumn(
+        "avg_change_pct", last.select("avg_change_pct").scalar())
+    pieces = {
+        "spot_summary": _snap.as_struct(spot, "spot_summary"),
+        "pe": _snap.as_struct(pe, "pe"),
+        "top_gainers": _snap.as_list(gain, "top_gainers", ["change_pct", "code"], desc=[True, False]),
+        "top_losers": _snap.as_list(lose, "top_losers", ["change_pct", "code"]),
+        "top_amount": _snap.as_list(amt, "top_amount", ["amount_num", "code"], desc=[True, False]),
+        "sector_stats": _snap.as_list(sectors, "sector_stats", ["avg_change", "sector"], desc=[True, False]),
+        "concentration": _snap.as_struct(conc, "concentration"),
+        "index_stats": _snap.as_struct(idx, "index_stats"),
+    }
+    return _snap.snapshot(pieces)
+
+
+@register("market_snapshot")
+def market_snapshot(spark, sf):
+    return _snapshot(spark, sf)
+
+
+@register("focus_text")
+def focus_text(spark, sf):
+    return _render.focus_texts(_snapshot(spark, sf), [])
+
+
+@register("search_query")
+def search_query(spark, sf):
+    s = _snapshot(spark, sf)
+    return s.select(_render.search_query(F.col("spot_summary"), F.col("top_gainers"), F.col("top_amount")).alias("query"))
+
+
+@register("sector_map_flatten")
+def sector_map_flatten(spark, sf):
+    p = B.table(spark, sf, "part")
+    boards = p.groupBy(F.col("p_brand").alias("industry")).agg(
+        F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("name"))).alias("constituents"))
+    return _boards.flatten_boards(boards)
+
+
+@register("concentration_by")
+def concentration_by(spark, sf):
+    li = B.table(spark, sf, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("amount"))
+    part = B.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("sector"))
+    lines = _joins.with_dimension(li, part, "l_partkey", how="inner")
+    return _conc.concentration(lines, "amount", (10, 50), by=["sector"])

@@ -216,3 +216,200 @@ t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY label ORDER BY dist, vec_id) AS
 f"""
 SELECT label, CAST(rk AS INTEGER) AS rank, vec_id, {r("GREATEST(0.0, 1 - dist)", 6)} AS similarity
 FROM t WHERE rk <= 10""")
+
+_FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
+_FENCE_ANY = r"(?s)```(?:json)?\s*\n?.*?\n?```"
+_STRIP = r"^\s+|\s+$"
+
+ORACLE["fence_extract"] = f"""
+WITH w AS (SELECT doc_id, 'pre ```json' || chr(10) || text || chr(10) || '``` post' AS w FROM documents)
+SELECT doc_id,
+  CASE WHEN regexp_matches(w, '{_FENCE_ANY}')
+       THEN regexp_replace(regexp_extract(w, '{_FENCE}', 1), '{_STRIP}', '', 'g') END AS body
+FROM w"""
+
+ORACLE["structured_parse"] = """
+WITH c AS (SELECT conv_id, turn, role, CAST(LENGTH(text) AS DOUBLE) / 1000.0 AS conf FROM conversations)
+SELECT conv_id, turn,
+  CASE WHEN role = 'user' THEN 'not_json'
+       WHEN role = 'assistant' THEN CASE WHEN conf BETWEEN 0 AND 1 THEN 'ok' ELSE 'range' END
+       ELSE 'missing' END AS status,
+  CASE WHEN role = 'assistant' AND conf BETWEEN 0 AND 1 THEN conf END AS confidence
+FROM c"""
+
+ORACLE["gather_defaults"] = """
+SELECT conv_id,
+  MAX(CASE WHEN role = 'user' THEN CAST(LENGTH(text) AS BIGINT) END) AS "user",
+  MAX(CASE WHEN role = 'assistant' THEN CAST(LENGTH(text) AS BIGINT) END) AS assistant,
+  COALESCE(MAX(CASE WHEN role = 'system' THEN CAST(LENGTH(text) AS BIGINT) END), CAST(-1 AS BIGINT)) AS system
+FROM conversations GROUP BY conv_id"""
+
+ORACLE["label_route"] = """
+SELECT conv_id, turn,
+  CASE WHEN text IS NULL THEN 'stock'
+       WHEN contains(lower(trim(text)), 'the') THEN 'stock'
+       WHEN contains(lower(trim(text)), 'ou') THEN 'no_data'
+       ELSE 'off_topic' END AS label
+FROM conversations"""
+
+ORACLE["report_quality"] = """
+WITH a AS (
+  SELECT conv_id, CAST(SUM(LENGTH(COALESCE(text, '')) + 1) AS BIGINT) AS word_count,
+         COUNT(*) AS section_count,
+         COUNT(*) FILTER (WHERE role = 'user') AS hl,
+         COUNT(*) FILTER (WHERE role = 'system') AS ct,
+         string_agg(COALESCE(text, '') || chr(10), '' ORDER BY turn) AS body
+  FROM conversations GROUP BY conv_id)
+SELECT conv_id, word_count, section_count, hl >= 2 AS has_highlights, ct > 0 AS has_contradictions,
+  (contains(body, '新闻') OR contains(body, '报道') OR contains(body, '消息') OR contains(body, 'RAG')) AS cites_news,
+  (word_count BETWEEN 100 AND 2000 AND section_count >= 4 AND hl >= 2) AS pass
+FROM a"""
+
+ORACLE["render_report"] = """
+WITH sec AS (
+  SELECT conv_id,
+    string_agg('## ' || role || chr(10) || chr(10) || text || chr(10) || chr(10) || '*(' || role || ' 提供)*' || chr(10),
+               chr(10) ORDER BY turn) AS md,
+    arg_min(text, turn) AS summary
+  FROM conversations GROUP BY conv_id),
+ hl AS (SELECT conv_id, string_agg('- ' || substr(text, 1, 50), chr(10) ORDER BY turn) AS md
+        FROM conversations WHERE role = 'user' GROUP BY conv_id),
+ ct AS (SELECT conv_id, string_agg('- ' || substr(text, 1, 50), chr(10) ORDER BY turn) AS md
+        FROM conversations WHERE role = 'system' GROUP BY conv_id)
+SELECT sec.conv_id, concat_ws(chr(10),
+    '# A股市场日报 (' || CAST(sec.conv_id AS VARCHAR) || ')', '',
+    '> **综合判断**: 中性 | **风险等级**: medium', '',
+    '## 摘要', '', sec.summary, '',
+    sec.md,
+    '## 关键要点', '',
+    hl.md, '',
+    CASE WHEN ct.md IS NOT NULL THEN concat_ws(chr(10), '## 分析师分歧说明', '', ct.md, '') END,
+    '---', '*报告由多智能体系统自动生成*') AS markdown
+FROM sec LEFT JOIN hl ON sec.conv_id = hl.conv_id LEFT JOIN ct ON sec.conv_id = ct.conv_id"""
+
+
+def pct0(expr: str) -> str:
+    return f"(printf('%.0f', CAST(ROUND(CAST({expr} AS DECIMAL(38,8)) * 100, 0) AS DOUBLE)) || '%')"
+
+
+ORACLE["render_context"] = f"""
+WITH h AS (
+  SELECT conv_id, turn,
+    '---' || chr(10) || '【' || CAST(turn + 1 AS VARCHAR) || '】' || COALESCE(role, '无标题') || chr(10)
+    || '来源: conversations | 日期: ? | 相关度: ' || {pct0("CAST(1.0 AS DOUBLE) / (turn + 1)")} || chr(10)
+    || substr(COALESCE(text, ''), 1, 300) AS line
+  FROM conversations)
+SELECT conv_id,
+  '以下是通过 RAG 检索到的 ' || CAST(COUNT(*) AS VARCHAR) || ' 条相关财经新闻：' || chr(10) || chr(10)
+  || string_agg(line, chr(10) ORDER BY turn) AS context
+FROM h GROUP BY conv_id"""
+
+_K = "COALESCE(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), CAST(0.5 AS DOUBLE))"
+ORACLE["judge_score"] = f"""
+SELECT event_id, {_K} AS k_score,
+  COALESCE(TRY_CAST(json_extract_string(props, '$.score') AS DOUBLE), CAST(0.5 AS DOUBLE)) AS absent_score,
+  CASE WHEN event_type = 'error' THEN CAST(0.0 AS DOUBLE) ELSE {_K} END AS retrieval
+FROM events"""
+
+ORACLE["eval_overall"] = f"""
+SELECT doc_id, {r("CAST(0.25 AS DOUBLE) * quality + CAST(0.25 AS DOUBLE) * (1 - toxic) + CAST(0.5 AS DOUBLE) * (CASE WHEN toxic = 0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END)", 2)} AS overall
+FROM labels"""
+
+ORACLE["render_answer"] = f"""
+SELECT doc_id,
+  CASE WHEN quality = 0 AND toxic = 1 THEN '| ⚠️ 风险分析师 | ❌ 分析失败 | - |'
+       ELSE '| ⚠️ 风险分析师 | 风险' || CASE WHEN toxic = 1 THEN 'high' ELSE 'low' END || '，脆弱度'
+            || {pct0("CAST(0.15 AS DOUBLE) + CAST(0.7 AS DOUBLE) * toxic")} || ' | '
+            || {pct0("CAST(0.5 AS DOUBLE) + CAST(0.25 AS DOUBLE) * quality")} || ' |' END AS line
+FROM labels"""
+
+ORACLE["sector_map_flatten"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS code, p_name AS name, p_brand AS industry FROM part"""
+
+ORACLE["concentration_by"] = f"""
+WITH l AS (SELECT p.p_brand AS sector, li.l_extendedprice AS amount
+           FROM lineitem li JOIN part p ON li.l_partkey = p.p_partkey),
+ rk AS (SELECT sector, amount, ROW_NUMBER() OVER (PARTITION BY sector ORDER BY amount DESC) AS rn
+        FROM l WHERE amount IS NOT NULL),
+ t AS (SELECT sector, {msum("amount")} AS total FROM l GROUP BY sector),
+ s AS (SELECT sector,
+         CAST(SUM(CASE WHEN rn <= 10 THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE) AS s10,
+         CAST(SUM(CASE WHEN rn <= 50 THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE) AS s50
+       FROM rk WHERE rn <= 50 GROUP BY sector)
+SELECT t.sector,
+  CASE WHEN total > 0 THEN {r("COALESCE(s10, 0.0) / total * 100", 2)} ELSE 0.0 END AS top10_pct,
+  CASE WHEN total > 0 THEN {r("COALESCE(s50, 0.0) / total * 100", 2)} ELSE 0.0 END AS top50_pct
+FROM t LEFT JOIN s ON t.sector = s.sector"""
+
+
+def fx(expr: str, d: int) -> str:
+    return f"printf('%.{d}f', {r(expr, d)})"
+
+
+ORACLE["focus_text"] = with_([QUOTES_CTE, BARS_CTE, YEARLY_CTE, f"""
+spot AS (SELECT COUNT(*) FILTER (WHERE change_pct > 0) AS up_count,
+       COUNT(*) FILTER (WHERE change_pct < 0) AS down_count,
+       COUNT(*) FILTER (WHERE change_pct = 0) AS flat_count,
+       {r("CAST(SUM(CAST(change_pct AS DECIMAL(30,8))) AS DOUBLE) / COUNT(change_pct)", 4)} AS avg_change_pct,
+       {r("STDDEV_SAMP(change_pct)", 4)} AS std_change_pct
+  FROM quotes)""", "c AS (SELECT max_by(v, yr) AS cur FROM yearly)", f"""
+pe AS (SELECT MAX(c.cur) AS current, MAX(v) AS max, MIN(v) AS min,
+       {r(msum("v") + " / COUNT(v)", 4)} AS mean,
+       {r("CAST(COUNT(*) FILTER (WHERE v < c.cur) AS DOUBLE) / COUNT(*) * 100", 1)} AS percentile
+  FROM yearly, c)""", f"""
+tot AS (SELECT {msum("amount_num")} AS total FROM quotes)""", """
+srk AS (SELECT
+    CAST(SUM(CAST(amount_num AS DECIMAL(18,2))) FILTER (WHERE rn <= 10) AS DOUBLE) AS s10,
+    CAST(SUM(CAST(amount_num AS DECIMAL(18,2))) FILTER (WHERE rn <= 50) AS DOUBLE) AS s50
+  FROM (SELECT amount_num, ROW_NUMBER() OVER (ORDER BY amount_num DESC) AS rn
+        FROM quotes WHERE amount_num IS NOT NULL) z)""", f"""
+conc AS (SELECT CASE WHEN total > 0 THEN {r("s10 / total * 100", 2)} ELSE 0.0 END AS top10_pct,
+       CASE WHEN total > 0 THEN {r("s50 / total * 100", 2)} ELSE 0.0 END AS top50_pct FROM srk, tot)""", f"""
+idx AS (SELECT {r("MIN(close)", 2)} AS close_min, {r("MAX(close)", 2)} AS close_max,
+       max_by(close, d) AS close,
+       {r("AVG(CASE WHEN open <> 0 THEN (close - open) / open * 100 END)", 2)} AS avg_change_pct
+  FROM bars)""", f"""
+ta AS (SELECT code, name, {r("amount_num", 0)} AS amount, change_pct, amount_num FROM quotes
+  WHERE amount_num IS NOT NULL ORDER BY amount_num DESC, code LIMIT 10)""", f"""
+ss AS (SELECT * FROM (SELECT sector,
+         {r("CAST(SUM(CAST(change_pct AS DECIMAL(30,8))) AS DOUBLE) / COUNT(change_pct)", 2)} AS avg_change,
+         {r(msum("amount_num"), 0)} AS total_amount
+       FROM quotes WHERE sector IS NOT NULL GROUP BY sector) x ORDER BY avg_change DESC, sector LIMIT 8)""", """
+tl AS (SELECT code, name, change_pct FROM quotes WHERE change_pct IS NOT NULL ORDER BY change_pct, code LIMIT 20)""", """
+bl AS (SELECT *, ROW_NUMBER() OVER (ORDER BY change_pct, code) AS k FROM tl WHERE ABS(change_pct) > 5)"""],
+f"""
+SELECT 'macro' AS analyst,
+  chr(10) || 'PE 估值数据：' || chr(10) || '  当前 PE: ' || CAST(pe.current AS VARCHAR) || chr(10)
+  || '  历史最高: ' || CAST(pe.max AS VARCHAR) || chr(10) || '  历史最低: ' || CAST(pe.min AS VARCHAR) || chr(10)
+  || '  历史均值: ' || CAST(pe.mean AS VARCHAR) || chr(10) || '  当前分位数: ' || CAST(pe.percentile AS VARCHAR) || '%'
+  || chr(10) || chr(10) || '市场广度数据：' || chr(10) || '  上涨: ' || CAST(spot.up_count AS VARCHAR) || ' 只' || chr(10)
+  || '  下跌: ' || CAST(spot.down_count AS VARCHAR) || ' 只' || chr(10) || '  平盘: ' || CAST(spot.flat_count AS VARCHAR)
+  || ' 只' || chr(10) || '  平均涨跌幅: ' || CAST(spot.avg_change_pct AS VARCHAR) || '%' || chr(10) AS focus
+FROM pe, spot
+UNION ALL
+SELECT 'technical',
+  chr(10) || '沪深300 指数数据：' || chr(10) || '  收盘价: ' || CAST(idx.close AS VARCHAR) || chr(10)
+  || '  区间最低: ' || CAST(idx.close_min AS VARCHAR) || chr(10) || '  区间最高: ' || CAST(idx.close_max AS VARCHAR)
+  || chr(10) || '  区间平均涨跌幅: ' || CAST(idx.avg_change_pct AS VARCHAR) || '%' || chr(10) || chr(10)
+  || '市场整体涨跌幅分布标准差: ' || CAST(spot.std_change_pct AS VARCHAR) || chr(10)
+FROM idx, spot
+UNION ALL
+SELECT 'fund_flow',
+  chr(10) || '成交额 TOP 10 个股：' || chr(10)
+  || (SELECT string_agg('  ' || CAST(code AS VARCHAR) || ' ' || name || ' 成交额' || {fx("amount", 0)} || '元 涨跌幅'
+                        || {fx("change_pct", 2)} || '%', chr(10) ORDER BY amount_num DESC, code) FROM ta)
+  || chr(10) || chr(10) || '板块资金流向：' || chr(10)
+  || (SELECT string_agg('  ' || sector || ' 平均涨跌幅' || {fx("avg_change", 2)} || '% 总成交额' || {fx("total_amount", 0)}
+                        || '元', chr(10) ORDER BY avg_change DESC, sector) FROM ss)
+  || chr(10) || chr(10) || '成交集中度：' || chr(10) || '  Top10 成交额占比: ' || CAST(conc.top10_pct AS VARCHAR) || '%'
+  || chr(10) || '  Top50 成交额占比: ' || CAST(conc.top50_pct AS VARCHAR) || '%' || chr(10)
+FROM conc
+UNION ALL
+SELECT 'risk',
+  chr(10) || '风险相关数据：' || chr(10) || '  全市场涨跌幅标准差: ' || CAST(spot.std_change_pct AS VARCHAR) || chr(10)
+  || '  成交集中度 Top10: ' || CAST(conc.top10_pct AS VARCHAR) || '%' || chr(10)
+  || '  成交集中度 Top50: ' || CAST(conc.top50_pct AS VARCHAR) || '%' || chr(10) || chr(10)
+  || '跌幅超 5% 个股数: ' || CAST((SELECT COUNT(*) FROM bl) AS VARCHAR) || ' 只' || chr(10) || '跌幅前 5:' || chr(10)
+  || COALESCE((SELECT string_agg('  ' || CAST(code AS VARCHAR) || ' ' || name || ' 跌幅 ' || {fx("change_pct", 2)} || '%',
+                                 chr(10) ORDER BY k) FROM bl WHERE k <= 5), '  (无)') || chr(10)
+FROM spot, conc""")
