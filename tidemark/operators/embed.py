@@ -18,23 +18,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hash_embed(df: DataFrame, text: str, out: str = "embedding", dims: int = 1536, n: int = 3) -> DataFrame:
-    """Unit-normalised hashed character n-grams; a text shorter than n chars
-    (or null) gets an all-zero vector, which retrieval never returns."""
+def hash_embed(df: DataFrame, text: str, out: str = "embedding", dims: int = 1536, n: int = 3,
+               unit: str = "word") -> DataFrame:
+    """Unit-normalised hashed n-gram features.
+
+    ``unit="word"``: lower-cased word unigrams plus word bigrams (cheap: one
+    token per word).  ``unit="char"``: character n-grams of length ``n``
+    (robust to spelling, but one token per character).  A text with no token
+    (null, blank) gets an all-zero vector, which retrieval never returns.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import HashingTF, NGram, Normalizer
+    from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    chars = F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col(text), ""))
-    staged = df.withColumn("_chars", chars)
-    pipe = Pipeline(stages=[
-        NGram(n=n, inputCol="_chars", outputCol="_grams"),
-        HashingTF(numFeatures=dims, inputCol="_grams", outputCol="_tf"),
+    staged = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    if unit == "word":
+        stages = [
+            RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"[\p{L}\p{N}]+", gaps=False, toLowercase=True),
+            NGram(n=2, inputCol="_w", outputCol="_b"),
+        ]
+        tokens = F.concat(F.col("_w"), F.col("_b"))
+    elif unit == "char":
+        staged = staged.withColumn("_w", F.split(F.col("_t"), ""))
+        stages = [NGram(n=n, inputCol="_w", outputCol="_b")]
+        tokens = F.col("_b")
+    else:
+        raise ValueError(f"unknown unit {unit!r}")
+    grams = Pipeline(stages=stages).fit(staged.limit(0)).transform(staged)
+    grams = grams.withColumn("_g", tokens)
+    tail = Pipeline(stages=[
+        HashingTF(numFeatures=dims, inputCol="_g", outputCol="_tf"),
         Normalizer(p=2.0, inputCol="_tf", outputCol="_unit"),
-    ])
-    model = pipe.fit(staged.limit(0))
-    res = model.transform(staged)
-    return res.withColumn(out, vector_to_array("_unit", "float32")).drop("_chars", "_grams", "_tf", "_unit")
+    ]).fit(grams.limit(0))
+    res = tail.transform(grams)
+    drop = [c for c in ["_t", "_w", "_b", "_g", "_tf", "_unit"] if c in res.columns]
+    return res.withColumn(out, vector_to_array("_unit", "float32")).drop(*drop)
 
 
 def embed_with(df: DataFrame, text: str, fn: Callable[[list[str]], Sequence[Sequence[float]]],

@@ -468,3 +468,33 @@ def concentration_by(spark, sf):
     part = B.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("sector"))
     lines = _joins.with_dimension(li, part, "l_partkey", how="inner")
     return _conc.concentration(lines, "amount", (10, 50), by=["sector"])
+
+
+# ---------------------------------------------------------------- retrieval end to end, prompts
+
+from .. import schemas as _schemas  # noqa: E402
+from . import retrieval as _retrieval  # noqa: E402
+
+
+def _knowledge_base(spark, sf):
+    d = B.table(spark, sf, "documents")
+    news = d.select("doc_id", F.substring("text", 1, 100).alias("title"), F.col("text").alias("content"),
+                    "source", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"))
+    kb = _news.prepare_articles(news, PAGES_BATCH_DATE, order=["doc_id"])
+    return _embed.hash_embed(kb, "document", dims=512)
+
+
+@register("retrieve_context")
+def retrieve_context(spark, sf):
+    s = _snapshot(spark, sf)
+    q = s.select(F.lit(0).alias("qid"), _render.search_query(F.col("spot_summary"), F.col("top_gainers"),
+                                                             F.col("top_amount")).alias("query"))
+    return _retrieval.retrieve(_knowledge_base(spark, sf), q, lambda df, c: _embed.hash_embed(df, c, dims=512), k=10)
+
+
+@register("analyst_prompts")
+def analyst_prompts(spark, sf):
+    focus = _render.focus_texts(_snapshot(spark, sf), []).withColumn("qid", F.lit(0))
+    ctx = retrieve_context(spark, sf)
+    systems = {k: f"{k} analyst" for k in _schemas.ANALYSTS}
+    return _retrieval.build_prompts(focus, ctx, ["qid"], systems, _schemas.ANALYST_SCHEMAS)
