@@ -128,6 +128,9 @@ def prepare_articles(news: DataFrame, batch_date: Column | str, order: Sequence[
     first article per md5(url), only then drop texts shorter than 20 chars.
     """
     has_date = "date" in news.columns
+    for c in ("title", "content", "source"):
+        if c not in news.columns:
+            news = news.withColumn(c, F.lit(None).cast("string"))
     n = with_url(news, key_col).withColumn("id", md5_id(key_col))
     first = dedupe_first(n, "id", order)
     text = article_text()
