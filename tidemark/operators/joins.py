@@ -79,8 +79,14 @@ def unmatched_count(joined: DataFrame, dim_col: str) -> DataFrame:
     return joined.agg(F.count_if(F.col(dim_col).isNull()).cast("long").alias("unmatched"))
 
 
-def semi_in(facts: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Rows of ``facts`` whose key is in ``keys``."""
+def semi_in(facts: DataFrame, keys: DataFrame, on: str | Sequence[str], known_rows: int | None = None) -> DataFrame:
+    """Rows of ``facts`` whose key is in ``keys``.
+
+    ``known_rows``: an upper bound the caller can prove by construction (e.g.
+    the output of a top-n); it skips the row check.
+    """
+    if known_rows is not None and known_rows <= broadcast_bound(keys):
+        return facts.join(F.broadcast(keys), on, "left_semi")
     side, _ = bounded_broadcast(keys)
     return facts.join(side, on, "left_semi")
 

@@ -204,7 +204,7 @@ def semi_topk(spark, sf):
     o = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     totals = o.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
     top = _topn.top_n(totals, "total", 20, tiebreak=("o_custkey",), cols=["o_custkey"])
-    return _joins.semi_in(o, top, "o_custkey")
+    return _joins.semi_in(o, top, "o_custkey", known_rows=20)
 
 
 @register("new_only_anti")

@@ -48,6 +48,28 @@ def daily_results(quotes_raw: DataFrame, bars: DataFrame, valuation: DataFrame,
     return out
 
 
+def run_daily(spark, raw_dir: str, out_dir: str, pooled: bool = False, fmt: str = "parquet") -> dict[str, str]:
+    """Land -> clean once -> nine result tables written under ``out_dir``.
+
+    Reads ``{raw_dir}/a_spot/*.csv``, ``a_hist``, ``market_pe`` and the
+    optional ``industry`` map.  The raw quotes are written once as a table in
+    the shared checkpoint folder, so the nine results read that table instead
+    of re-parsing CSV nine times.  Returns {table: path}.
+    """
+    from ..session import materialize
+    from ..sinks.writers import write_results
+    from ..sources.market import read_bars, read_quotes, read_sector_map, read_valuation
+
+    raw = raw_dir.rstrip("/")
+    quotes = materialize(read_quotes(spark, f"{raw}/a_spot/*.csv"), "daily-quotes")
+    tables = daily_results(
+        quotes, read_bars(spark, f"{raw}/a_hist/*.csv"), read_valuation(spark, f"{raw}/market_pe/*.csv"),
+        read_sector_map(spark, f"{raw}/industry/*.csv"), pooled=pooled)
+    by_date = None if pooled else "trade_date"
+    write_results(tables, out_dir, fmt=fmt, partition_by=by_date)
+    return {k: f"{out_dir.rstrip('/')}/{k}" for k in tables}
+
+
 def index_extras(bars: DataFrame) -> DataFrame:
     """Last close and mean bar return, which the technical text asks for."""
     b = with_bar_return(bars)

@@ -55,3 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a lineage-cutting table, inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read
+    it back: cuts the lineage (a lost executor re-reads files instead of
+    recomputing the inputs) and lets several result tables share one scan."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
