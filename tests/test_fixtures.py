@@ -201,7 +201,8 @@ def test_t5_f18_cosine_cases(spark):
     assert got == {1: 1.0, 2: 0.0, 3: 0.0}
 
 
-def test_t5_matches_brute_force_with_ties(spark):
+@pytest.mark.parametrize("broadcast_elements", [0, 10_000_000])
+def test_t5_matches_brute_force_with_ties(spark, broadcast_elements):
     import numpy as np
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8)).astype("float32")
@@ -210,7 +211,7 @@ def test_t5_matches_brute_force_with_ties(spark):
     qs = rng.normal(size=(3, 8))
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "qid int, query array<double>")
     got = {}
-    for r in vectors.cosine_topk(docs, q, 7, block_rows=10).collect():
+    for r in vectors.cosine_topk(docs, q, 7, block_rows=10, broadcast_elements=broadcast_elements).collect():
         got.setdefault(r.qid, []).append((r.rank, r.doc_id))
     V = vecs.astype("float64")
     for i, qq in enumerate(qs):

@@ -1,12 +1,17 @@
 """Cosine top-k retrieval (T5 exact, T6 approximate, F18).
 
 Exact search scores every (query, document) pair - that is what "exact" means -
-but never materialises the pairs as rows.  Documents are hashed into blocks,
-queries into query blocks, and each (query block, document block) cell is one
-cogroup task that multiplies the two matrices with NumPy and keeps only the k
-best documents per query.  A final row_number() <= k per query (partial
-WindowGroupLimit) merges the cells.  Nothing passes through the driver, no
-side is broadcast, and the block sizes bound task memory at any corpus size.
+but never materialises the pairs as rows.  Two physical strategies:
+
+* small query set (size-checked): the queries are broadcast and each document
+  partition is scored in place with NumPy, keeping the k best per query; the
+  corpus is never shuffled.
+* large query set: documents are hashed into blocks, queries into query
+  blocks, and each (query block, document block) cell is one cogroup task;
+  the block sizes bound task memory at any corpus or query-set size.
+
+Either way a final row_number() <= k per query (partial WindowGroupLimit)
+merges the partial lists.
 """
 
 from __future__ import annotations
@@ -22,44 +27,63 @@ from ..functions.numeric import round_half_up
 from ..functions.vectors import cosine_distance, l2_normalise, similarity_from_distance
 
 DEFAULT_BLOCK_ROWS = 20_000
+# Query sets up to this many vector elements (rows x dims, 8 bytes each on
+# executors) are shipped to every task instead of shuffling the corpus.
+DEFAULT_BROADCAST_QUERY_ELEMENTS = 32_000_000
 
 
 def _top_cells(k: int, qid_type: str):
+    empty = pd.DataFrame({"qid": pd.Series([], dtype=object), "doc_id": pd.Series([], dtype="int64"),
+                          "dist": pd.Series([], dtype="float64")})
+
     def fn(docs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or qs.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype=object), "doc_id": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
+            return empty
         D = np.stack(docs["v"].to_numpy()).astype(np.float64)
         Q = np.stack(qs["q"].to_numpy()).astype(np.float64)
-        dn = np.sqrt(np.einsum("ij,ij->i", D, D))
-        qn = np.sqrt(np.einsum("ij,ij->i", Q, Q))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sim = (Q @ D.T) / np.outer(qn, dn)
-        dist = 1.0 - sim
-        ids = docs["doc_id"].to_numpy()
-        out_q, out_d, out_v = [], [], []
-        for i, qid in enumerate(qs["qid"].to_numpy()):
-            row = dist[i]
-            ok = np.isfinite(row)
-            if not ok.any():
-                continue
-            cand = np.flatnonzero(ok)
-            if cand.size > k:
-                kth = np.partition(row[cand], k - 1)[k - 1]
-                cand = cand[row[cand] <= kth]  # keeps every tie at the boundary
-            order = np.lexsort((ids[cand], row[cand]))[:k]
-            sel = cand[order]
-            out_q.extend([qid] * len(sel))
-            out_d.append(ids[sel])
-            out_v.append(row[sel])
-        if not out_q:
-            return pd.DataFrame({"qid": pd.Series([], dtype=object), "doc_id": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        return pd.DataFrame({"qid": out_q, "doc_id": np.concatenate(out_d).astype("int64"),
-                             "dist": np.concatenate(out_v)})
+        oq, od, ov = _best_k(D, docs["doc_id"].to_numpy(), Q, qs["qid"].to_numpy(), k)
+        if not oq:
+            return empty
+        return pd.DataFrame({"qid": oq, "doc_id": np.concatenate(od).astype("int64"), "dist": np.concatenate(ov)})
     return fn
 
 
+def _best_k(D: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids, k: int):
+    """Per query, the k smallest cosine distances among the rows of D (ties by id)."""
+    dn = np.sqrt(np.einsum("ij,ij->i", D, D))
+    qn = np.sqrt(np.einsum("ij,ij->i", Q, Q))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dist = 1.0 - (Q @ D.T) / np.outer(qn, dn)
+    out_q, out_d, out_v = [], [], []
+    for i, qid in enumerate(qids):
+        row = dist[i]
+        cand = np.flatnonzero(np.isfinite(row))
+        if cand.size == 0:
+            continue
+        if cand.size > k:
+            kth = np.partition(row[cand], k - 1)[k - 1]
+            cand = cand[row[cand] <= kth]
+        sel = cand[np.lexsort((ids[cand], row[cand]))[:k]]
+        out_q.extend([qid] * len(sel))
+        out_d.append(ids[sel])
+        out_v.append(row[sel])
+    return out_q, out_d, out_v
+
+
+def _score_partitions(bq, k: int, qid_type: str):
+    def run(frames):
+        qids, Q = bq.value
+        for pdf in frames:
+            if pdf.empty or len(qids) == 0:
+                continue
+            D = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            ids = pdf["doc_id"].to_numpy()
+            oq, od, ov = _best_k(D, ids, Q, qids, k)
+            if oq:
+                yield pd.DataFrame({"qid": oq, "doc_id": np.concatenate(od).astype("int64"), "dist": np.concatenate(ov)})
+    return run
+
+
 def _blocks(df: DataFrame, rows_per_block: int) -> int:
     n = df.count()
     return max(1, math.ceil(n / rows_per_block))
@@ -68,16 +92,33 @@ def _blocks(df: DataFrame, rows_per_block: int) -> int:
 def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 10, *,
                 doc_id: str = "doc_id", doc_vec: str = "embedding",
                 query_id: str = "qid", query_vec: str = "query",
-                block_rows: int = DEFAULT_BLOCK_ROWS, digits: int = 6) -> DataFrame:
+                block_rows: int = DEFAULT_BLOCK_ROWS, digits: int = 6,
+                broadcast_elements: int = DEFAULT_BROADCAST_QUERY_ELEMENTS) -> DataFrame:
     """Exact k nearest documents per query by cosine distance.
 
     Output: qid, doc_id, rank (1..k), distance, similarity = max(0, 1-distance)
     rounded to ``digits``.  Ties are broken by doc_id.  Documents (or queries)
     with a zero-length vector have no distance and never appear.
+
+    Strategy: when the query set is provably small (rows x dims at most
+    ``broadcast_elements``, checked with a LIMIT) it is broadcast and every
+    document partition is scored in place - the corpus is never shuffled.
+    Otherwise the (query block x document block) cogroup grid is used.
     """
+    qid_type = dict(queries.dtypes)[query_id]
+    q_small = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("q"))
+    dims_row = q_small.select(F.size("q").alias("n")).where("n > 0").limit(1).collect()
+    dims = dims_row[0].n if dims_row else 1
+    max_q = max(1, broadcast_elements // max(dims, 1))
+    if q_small.limit(max_q + 1).count() <= max_q:
+        local = q_small.toPandas()
+        Q = np.stack(local["q"].to_numpy()).astype(np.float64) if len(local) else np.zeros((0, dims))
+        bq = docs.sparkSession.sparkContext.broadcast((local["qid"].tolist(), Q))
+        d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_vec).alias("v"))
+        cells = d.mapInPandas(_score_partitions(bq, k, qid_type), f"qid {qid_type}, doc_id long, dist double")
+        return _merge(cells, k, query_id, doc_id, digits)
     db = _blocks(docs, block_rows)
     qb = _blocks(queries, block_rows)
-    qid_type = dict(queries.dtypes)[query_id]
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_vec).alias("v"))
     d = d.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(db)).cast("int"))
     d = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
@@ -89,6 +130,11 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 10, *,
         .cogroup(q.groupBy("qb", "db"))
         .applyInPandas(_top_cells(k, qid_type), f"qid {qid_type}, doc_id long, dist double")
     )
+    return _merge(cells, k, query_id, doc_id, digits)
+
+
+def _merge(cells: DataFrame, k: int, query_id: str, doc_id: str, digits: int) -> DataFrame:
+    """Final top-k per query over the partial top-k lists (partial WindowGroupLimit)."""
     w = Window.partitionBy("qid").orderBy(F.col("dist").asc(), F.col("doc_id").asc())
     top = cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(
