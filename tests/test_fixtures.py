@@ -321,3 +321,19 @@ def test_c9_context_format(spark):
                                  "qid int, rank int, title string, source string, date string, similarity double, document string")
     c = render.render_context(hits, ["qid"]).collect()[0].context
     assert c == "以下是通过 RAG 检索到的 1 条相关财经新闻：\n\n---\n【1】T\n来源: S | 日期: D | 相关度: 83%\ndoc"
+
+
+def test_c10_long_form_equals_array_form(spark):
+    rows = [("r", "x" * 99, i < 3) for i in range(4)]
+    df = spark.createDataFrame(rows, "rid string, content string, hl boolean")
+    q = evaluate.report_quality_rows(df, ["rid"], is_highlight=F.col("hl")).collect()[0]
+    assert q.word_count == 400 and q["pass"] and not q.cites_news
+
+
+def test_f17_dates(spark):
+    from tidemark.functions.dates import compact_date, history_start, parse_compact
+    df = spark.createDataFrame([("20240301",), ("bad",)], "d string")
+    rows = df.select(parse_compact("d").alias("p")).select(
+        "p", compact_date("p").alias("c"), history_start("p").alias("h")).collect()
+    assert rows[0].c == "20240301" and str(rows[0].h) == "2023-03-02"
+    assert rows[1].p is None

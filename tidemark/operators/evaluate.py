@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_up
@@ -43,6 +43,32 @@ def report_quality(sections: Column, highlights: Column, contradictions: Column,
     )
 
 
+def report_quality_rows(sections: DataFrame, key: list[str], content: str = "content",
+                        is_highlight: Column | None = None, is_contradiction: Column | None = None,
+                        min_words: int = MIN_WORDS, max_words: int = MAX_WORDS,
+                        min_sections: int = MIN_SECTIONS, min_highlights: int = MIN_HIGHLIGHTS,
+                        keywords: list[str] = NEWS_KEYWORDS) -> DataFrame:
+    """The same checks over one row per section (long form), as plain
+    aggregates: nothing is collected per report, so report size is not bounded
+    by task memory.  Highlights / disagreements are flagged rows."""
+    hl = is_highlight if is_highlight is not None else F.lit(False)
+    ct = is_contradiction if is_contradiction is not None else F.lit(False)
+    c = F.coalesce(F.col(content), F.lit(""))
+    g = sections.groupBy(*key).agg(
+        F.sum(F.length(c) + 1).cast("long").alias("word_count"),
+        F.count(F.lit(1)).alias("section_count"),
+        F.count_if(hl).alias("_hl"),
+        F.count_if(ct).alias("_ct"),
+        F.max(contains_any(c, keywords)).alias("cites_news"),
+    )
+    has_hl = F.col("_hl") >= min_highlights
+    return g.select(
+        *key, "word_count", "section_count", has_hl.alias("has_highlights"),
+        (F.col("_ct") > 0).alias("has_contradictions"), "cites_news",
+        (F.col("word_count").between(min_words, max_words) & (F.col("section_count") >= min_sections) & has_hl).alias("pass"),
+    )
+
+
 def judge_score(raw: Column, field: str = "score", context: Column | None = None,
                 default: float = JUDGE_DEFAULT) -> Column:
     """A judge's JSON answer -> score.  Lax: "0.8" counts as 0.8.  Missing field,

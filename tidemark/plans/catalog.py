@@ -333,10 +333,10 @@ def _conversation_reports(spark, sf):
 
 @register("report_quality")
 def report_quality(spark, sf):
-    rep = _conversation_reports(spark, sf)
-    q = _eval.report_quality("sections", "key_highlights", "contradictions_resolved",
-                             min_words=100, max_words=2000, min_sections=4, min_highlights=2)
-    return rep.select("conv_id", q.alias("q")).select("conv_id", "q.*")
+    c = B.table(spark, sf, "conversations").select("conv_id", F.col("text").alias("content"), "role")
+    return _eval.report_quality_rows(c, ["conv_id"], "content", is_highlight=F.col("role") == "user",
+                                     is_contradiction=F.col("role") == "system",
+                                     min_words=100, max_words=2000, min_sections=4, min_highlights=2)
 
 
 @register("render_report")
