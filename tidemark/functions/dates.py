@@ -19,7 +19,7 @@ def compact_date(c: ColumnOrName) -> Column:
 
 def parse_compact(c: ColumnOrName) -> Column:
     """'YYYYMMDD' -> DATE; anything else -> null."""
-    return F.try_to_date(col(c), F.lit(COMPACT_FORMAT))
+    return F.try_to_date(col(c), COMPACT_FORMAT)
 
 
 def history_start(c: ColumnOrName, days: int = HISTORY_DAYS) -> Column:
