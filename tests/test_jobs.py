@@ -63,3 +63,11 @@ def test_refresh_daily_rewrites_only_new_dates(spark, tmp):
     refresh_daily(spark, src, landed, results, ckpt, bars, val).awaitTermination()
     ms = {str(r.trade_date): r.total_count for r in spark.read.parquet(f"{results}/market_summary").collect()}
     assert ms == {"2024-01-02": 1, "2024-01-03": 2}
+
+
+def test_normalise_news_synthesised_urls_without_cap(spark):
+    rows = [(i, f"s{i}", None) for i in range(30)]
+    df = spark.createDataFrame(rows, "pos int, summary string, url string")
+    m = news.SourceMapping(source="cctv", title=F.col("summary"), url=F.col("url"), url_prefix="cctv_", order=["pos"])
+    out = {r.title: r.url for r in news.normalise_news(df, m, "20240101").collect()}
+    assert len(out) == 30 and out["s0"] == "cctv_20240101_0" and out["s29"] == "cctv_20240101_29"

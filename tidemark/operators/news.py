@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import META_TITLE_CHARS, MIN_ARTICLE_CHARS, blank_to_null, head, md5_id
+from .rank import row_number_by
 from .topn import top_n
 
 
@@ -46,12 +47,14 @@ def normalise_news(df: DataFrame, m: SourceMapping, crawl_date: Column | str) ->
         order_cols = list(m.order)
         if not order_cols:
             raise ValueError("a cap or a synthesised url needs an explicit row order")
-        # top_n keeps the first `cap` rows per day in the given order and numbers them
-        ranked = top_n(
-            base.withColumn("_o", F.struct(*order_cols)), "_o", m.cap or 2**31 - 1,
-            desc=False, tiebreak=(), by=["_day"], rank_col="_n",
-        )
-        base = ranked
+        if m.cap is not None:
+            # first `cap` rows per day, numbered (partial WindowGroupLimit: at
+            # most `cap` rows per day leave each task)
+            base = top_n(base.withColumn("_o", F.struct(*order_cols)), "_o", m.cap,
+                         desc=False, tiebreak=(), by=["_day"], rank_col="_n")
+        else:
+            # number every row of a day without putting the day in one task
+            base = row_number_by(base, [F.col(c).asc() for c in order_cols], by=["_day"], out="_n")
     def nz(c: Column | None) -> Column:
         return c.cast("string") if c is not None else F.lit(None).cast("string")
     title = blank_to_null(nz(m.title))

@@ -33,7 +33,9 @@ from ..operators import gather as _gather
 from ..operators import render as _render
 from ..operators import snapshot as _snap
 from ..operators import structured as _struct
+from .. import schemas as _schemas
 from . import bindings as B
+from . import retrieval as _retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -472,8 +474,6 @@ def concentration_by(spark, sf):
 
 # ---------------------------------------------------------------- retrieval end to end, prompts
 
-from .. import schemas as _schemas  # noqa: E402
-from . import retrieval as _retrieval  # noqa: E402
 
 
 def _knowledge_base(spark, sf):
