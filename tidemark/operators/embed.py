@@ -62,7 +62,9 @@ def embed_with(df: DataFrame, text: str, fn: Callable[[list[str]], Sequence[Sequ
     ``fn`` returns one vector per input text, in order.  A failing batch fails
     its task, which Spark retries; the function should be idempotent.
     """
-    schema = df.schema.add(out, "array<float>")
+    from pyspark.sql.types import ArrayType, FloatType, StructType
+
+    schema = StructType(list(df.schema.fields)).add(out, ArrayType(FloatType()))
     cols = df.columns
 
     def run(frames):

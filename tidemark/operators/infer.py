@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 def infer(df: DataFrame, fn: Callable[[str, str], str], system: str = "system", user: str = "user",
           out: str = "raw") -> DataFrame:
     """Add ``raw`` (the answer text) and ``error`` (null when the call succeeded)."""
-    schema = df.schema.add(out, "string").add("error", "string")
+    from pyspark.sql.types import StringType, StructType
+
+    schema = StructType(list(df.schema.fields)).add(out, StringType()).add("error", StringType())
     cols = df.columns
 
     def run(frames):

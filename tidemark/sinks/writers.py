@@ -15,15 +15,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Display order of the result tables (T4).
+RESULT_ORDER = {
+    "pe_by_year": [("year", True)],
+    "sector_stats": [("avg_change", False), ("industry_name", True)],
+    "top_gainers": [("change_pct", False), ("code", True)],
+    "top_losers": [("change_pct", True), ("code", True)],
+    "top_amount": [("amount", False), ("code", True)],
+}
+
+
 def write_results(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet",
-                  partition_by: str | None = None, single_file: bool = False) -> None:
+                  partition_by: str | None = None, single_file: bool = False,
+                  order: Mapping[str, list[tuple[str, bool]]] = RESULT_ORDER) -> None:
     """Write every result table under ``path/<name>`` (K1).
 
-    ``single_file`` (CSV hand-off to a spreadsheet) is the only case that
-    reduces to one task; only use it for small, already-aggregated tables.
+    Tables named in ``order`` are sorted at the sink only (a range-partitioned
+    sort; the files keep the order).  ``single_file`` (CSV hand-off to a
+    spreadsheet) is the only case that reduces to one task; only use it for
+    small, already-aggregated tables.
     """
     for name, df in tables.items():
-        out = df.coalesce(1) if single_file else df
+        out = df
+        if name in order:
+            keys = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order[name] if c in df.columns]
+            if partition_by and partition_by in df.columns:
+                out = out.sortWithinPartitions(F.col(partition_by), *keys)
+            elif keys:
+                out = out.orderBy(*keys)
+        out = out.coalesce(1) if single_file else out
         w = out.write.mode("overwrite").format(fmt)
         if fmt == "csv":
             w = w.option("header", "true")
