@@ -337,3 +337,16 @@ def test_f17_dates(spark):
         "p", compact_date("p").alias("c"), history_start("p").alias("h")).collect()
     assert rows[0].c == "20240301" and str(rows[0].h) == "2023-03-02"
     assert rows[1].p is None
+
+
+def test_t6_ivf_recall(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q = vectors.centroids(e, "embedding", by=["label"])
+    exact = vectors.cosine_topk(e, q, 10, doc_id="vec_id", query_id="label")
+    approx = vectors.cosine_topk_ivf(e, q, 10, doc_id="vec_id", query_id="label", cells=8, probes=8)
+    rec = vectors.recall_at_k(approx, exact, "label", "vec_id").agg(F.avg("recall")).collect()[0][0]
+    assert rec == 1.0  # probing every cell is exact
+    approx3 = vectors.cosine_topk_ivf(e, q, 10, doc_id="vec_id", query_id="label", cells=8, probes=3)
+    rec3 = vectors.recall_at_k(approx3, exact, "label", "vec_id").agg(F.avg("recall")).collect()[0][0]
+    print("ivf recall with 3 of 8 cells:", rec3)
+    assert 0.0 < rec3 <= 1.0

@@ -498,3 +498,11 @@ def analyst_prompts(spark, sf):
     ctx = retrieve_context(spark, sf)
     systems = {k: f"{k} analyst" for k in _schemas.ANALYSTS}
     return _retrieval.build_prompts(focus, ctx, ["qid"], systems, _schemas.ANALYST_SCHEMAS)
+
+
+@register("vector_topk_ivf")
+def vector_topk_ivf(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    top = _vec.cosine_topk_ivf(e, _label_queries(spark, sf), 10, doc_id="vec_id", doc_vec="embedding",
+                               query_id="label", query_vec="query", cells=8, probes=3)
+    return top.select("label", "rank", "vec_id", "similarity")
