@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,7 +205,7 @@ def cosine_topk_ivf(docs: DataFrame, queries: DataFrame, k: int = 10, *,
                     doc_id: str = "doc_id", doc_vec: str = "embedding",
                     query_id: str = "qid", query_vec: str = "query",
                     cells: int = 16, probes: int = 3, seed: int = 7,
-                    sample_fraction: float | None = None, digits: int = 6) -> DataFrame:
+                    sample_fraction: float | None = None, max_iter: int = 10, digits: int = 6) -> DataFrame:
     """Approximate variant (T6) with an inverted file.
 
     Unit vectors are clustered with pyspark.ml KMeans (distributed; fit on a
@@ -223,7 +224,13 @@ def cosine_topk_ivf(docs: DataFrame, queries: DataFrame, k: int = 10, *,
     train = d.select(array_to_vector("u").alias("features"))
     if sample_fraction is not None:
         train = train.sample(fraction=sample_fraction, seed=seed)
-    model = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell").fit(train)
+    # KMeans is iterative: keep its (sampled) training set for the fit only
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(k=cells, seed=seed, maxIter=max_iter, initSteps=2,
+                       featuresCol="features", predictionCol="cell").fit(train)
+    finally:
+        train.unpersist()
     assigned = model.transform(d.withColumn("features", array_to_vector("u"))).select("doc_id", "v", "cell")
     spark = docs.sparkSession
     centres = spark.createDataFrame(
