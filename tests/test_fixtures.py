@@ -350,3 +350,11 @@ def test_t6_ivf_recall(spark):
     rec3 = vectors.recall_at_k(approx3, exact, "label", "vec_id").agg(F.avg("recall")).collect()[0][0]
     print("ivf recall with 3 of 8 cells:", rec3)
     assert 0.0 < rec3 <= 1.0
+
+
+@pytest.mark.parametrize("broadcast_elements", [0, 10_000_000])
+def test_t5_string_ids(spark, broadcast_elements):
+    docs = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "qid int, query array<double>")
+    got = [(r.rank, r.id) for r in vectors.cosine_topk(docs, q, 2, doc_id="id", broadcast_elements=broadcast_elements).collect()]
+    assert sorted(got) == [(1, "a"), (2, "b")]

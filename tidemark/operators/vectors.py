@@ -34,7 +34,7 @@ DEFAULT_BROADCAST_QUERY_ELEMENTS = 32_000_000
 
 
 def _top_cells(k: int, qid_type: str):
-    empty = pd.DataFrame({"qid": pd.Series([], dtype=object), "doc_id": pd.Series([], dtype="int64"),
+    empty = pd.DataFrame({"qid": pd.Series([], dtype=object), "doc_id": pd.Series([], dtype=object),
                           "dist": pd.Series([], dtype="float64")})
 
     def fn(docs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
@@ -45,7 +45,7 @@ def _top_cells(k: int, qid_type: str):
         oq, od, ov = _best_k(D, docs["doc_id"].to_numpy(), Q, qs["qid"].to_numpy(), k)
         if not oq:
             return empty
-        return pd.DataFrame({"qid": oq, "doc_id": np.concatenate(od).astype("int64"), "dist": np.concatenate(ov)})
+        return _frame(oq, od, ov)
     return fn
 
 
@@ -55,6 +55,8 @@ def _best_k(D: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids, k: int):
     qn = np.sqrt(np.einsum("ij,ij->i", Q, Q))
     with np.errstate(divide="ignore", invalid="ignore"):
         dist = 1.0 - (Q @ D.T) / np.outer(qn, dn)
+    if ids.dtype == object:
+        ids = ids.astype(str)  # string ids: sortable for the tie-break
     out_q, out_d, out_v = [], [], []
     for i, qid in enumerate(qids):
         row = dist[i]
@@ -71,6 +73,10 @@ def _best_k(D: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids, k: int):
     return out_q, out_d, out_v
 
 
+def _frame(oq, od, ov) -> pd.DataFrame:
+    return pd.DataFrame({"qid": oq, "doc_id": np.concatenate(od), "dist": np.concatenate(ov)})
+
+
 def _score_partitions(bq, k: int, qid_type: str):
     def run(frames):
         qids, Q = bq.value
@@ -81,7 +87,7 @@ def _score_partitions(bq, k: int, qid_type: str):
             ids = pdf["doc_id"].to_numpy()
             oq, od, ov = _best_k(D, ids, Q, qids, k)
             if oq:
-                yield pd.DataFrame({"qid": oq, "doc_id": np.concatenate(od).astype("int64"), "dist": np.concatenate(ov)})
+                yield _frame(oq, od, ov)
     return run
 
 
@@ -107,6 +113,8 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 10, *,
     Otherwise the (query block x document block) cogroup grid is used.
     """
     qid_type = dict(queries.dtypes)[query_id]
+    did_type = dict(docs.dtypes)[doc_id]
+    out_schema = f"qid {qid_type}, doc_id {did_type}, dist double"
     q_small = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("q"))
     dims_row = q_small.select(F.size("q").alias("n")).where("n > 0").limit(1).collect()
     dims = dims_row[0].n if dims_row else 1
@@ -115,12 +123,12 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 10, *,
         local = q_small.toPandas()
         Q = np.stack(local["q"].to_numpy()).astype(np.float64) if len(local) else np.zeros((0, dims))
         bq = docs.sparkSession.sparkContext.broadcast((local["qid"].tolist(), Q))
-        d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_vec).alias("v"))
-        cells = d.mapInPandas(_score_partitions(bq, k, qid_type), f"qid {qid_type}, doc_id long, dist double")
+        d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("v"))
+        cells = d.mapInPandas(_score_partitions(bq, k, qid_type), out_schema)
         return _merge(cells, k, query_id, doc_id, digits)
     db = _blocks(docs, block_rows)
     qb = _blocks(queries, block_rows)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_vec).alias("v"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("v"))
     d = d.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(db)).cast("int"))
     d = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("q"))
@@ -129,7 +137,7 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 10, *,
     cells = (
         d.groupBy("qb", "db")
         .cogroup(q.groupBy("qb", "db"))
-        .applyInPandas(_top_cells(k, qid_type), f"qid {qid_type}, doc_id long, dist double")
+        .applyInPandas(_top_cells(k, qid_type), out_schema)
     )
     return _merge(cells, k, query_id, doc_id, digits)
 

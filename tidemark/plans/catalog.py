@@ -484,18 +484,24 @@ def _knowledge_base(spark, sf):
     return _embed.hash_embed(kb, "document", dims=512)
 
 
+def _context_for(spark, sf, snapshot):
+    q = snapshot.select(F.lit(0).alias("qid"), _render.search_query(F.col("spot_summary"), F.col("top_gainers"),
+                                                                    F.col("top_amount")).alias("query"))
+    return _retrieval.retrieve(_knowledge_base(spark, sf), q, lambda df, c: _embed.hash_embed(df, c, dims=512), k=10)
+
+
 @register("retrieve_context")
 def retrieve_context(spark, sf):
-    s = _snapshot(spark, sf)
-    q = s.select(F.lit(0).alias("qid"), _render.search_query(F.col("spot_summary"), F.col("top_gainers"),
-                                                             F.col("top_amount")).alias("query"))
-    return _retrieval.retrieve(_knowledge_base(spark, sf), q, lambda df, c: _embed.hash_embed(df, c, dims=512), k=10)
+    return _context_for(spark, sf, _snapshot(spark, sf))
 
 
 @register("analyst_prompts")
 def analyst_prompts(spark, sf):
-    focus = _render.focus_texts(_snapshot(spark, sf), []).withColumn("qid", F.lit(0))
-    ctx = retrieve_context(spark, sf)
+    # one snapshot row feeds both the focus texts and the retrieval query;
+    # it is a single row, so it is materialised once (reliable checkpoint)
+    snap = _snapshot(spark, sf).checkpoint(eager=True)
+    focus = _render.focus_texts(snap, []).withColumn("qid", F.lit(0))
+    ctx = _context_for(spark, sf, snap)
     systems = {k: f"{k} analyst" for k in _schemas.ANALYSTS}
     return _retrieval.build_prompts(focus, ctx, ["qid"], systems, _schemas.ANALYST_SCHEMAS)
 

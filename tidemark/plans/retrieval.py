@@ -20,13 +20,14 @@ def retrieve(kb: DataFrame, queries: DataFrame, embed: Callable[[DataFrame, str]
              k: int = 10, query_id: str = "qid", query_text: str = "query") -> DataFrame:
     """(query_id, context).  ``kb`` has id, embedding, document, metadata;
     ``embed(df, text_col)`` adds an ``embedding`` column."""
-    qv = embed(queries.select(query_id, query_text), query_text).withColumnRenamed("embedding", "_qv")
-    docs = kb.select(F.col("id").alias("_doc"), "embedding")
-    # cosine_topk wants numeric document ids: hash the string id, join back on (hash, id)
-    docs = docs.withColumn("_h", F.xxhash64("_doc"))
-    hits = cosine_topk(docs, qv, k, doc_id="_h", doc_vec="embedding", query_id=query_id, query_vec="_qv")
-    meta = kb.select(F.xxhash64("id").alias("_h"), "document", "metadata")
-    rows = hits.join(meta, "_h").select(
+    # the query set is read twice (scoring, and the final left join that keeps
+    # queries without hits): cut its lineage once with a reliable checkpoint
+    queries = queries.select(query_id, query_text).checkpoint(eager=True)
+    qv = embed(queries, query_text).withColumnRenamed("embedding", "_qv")
+    docs = kb.select("id", "embedding")
+    hits = cosine_topk(docs, qv, k, doc_id="id", doc_vec="embedding", query_id=query_id, query_vec="_qv")
+    meta = kb.select("id", "document", "metadata")
+    rows = hits.join(meta, "id").select(
         query_id, "rank", "similarity", "document",
         F.col("metadata.title").alias("title"), F.col("metadata.source").alias("source"),
         F.col("metadata.date").alias("date"))
