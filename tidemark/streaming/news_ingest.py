@@ -23,7 +23,8 @@ from ..sources.news import parse_news_lines
 def news_stream(spark: SparkSession, source_dir: str) -> DataFrame:
     """Streaming lines of the news drops with their file name."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1000).load(source_dir)
-    return parse_news_lines(lines.withColumn("file", F.col("_metadata.file_name")))
+    tagged = lines.withColumn("file", F.col("_metadata.file_name")).withColumn("block", F.col("_metadata.file_block_start"))
+    return parse_news_lines(tagged)
 
 
 def ingest_news(spark: SparkSession, source_dir: str, kb_path: str, quarantine_path: str,
@@ -39,14 +40,15 @@ def ingest_news(spark: SparkSession, source_dir: str, kb_path: str, quarantine_p
     parsed = news_stream(spark, source_dir)
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        bad = batch.where(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"), "file",
+        bad = batch.where(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"), "file", "block",
                                                              F.lit(epoch).alias("epoch"))
         bad.write.mode("append").parquet(quarantine_path)
         good = batch.where(F.col("_bad").isNull()).drop("_bad")
-        # order inside a batch: file name, then position of the line in the file
+        # order inside a batch = position in the file: file name, start of the
+        # file split the line came from, then read order inside that split
         good = good.withColumn("_pos", F.monotonically_increasing_id())
         day = F.coalesce(F.col("crawl_date"), F.regexp_extract("file", r"(\d{8})", 1))
-        kb = prepare_articles(good.withColumn("_day", day), F.col("_day"), order=["file", "_pos"])
+        kb = prepare_articles(good.withColumn("_day", day), F.col("_day"), order=["file", "block", "_pos"])
         if embed is not None:
             kb = embed(kb)
         kb = kb.withColumn("_version", F.concat(F.col("batch_date"), F.lit("#"), F.lpad(F.lit(str(epoch)), 12, "0")))
