@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
@@ -36,9 +37,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    On a cluster ``spark.checkpoint.dir`` is set to a shared file system and is
-    used as-is.  Only when nothing is configured (local tests) do we pick a
-    fresh folder of our own.
+    On a cluster ``spark.checkpoint.dir`` must name a shared file system and is
+    used as it is; a missing setting is an error there, because a folder of one
+    machine would hold only that machine's part of a table.  Only a ``local``
+    master (tests, the bench), where driver and executors are one process, gets
+    a fresh folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,22 +49,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for a lineage-cutting table, inside the shared checkpoint folder."""
+    """A path for a lineage-cutting table, inside the shared checkpoint folder.
+
+    Every call gives a new one, so that two jobs (or two runs of one job)
+    sharing the folder never write to the same place.
+    """
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}"
+    return f"{base}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str):
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: cuts the lineage (a lost executor re-reads files instead of
     recomputing the inputs) and lets several result tables share one scan."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
