@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, read_table
+from . import langid
 from .simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +24,16 @@ def register(fn):
 @register
 def op1_simhash_dedup(spark, sf):
     return simhash_groups(read_table(spark, sf, "documents"))
+
+
+def op4_may_learn():
+    """False for the held-out documents, and for null ids."""
+    return F.coalesce(crc32_of_id() % 4 != 2, F.lit(False))
+
+
+@register
+def op4_language_id(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    model = langid.train(docs, may_learn=op4_may_learn())
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (~op4_may_learn()).alias("held_out"), "lang_pred", "score", "rejected")
