@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, read_table
-from . import langid
+from . import decontam, langid
 from .simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,8 @@ def op4_language_id(spark, sf):
     model = langid.train(docs, may_learn=op4_may_learn())
     out = langid.identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (~op4_may_learn()).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register
+def op9_decontamination(spark, sf):
+    return decontam.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
