@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, read_table
-from . import decontam, langid
+from . import decontam, langid, mixing
 from .simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,13 @@ def op4_language_id(spark, sf):
 @register
 def op9_decontamination(spark, sf):
     return decontam.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+@register
+def op6_source_mix(spark, sf):
+    # Targets are cut to a thousandth of a word, which Spark and DuckDB round alike.
+    return mixing.mix_plan(read_table(spark, sf, "documents")).select(
+        "doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+ORACLE["op6_source_mix"] = mixing.ORACLE
