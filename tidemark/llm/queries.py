@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, read_table
-from . import decontam, langid, mixing
+from ..session import scratch_path
+from . import decontam, langid, mixing, records
 from .simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +54,14 @@ def op6_source_mix(spark, sf):
 
 
 ORACLE["op6_source_mix"] = mixing.ORACLE
+
+
+def word_bpe_path() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register
+def op5_token_records(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    manifest = records.write_records(docs, scratch_path(spark, "op5-records"), word_bpe_path())
+    return records.read_records(manifest, digest=True)
