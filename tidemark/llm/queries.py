@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, read_table
 from ..session import scratch_path
-from . import decontam, langid, mixing, records
+from . import decontam, langid, merkle, mixing, records
 from .simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,11 @@ def op5_token_records(spark, sf):
     docs = read_table(spark, sf, "documents")
     manifest = records.write_records(docs, scratch_path(spark, "op5-records"), word_bpe_path())
     return records.read_records(manifest, digest=True)
+
+
+@register
+def op8_merkle_fingerprint(spark, sf):
+    return merkle.edit_digest(read_table(spark, sf, "documents"))
+
+
+ORACLE["op8_merkle_fingerprint"] = merkle.ORACLE
