@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, read_table
 from ..session import scratch_path
-from . import decontam, langid, merkle, mixing, records
+from . import decontam, langid, merkle, mixing, quality, records
 from .simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,17 @@ def op8_merkle_fingerprint(spark, sf):
 
 
 ORACLE["op8_merkle_fingerprint"] = merkle.ORACLE
+
+
+def op7_may_learn():
+    """False for the held-out documents, and for null ids."""
+    return F.coalesce(crc32_of_id() % 5 != 0, F.lit(False))
+
+
+@register
+def op7_quality_ranking(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    model = quality.train(docs, read_table(spark, sf, "labels"), may_learn=op7_may_learn())
+    out = quality.score_quality(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (~op7_may_learn()).alias("held_out"), "score",
+                      (F.col("score") >= model.cut).cast("int").alias("predicted"))
