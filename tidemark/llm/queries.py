@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, read_table
 from ..session import scratch_path
-from . import decontam, langid, merkle, mixing, quality, records
+from . import decontam, langid, linededup, merkle, mixing, quality, records
 from .simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,14 @@ def op7_quality_ranking(spark, sf):
     out = quality.score_quality(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (~op7_may_learn()).alias("held_out"), "score",
                       (F.col("score") >= model.cut).cast("int").alias("predicted"))
+
+
+@register
+def op2_line_dedup(spark, sf):
+    out = linededup.dedup_lines(read_table(spark, sf, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed_runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    return out.select("doc_id", lines.alias("n_lines"), removed.alias("n_removed"), F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
+
+
+ORACLE["op2_line_dedup"] = linededup.ORACLE
