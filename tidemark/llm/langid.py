@@ -143,10 +143,15 @@ def fit(bags: np.ndarray, truth: np.ndarray, check: np.ndarray, labels: list[str
 
 def sample_per_label(rows: DataFrame, id_col: str, label: str, n: int) -> DataFrame:
     """At most ``n`` ids of each label, those of least hash (a bounded sample
-    that is the same on each run)."""
-    w = Window.partitionBy(label).orderBy("_h", id_col)
-    return (rows.select(id_col, label).withColumn("_h", F.xxhash64(F.col(id_col)))
-            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).select(id_col, label))
+    that is the same on each run).  Labels are counted first, and only ids below
+    the hash that lets some 1.5 n of a label through are ranked, so that no task
+    meets more than that of a label."""
+    pairs = rows.select(id_col, label)
+    most = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 11) / F.lit(2.0**53)
+    near = pairs.join(most, label).withColumn("_u", u).where(F.col("_u") * F.col("_n") < 1.5 * n + 50)
+    w = Window.partitionBy(label).orderBy("_u", id_col)
+    return materialize(near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).select(id_col, label), "sampled-ids")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
