@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, read_table
 from ..session import scratch_path
-from . import decontam, langid, linededup, merkle, mixing, quality, records
+from . import decontam, langid, linededup, merkle, mixing, quality, records, tokencount
 from .simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,23 @@ def op2_line_dedup(spark, sf):
 
 
 ORACLE["op2_line_dedup"] = linededup.ORACLE
+
+
+def op10_edits():
+    """Three edits of each document, from its own length and words: an
+    insertion in its first third, a replacement around its middle, and a cut
+    before its end."""
+    n, text = F.length(F.coalesce("text", F.lit(""))).cast("long"), F.coalesce("text", F.lit(""))
+    part = lambda k, size: F.substring(text, F.lit(k), F.lit(size))
+    return F.array(
+        F.struct(F.floor(n / 4).alias("at"), F.lit(0).cast("long").alias("del"), F.concat(F.lit(" "), part(1, 60)).alias("ins")),
+        F.struct(F.floor(n / 2).alias("at"), F.lit(25).cast("long").alias("del"), F.concat(F.col("source"), F.lit("\n"), F.col("lang")).alias("ins")),
+        F.struct(F.floor(3 * n / 4).alias("at"), F.lit(200).cast("long").alias("del"), F.lit("").alias("ins"))).cast(f"array<{tokencount.EDIT}>")
+
+
+@register
+def op10_token_counts(spark, sf):
+    docs = read_table(spark, sf, "documents").withColumn("edits", op10_edits()).select("doc_id", "text", "edits")
+    out = tokencount.count_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "counts.n_tokens", "counts.n_edited", "counts.pieces", "counts.reencoded",
+                      F.sha2(F.col("counts.edited").cast("binary"), 256).alias("edited_sha256"))
