@@ -21,6 +21,7 @@ a lost executor leaves at most a file that nothing refers to.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -30,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -43,8 +45,8 @@ _BODY = struct.Struct("<BqI")
 _SUM = struct.Struct("<I")
 _NULL_ID, _WIDE = 1, 2
 MANIFEST = "shard int, data string, index string, records bigint, tokens bigint"
-#: Words kept in a worker's cache of encodings; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Words in a generation of a worker's memory of encodings (a text with more has them for its own time).
+CACHE_WORDS = 200_000
 
 
 class CorruptRecord(ValueError):
@@ -99,35 +101,99 @@ def unpack_index(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw[:-4], "<u8").reshape(-1, 2).astype(np.int64)
 
 
+class Remembered:
+    """Codes by key in two generations of about ``size``: what is used again
+    moves on to the new one, the rest goes with the old."""
+
+    def __init__(self, size: int, code):
+        self.size, self.code = size, code
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, keys: list) -> list[bytes]:
+        out = list(map(self.new.get, keys))
+        if None not in out:
+            return out
+        holes = [i for i, c in enumerate(out) if c is None]
+        missing = dict.fromkeys([keys[i] for i in holes])
+        old = self.old
+        known = {k: old[k] for k in missing if k in old}
+        unknown = [k for k in missing if k not in known]
+        for at in range(0, len(unknown), 4096):
+            part = unknown[at: at + 4096]
+            known.update(zip(part, self.code(part)))
+        if len(self.new) + len(known) > self.size:
+            self.old, self.new = self.new, {}
+        self.new.update(known)
+        for i in holes:
+            out[i] = known[keys[i]]
+        return out
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer whose pre-tokens never span white space
-    (those that drop it), one white-space separated word at a time, so that a
-    word's ids are looked up after its first use."""
+    (one that drops it), one white-space separated word at a time, so that a
+    word's ids are looked up after its first use.
+
+    A tokenizer that lower-cases, splits by a pattern and then maps bytes gets
+    a shorter way for texts of Latin letters below U+0180 without special
+    tokens: lower-casing and the pattern are applied here, and it encodes
+    single pieces, which more words have in common.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.cache: dict[bytes, bytes] = {}
+        self.words = Remembered(CACHE_WORDS, lambda ws: self._codes(self.tok, [w.decode("utf-8", "replace") for w in ws]))
+        pattern = _split_pattern(path)
+        self.short = pattern is not None
+        if self.short:
+            self.pattern = regex.compile(pattern)
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = None
+            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.pieces = Remembered(CACHE_WORDS, lambda ps: self._codes(self.bare, ps))
+            self.plain_words = Remembered(CACHE_WORDS, self._plain_codes)
+
+    def _codes(self, tok, texts: list[str]) -> list[bytes]:
+        return [np.array(c.ids, self.kind).tobytes() for c in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain_codes(self, words: list[bytes]) -> list[bytes]:
+        found = [self.pattern.findall(w.decode()) for w in words]
+        codes = iter(self.pieces.get([p for ps in found for p in ps]))
+        return [b"".join([next(codes) for _ in ps]) for ps in found]
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text and the end id, little-endian."""
-        words = utf8(text).split()  # ASCII white space; any other stays inside a word for the tokenizer
-        known = self.cache
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            new = list(dict.fromkeys(words))
-            known = self.cache = {}
-        for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
-            coded = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, c in zip(part, coded):
-                known[w] = np.array(c.ids, self.kind).tobytes()
-        return b"".join([known[w] for w in words]) + self.end
+        text = text or ""
+        if self.short and "<|" not in text and not _BEYOND_LATIN.search(text):
+            return b"".join(self.plain_words.get(text.lower().encode().split())) + self.end
+        # bytes.split() cuts at ASCII white space; any other stays inside a word for the tokenizer.
+        return b"".join(self.words.get(utf8(text).split())) + self.end
+
+
+#: Beyond these letters (and for the one whose lower case leaves them) the tokenizer does all the work.
+_BEYOND_LATIN = regex.compile("[^\\x00-\u012F\u0131-\u017F]")
+
+
+def _split_pattern(path: str) -> str | None:
+    """The split pattern of a tokenizers file of the kind NFC, lower case,
+    pattern, byte level; None for any other."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in pre] != ["Split", "ByteLevel"]:
+        return None
+    split, level = pre
+    if not split.get("invert") or split.get("behavior") != "Removed" or level.get("use_regex") or level.get("add_prefix_space"):
+        return None
+    return split["pattern"].get("Regex")
 
 
 @lru_cache(maxsize=2)
