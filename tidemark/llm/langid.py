@@ -100,26 +100,42 @@ def excerpts(text: str, seed: int) -> list[str]:
     return out
 
 
-def fit(bags: np.ndarray, truth: np.ndarray, check: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 12,
-        rate: float = 4.0, batch: int = 64, seed: int = 7, reject: float = 0.001, highest: float = 0.4) -> LanguageModel:
+@dataclass
+class Bags:
+    """Sparse rows of n-gram shares: ``at``/``share`` from start[i] to start[i + 1]."""
+
+    start: np.ndarray
+    at: np.ndarray
+    share: np.ndarray
+    buckets: int
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.buckets), np.float32)
+        for k, r in enumerate(rows):
+            s = slice(self.start[r], self.start[r + 1])
+            out[k, self.at[s]] = self.share[s]
+        return out
+
+
+def fit(bags: Bags, truth: np.ndarray, check: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 12,
+        rate: float = 0.4, batch: int = 64, seed: int = 7, reject: float = 0.001, highest: float = 0.4) -> LanguageModel:
     """SGD on the rows where ``check`` is false; temperature and threshold from
     the others: the temperature of least log loss, and the greatest threshold,
     at most ``highest``, that rejects at most the share ``reject`` of them."""
     rng = np.random.default_rng(seed)
-    x = (bags / np.maximum(bags.sum(axis=1, keepdims=True), 1)).astype(np.float32)
-    emb = rng.normal(0, 0.1, (x.shape[1], dim)).astype(np.float32)
+    emb = rng.normal(0, 0.1, (bags.buckets, dim)).astype(np.float32)
     lin = rng.normal(0, 0.1, (dim, len(labels))).astype(np.float32)
     bias = np.zeros(len(labels), np.float32)
     rows = np.flatnonzero(~check)
     if not len(rows):
-        rows = np.arange(len(x))
-    scale = np.float32(30)  # bags sum to one: without it the gradients of the embeddings are tiny
+        rows = np.arange(len(truth))
+    scale = np.float32(30)  # shares sum to one: without it the gradients of the embeddings are tiny
     for epoch in range(epochs):
-        step = np.float32(rate * (1 - epoch / epochs) / 10)
+        step = np.float32(rate * (1 - epoch / epochs))
         rng.shuffle(rows)
         for at in range(0, len(rows), batch):
             pick = rows[at: at + batch]
-            xb = x[pick] * scale
+            xb = bags.dense(pick) * scale
             z = xb @ emb
             err = softmax(z @ lin + bias)
             err[np.arange(len(pick)), truth[pick]] -= 1
@@ -132,7 +148,7 @@ def fit(bags: np.ndarray, truth: np.ndarray, check: np.ndarray, labels: list[str
     held = np.flatnonzero(check)
     temperature, threshold = 1.0, 0.0
     if len(held):
-        logits = x[held] @ table + bias
+        logits = np.concatenate([bags.dense(held[k: k + 512]) @ table for k in range(0, len(held), 512)]) + bias
         loss = {t: -np.log(softmax(logits / t)[np.arange(len(held)), truth[held]] + 1e-12).mean()
                 for t in np.geomspace(0.25, 8, 21)}
         temperature = float(min(loss, key=loss.get))
@@ -155,7 +171,7 @@ def sample_per_label(rows: DataFrame, id_col: str, label: str, n: int) -> DataFr
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-          may_learn: Column | None = None, rows_per_label: int = 600, buckets: int = 1 << 12) -> LanguageModel:
+          may_learn: Column | None = None, rows_per_label: int = 500, buckets: int = 1 << 12) -> LanguageModel:
     """Fit on at most ``rows_per_label`` labelled documents of each label (and
     excerpts of them).  Rows with a null id, label or text, and those for which
     ``may_learn`` isn't true, are never read.  No usable row gives a model
@@ -177,24 +193,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
                 for piece in [text, *excerpts(text, seed)]:
                     h = histogram(piece, buckets)
                     at = np.flatnonzero(h)
-                    for col, v in zip(cols, (str(key), label, seed % 5 == 0, at.tolist(), h[at].tolist())):
+                    for col, v in zip(cols, (str(key), label, seed % 5 == 0, at.astype(np.int32), (h[at] / h.sum()).astype(np.float32))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())))],
-                names=["id", "label", "held", "at", "n"])
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float32())))],
+                names=["id", "label", "held", "at", "share"])
 
-    got = chosen.mapInArrow(bags, "id string, label string, held boolean, at array<int>, n array<bigint>")
-    got = materialize(got, "langid-sample").toArrow()
+    got = chosen.mapInArrow(bags, "id string, label string, held boolean, at array<int>, share array<float>")
+    got = materialize(got, "langid-sample").orderBy("id", F.size("at").desc(), "at").toArrow().combine_chunks()
     labels = sorted(set(got["label"].to_pylist()))
     if not labels:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32))
-    order = np.argsort(np.array(got["id"].to_pylist()), kind="stable")
-    x = np.zeros((got.num_rows, buckets), np.float32)
-    for i, (at, n) in enumerate(zip(got["at"], got["n"])):
-        x[i, at.values.to_numpy()] = n.values.to_numpy()
-    truth = np.array([labels.index(v) for v in got["label"].to_pylist()])
-    held = np.array(got["held"].to_pylist())
-    return fit(x[order], truth[order], held[order], labels)
+    at, share = got["at"].combine_chunks(), got["share"].combine_chunks()
+    bag = Bags(at.offsets.to_numpy(), at.values.to_numpy(), share.values.to_numpy(), buckets)
+    place = {v: k for k, v in enumerate(labels)}
+    return fit(bag, np.array([place[v] for v in got["label"].to_pylist()]), np.array(got["held"].to_pylist()), labels)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang: str = "lang_pred",
