@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, read_table
 from ..session import scratch_path
-from . import decontam, langid, linededup, merkle, mixing, quality, records, tokencount
+from . import decontam, langid, linededup, merkle, mixing, quality, records, suffixes, tokencount
 from .simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,11 @@ def op10_token_counts(spark, sf):
     out = tokencount.count_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "counts.n_tokens", "counts.n_edited", "counts.pieces", "counts.reencoded",
                       F.sha2(F.col("counts.edited").cast("binary"), 256).alias("edited_sha256"))
+
+
+@register
+def op3_substring_dedup(spark, sf):
+    out = suffixes.repeated_bytes(read_table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
