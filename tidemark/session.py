@@ -67,11 +67,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: cuts the lineage (a lost executor re-reads files instead of
-    recomputing the inputs) and lets several result tables share one scan."""
+    recomputing the inputs) and lets several result tables share one scan.
+    ``files``: write at most so many, for tables that are small beside the
+    shuffle they come from."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if files is not None:
+        df = df.coalesce(max(1, files))
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
