@@ -45,8 +45,8 @@ _BODY = struct.Struct("<BqI")
 _SUM = struct.Struct("<I")
 _NULL_ID, _WIDE = 1, 2
 MANIFEST = "shard int, data string, index string, records bigint, tokens bigint"
-#: Words in a generation of a worker's memory of encodings (a text with more has them for its own time).
-CACHE_WORDS = 200_000
+#: Words and pieces in a generation of a worker's memory of encodings.
+CACHE_WORDS, CACHE_PIECES = 250_000, 400_000
 
 
 class CorruptRecord(ValueError):
@@ -153,32 +153,40 @@ class WordEncoder:
         pattern = _split_pattern(path)
         self.short = pattern is not None
         if self.short:
-            self.pattern = regex.compile(pattern)
+            self.pattern = regex.compile(pattern + "|\n")
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = None
             self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.pieces = Remembered(CACHE_WORDS, lambda ps: self._codes(self.bare, ps))
+            self.pieces = Remembered(CACHE_PIECES, lambda ps: self._codes(self.bare, ps))
             self.plain_words = Remembered(CACHE_WORDS, self._plain_codes)
 
     def _codes(self, tok, texts: list[str]) -> list[bytes]:
-        return [np.array(c.ids, self.kind).tobytes() for c in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _plain_codes(self, words: list[bytes]) -> list[bytes]:
-        found = [self.pattern.findall(w.decode()) for w in words]
-        codes = iter(self.pieces.get([p for ps in found for p in ps]))
-        return [b"".join([next(codes) for _ in ps]) for ps in found]
+        coded = tok.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids) for ids in [c.ids for c in coded]]
+
+    def _plain_codes(self, words: list[str]) -> list[bytes]:
+        found = self.pattern.findall("\n".join(words) + "\n")
+        out, own = [], []
+        for code in self.pieces.get(found):
+            if code:
+                own.append(code)
+            else:  # a line's end, which the tokenizer drops
+                out.append(b"".join(own) if len(own) > 1 else own[0] if own else b"")
+                own = []
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text and the end id, little-endian."""
         text = text or ""
-        if self.short and "<|" not in text and not _BEYOND_LATIN.search(text):
-            return b"".join(self.plain_words.get(text.lower().encode().split())) + self.end
+        if self.short and "<|" not in text and not _NOT_PLAIN.search(text):
+            return b"".join(self.plain_words.get(text.lower().split())) + self.end
         # bytes.split() cuts at ASCII white space; any other stays inside a word for the tokenizer.
         return b"".join(self.words.get(utf8(text).split())) + self.end
 
 
-#: Beyond these letters (and for the one whose lower case leaves them) the tokenizer does all the work.
-_BEYOND_LATIN = regex.compile("[^\\x00-\u012F\u0131-\u017F]")
+#: Beyond these characters (and for the letter whose lower case leaves them, and
+#: for what Python alone or the tokenizer alone splits at) the tokenizer does all the work.
+_NOT_PLAIN = regex.compile("[^\\x00-\\x1B\\x20-\\x84\\x86-\\x9F\\xA1-\\u012F\\u0131-\\u017F]")
 
 
 def _split_pattern(path: str) -> str | None:
