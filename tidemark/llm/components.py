@@ -3,8 +3,8 @@
 Each round is two joins and two aggregations over the edges (large-star, then
 small-star); no component is ever gathered in a task.  A hub's edges meet its
 one minimum in a sort-merge join, which AQE splits when one hub holds many.
-Every round is cut with a reliable ``checkpoint`` so that a lost executor only
-costs the current round.
+Every round is written to a table in the shared folder, so that a lost executor
+only costs the current round.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
+from ._common import shuffle_partitions
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -28,15 +29,20 @@ def _small_star(e: DataFrame) -> DataFrame:
     return low.select("a", F.col("m").alias("b")).unionByName(moved).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, edges_a_file: int = 200_000) -> DataFrame:
     """Edges (a, b) of comparable keys -> (node, root), root being the least
     node of the component, for every node that has an edge to another one.
     Null ends and self loops are left out; no edges give no rows.
-    ``max_rounds`` guards against a defect, it is not a limit: passing it raises.
+
+    Edges are few beside the rows they come from, so the tables of the rounds
+    have a file for each ``edges_a_file`` of them (the first, not counted yet,
+    an eighth of the shuffle partitions).  ``max_rounds`` guards against a
+    defect, it is not a limit: passing it raises.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    e = (edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-         .where("a <> b").distinct().checkpoint())
+    spark = edges.sparkSession
+    most = shuffle_partitions(spark)
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    e = materialize(e, "edges", most // 8)
     seen = None
     for _ in range(max_rounds):
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -44,5 +50,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = mark
-        e = _small_star(_large_star(e)).checkpoint()
+        e = materialize(_small_star(_large_star(e)), "edges", min(most, mark[0] // edges_a_file + 1))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ._common import rows_in, utf8
+from ._common import rows_in, shuffle_partitions, utf8
 from .components import components
 
 BITS = 64
@@ -120,7 +120,8 @@ def simhash_components(rows: DataFrame, id_col: str, radius: int = 2) -> DataFra
     """Rows (id_col, fp) -> (fp, component): the least id of the component that
     each distinct fingerprint belongs to (ids that are null don't count; null
     when a component has no other)."""
-    first = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-fps")
+    first = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-fps",
+                        shuffle_partitions(rows.sparkSession) // 8)  # a few bytes a row beside the texts that shuffles are sized for
     tree = components(fingerprint_links(first, radius))
     placed = (first.join(tree.withColumnRenamed("node", "fp"), "fp", "left")
               .select("fp", "first", F.coalesce("root", "fp").alias("root")))
