@@ -157,17 +157,27 @@ def fit(bags: Bags, truth: np.ndarray, check: np.ndarray, labels: list[str], dim
     return LanguageModel(labels, table.astype(np.float32), bias, temperature, threshold)
 
 
+#: More labels than this are no classes to learn.
+MAX_LABELS = 1000
+
+
 def sample_per_label(rows: DataFrame, id_col: str, label: str, n: int) -> DataFrame:
     """At most ``n`` ids of each label, those of least hash (a bounded sample
-    that is the same on each run).  Labels are counted first, and only ids below
-    the hash that lets some 1.5 n of a label through are ranked, so that no task
+    that is the same on each run).  Labels are counted first (at most
+    ``MAX_LABELS`` counts reach the driver), and only ids below the hash that
+    lets some 1.5 n of a label through are shuffled and ranked, so that no task
     meets more than that of a label."""
     pairs = rows.select(id_col, label)
-    most = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    counts = pairs.groupBy(label).count().take(MAX_LABELS + 1)
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} labels")
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 11) / F.lit(2.0**53)
-    near = pairs.join(most, label).withColumn("_u", u).where(F.col("_u") * F.col("_n") < 1.5 * n + 50)
+    near = F.lit(False)
+    for name, count in counts:
+        near = near | ((F.col(label) == F.lit(name)) & (F.col("_u") < F.lit((1.5 * n + 50) / count)))
     w = Window.partitionBy(label).orderBy("_u", id_col)
-    return materialize(near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).select(id_col, label), "sampled-ids")
+    return materialize(pairs.withColumn("_u", u).where(near).withColumn("_rn", F.row_number().over(w))
+                       .where(F.col("_rn") <= n).select(id_col, label), "sampled-ids")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
