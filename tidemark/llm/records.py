@@ -167,10 +167,10 @@ class WordEncoder:
     def _plain_codes(self, words: list[str]) -> list[bytes]:
         found = self.pattern.findall("\n".join(words) + "\n")
         out, own = [], []
-        for code in self.pieces.get(found):
-            if code:
+        for piece, code in zip(found, self.pieces.get(found)):
+            if piece != "\n":
                 own.append(code)
-            else:  # a line's end, which the tokenizer drops
+            else:  # the end of a word
                 out.append(b"".join(own) if len(own) > 1 else own[0] if own else b"")
                 own = []
         return out
