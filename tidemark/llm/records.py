@@ -46,7 +46,7 @@ _SUM = struct.Struct("<I")
 _NULL_ID, _WIDE = 1, 2
 MANIFEST = "shard int, data string, index string, records bigint, tokens bigint"
 #: Words and pieces in a generation of a worker's memory of encodings.
-CACHE_WORDS, CACHE_PIECES = 250_000, 400_000
+CACHE_WORDS, CACHE_PIECES = 150_000, 500_000
 
 
 class CorruptRecord(ValueError):
