@@ -55,15 +55,11 @@ def repeated_positions(lines: DataFrame, min_lines: int) -> DataFrame:
     return names
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"_id": F.col(id_col), "_th": F.xxhash64(text), "_lines": F.split(text, "\n")})
-
-
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
     """(_id, _th, runs) of the documents with a line run to delete: ``runs`` is
     their sorted array of struct<from, to> (line numbers from 0, ``to`` left out)."""
-    lines = _keyed(docs, id_col, text_col).select("_id", "_th", F.posexplode("_lines").alias("_pos", "_text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), F.posexplode(F.split(text, "\n")).alias("_pos", "_text"))
     lines = materialize(lines.select("_id", "_th", "_pos", F.unhex(F.md5(F.col("_text").cast("binary"))).alias("_line")), "lines")
     later = repeated_positions(lines, min_lines).where(F.col("name") != _at()).select(*_KEY, "_pos").distinct()
     w = Window.partitionBy(*_KEY).orderBy("_pos")
@@ -87,14 +83,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = docs.drop(out, runs_col)
     runs = repeated_runs(src.select(id_col, text_col), id_col, text_col, min_lines)
     none = F.array().cast("array<struct<from:int,to:int>>")
-    runs = runs.select(F.col("_id").alias("_rid"), F.col("_th").alias("_rth"), F.col("runs").cast("array<struct<from:int,to:int>>").alias(runs_col))
-    found = _keyed(src, id_col, text_col).join(runs, F.col("_th").eqNullSafe(F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid")), "left")
+    runs = runs.select(F.col("_id").alias("_ld_rid"), F.col("_th").alias("_ld_rth"), F.col("runs").cast("array<struct<from:int,to:int>>").alias(runs_col))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = src.withColumns({"_ld_th": F.xxhash64(text), "_ld_lines": F.split(text, "\n")})
+    found = found.join(runs, F.col("_ld_th").eqNullSafe(F.col("_ld_rth")) & F.col(id_col).eqNullSafe(F.col("_ld_rid")), "left")
     found = found.withColumn(runs_col, F.coalesce(runs_col, none))
-    r, lines = F.col(runs_col), F.col("_lines")
+    r, lines = F.col(runs_col), F.col("_ld_lines")
     starts = F.concat(F.array(F.lit(0)), F.transform(r, lambda x: x["to"]))
     ends = F.concat(F.transform(r, lambda x: x["from"]), F.array(F.size(lines)))
     left = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s)))
-    return found.withColumn(out, F.array_join(left, "\n")).drop("_id", "_th", "_lines", "_rid", "_rth")
+    return found.withColumn(out, F.array_join(left, "\n")).drop("_ld_th", "_ld_lines", "_ld_rid", "_ld_rth")
 
 
 MIN_LINES = 2
