@@ -114,14 +114,27 @@ def test_j1_map_duplicates_do_not_fan_out_and_unmatched_are_counted(spark):
     assert joins.unmatched_count(j, "industry_name").collect()[0].unmatched == 1
 
 
-def test_j1_dimension_is_broadcast_only_under_the_bound(spark):
-    q = spark.range(100).withColumnRenamed("id", "code")
-    m = spark.range(50).withColumnRenamed("id", "code").withColumn("industry", F.lit("x"))
-    _, small = joins.bounded_broadcast(m, max_rows=100)
-    _, big = joins.bounded_broadcast(m, max_rows=10)
-    assert small and not big
-    plan = joins.with_dimension(q, m, "code")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+def test_j1_vendor_codes_meet(spark):
+    q = spark.createDataFrame([("sh600000", 1.0), ("000001.SZ", 2.0), ("2", 3.0), ("X", 4.0), (None, 5.0)], "code string, change_pct double")
+    m = spark.createDataFrame([("600000", "bank"), ("1", "tech"), ("000002", "food")], "code string, industry string")
+    j = joins.with_sector(q, m, vendor_codes=True)
+    assert {r.code: r.industry_name for r in j.collect()} == {"sh600000": "bank", "000001.SZ": "tech", "2": "food", "X": None, None: None}
+
+
+def test_null_groups_keep_their_rows(spark):
+    from tidemark.operators import concentration, rank, valuation
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), (None, 6.0, 1), (None, 2.0, 2)], "g string, x double, o int")
+    assert rank.row_number_by(df, [F.col("x").desc()], by=["g"]).count() == 4
+    assert {(r.g, r.total) for r in rank.with_total(df, "x", by=["g"]).collect()} == {("a", 4.0), (None, 8.0)}
+    conc = {r.g: r.top1_pct for r in concentration.concentration(df, "x", (1,), by=["g"]).collect()}
+    assert conc == {"a": 75.0, None: 75.0}
+    pos = {r.g: (r.current, r.percentile) for r in valuation.valuation_position(df, "o", "x", by=["g"]).collect()}
+    assert pos == {"a": (3.0, 50.0), None: (2.0, 0.0)}
+
+
+def test_a2_means_are_not_cut_before_they_are_taken(spark):
+    df = spark.createDataFrame([("2021-01-01", 1.0040), ("2021-02-01", 1.0059)], "d string, x double").withColumn("d", F.to_date("d"))
+    assert rollups.period_mean(df, "d", "x").first().avg_pe_val == 1.0
 
 
 def test_a4_no_map_gives_typed_empty_table(spark, tmp):
@@ -201,8 +214,8 @@ def test_t5_f18_cosine_cases(spark):
     assert got == {1: 1.0, 2: 0.0, 3: 0.0}
 
 
-@pytest.mark.parametrize("broadcast_elements", [0, 10_000_000])
-def test_t5_matches_brute_force_with_ties(spark, broadcast_elements):
+@pytest.mark.parametrize("block_rows", [10, 10_000])
+def test_t5_matches_brute_force_with_ties(spark, block_rows):
     import numpy as np
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8)).astype("float32")
@@ -211,7 +224,7 @@ def test_t5_matches_brute_force_with_ties(spark, broadcast_elements):
     qs = rng.normal(size=(3, 8))
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "qid int, query array<double>")
     got = {}
-    for r in vectors.cosine_topk(docs, q, 7, block_rows=10, broadcast_elements=broadcast_elements).collect():
+    for r in vectors.cosine_topk(docs, q, 7, block_rows=block_rows).collect():
         got.setdefault(r.qid, []).append((r.rank, r.doc_id))
     V = vecs.astype("float64")
     for i, qq in enumerate(qs):
@@ -224,9 +237,9 @@ def test_t6_lsh_returns_subset_with_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     q = vectors.centroids(e, "embedding", by=["label"])
     exact = vectors.cosine_topk(e, q, 10, doc_id="vec_id", query_id="label")
-    approx = vectors.cosine_topk_lsh(e, q, 10, doc_id="vec_id", query_id="label", bucket_length=2.0, tables=10)
+    approx = vectors.cosine_topk_lsh(e, q, 10, doc_id="vec_id", query_id="label", bucket_length=0.3, tables=4)
     rec = vectors.recall_at_k(approx, exact, "label", "vec_id").agg(F.avg("recall")).collect()[0][0]
-    assert 0.5 <= rec <= 1.0
+    assert 0.9 <= rec <= 1.0
 
 
 RAW_OK = {"trend": "上涨", "trend_strength": "强", "index_summary": "s", "momentum_signals": [], "confidence": 0.5}
@@ -346,15 +359,94 @@ def test_t6_ivf_recall(spark):
     approx = vectors.cosine_topk_ivf(e, q, 10, doc_id="vec_id", query_id="label", cells=8, probes=8)
     rec = vectors.recall_at_k(approx, exact, "label", "vec_id").agg(F.avg("recall")).collect()[0][0]
     assert rec == 1.0  # probing every cell is exact
-    approx3 = vectors.cosine_topk_ivf(e, q, 10, doc_id="vec_id", query_id="label", cells=8, probes=3)
-    rec3 = vectors.recall_at_k(approx3, exact, "label", "vec_id").agg(F.avg("recall")).collect()[0][0]
-    print("ivf recall with 3 of 8 cells:", rec3)
-    assert 0.0 < rec3 <= 1.0
+    approx7 = vectors.cosine_topk_ivf(e, q, 10, doc_id="vec_id", query_id="label", cells=8, probes=7)
+    assert vectors.recall_at_k(approx7, exact, "label", "vec_id").agg(F.avg("recall")).collect()[0][0] >= 0.9
 
 
-@pytest.mark.parametrize("broadcast_elements", [0, 10_000_000])
-def test_t5_string_ids(spark, broadcast_elements):
+def test_t5_memory_is_one_tile(monkeypatch):
+    import tracemalloc
+    import numpy as np
+    rng = np.random.default_rng(3)
+    docs, qs = list(rng.normal(size=(9000, 8))), list(rng.normal(size=(3000, 8)))
+    whole = vectors.top_cell(np.array(docs + [None], dtype=object)[:-1], np.arange(9000), np.array(qs + [None], dtype=object)[:-1], np.arange(3000), 5)
+    assert len(whole) == 15000
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 100)
+    monkeypatch.setattr(vectors, "TILE_DOCS", 500)
+    tracemalloc.start()
+    tiled = vectors.top_cell(np.array(docs + [None], dtype=object)[:-1], np.arange(9000), np.array(qs + [None], dtype=object)[:-1], np.arange(3000), 5)
+    assert tracemalloc.get_traced_memory()[1] < 40e6  # all scores at once would be 216 MB
+    tracemalloc.stop()
+    assert (tiled.doc_id.to_numpy() == whole.doc_id.to_numpy()).all()
+
+
+def test_t5_string_ids(spark):
     docs = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid int, query array<double>")
-    got = [(r.rank, r.id) for r in vectors.cosine_topk(docs, q, 2, doc_id="id", broadcast_elements=broadcast_elements).collect()]
+    got = [(r.rank, r.id) for r in vectors.cosine_topk(docs, q, 2, doc_id="id").collect()]
     assert sorted(got) == [(1, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize("change", [{"trend": 5}, {"momentum_signals": [1, 2]}, {"momentum_signals": [None]}, {"support_level": "abc"},
+                                    {"momentum_signals": "a"}, {"index_summary": {"a": 1}}])
+def test_c4_values_of_another_type_are_rejected(spark, change):
+    df = spark.createDataFrame([(json.dumps({**RAW_OK, **change}),)], "raw string")
+    assert structured.parse_structured(df, "raw", "technical").first().status == "type"
+
+
+def test_c4_counts_are_whole_and_nested_fields_are_checked(spark):
+    macro = {"pe_valuation": {"current_pe": 1, "historical_max": 2, "historical_min": "0.5", "historical_mean": 1.0, "percentile": 50, "assessment": "a"},
+             "market_breadth": {"up_count": 3, "down_count": "4", "flat_count": 0.0, "avg_change_pct": 0.1, "breadth_signal": "b"},
+             "economic_events": [], "sentiment": "s", "key_drivers": ["k"], "confidence": 0.5}
+    half = {**macro, "market_breadth": {**macro["market_breadth"], "up_count": 3.7}}
+    none = {**macro, "market_breadth": {k: v for k, v in macro["market_breadth"].items() if k != "up_count"}}
+    df = spark.createDataFrame([(json.dumps(x),) for x in (macro, half, none)], "raw string")
+    got = structured.parse_structured(df, "raw", "macro").collect()
+    assert [r.status for r in got] == ["ok", "type", "missing"]
+    assert got[0].parsed.market_breadth.down_count == 4
+    flow = {"top_turnover_stocks": [{"code": "1", "name": "n", "amount": 2, "change_pct": 0.5}], "sector_rotation": [], "capital_direction": "in",
+            "concentration_note": "", "confidence": 1}
+    bad = {**flow, "top_turnover_stocks": [{"code": 1, "name": "n", "amount": 2, "change_pct": 0.5}]}
+    df = spark.createDataFrame([(json.dumps(x),) for x in (flow, bad)], "raw string")
+    assert [r.status for r in structured.parse_structured(df, "raw", "fund_flow").collect()] == ["ok", "type"]
+
+
+def test_c7_chinese_sentences_that_share_words_are_alike(spark):
+    from tidemark.operators.embed import hash_embed
+    df = spark.createDataFrame([(1, "今日半导体板块走强领涨市场"), (2, "昨日半导体板块走强资金流入"), (3, None)], "i int, t string")
+    v = {r.i: r.embedding for r in hash_embed(df, "t", dims=512).collect()}
+    assert sum(a * b for a, b in zip(v[1], v[2])) > 0.4 and not any(v[3])
+
+
+def test_c5_latest_result_wins(spark):
+    from tidemark.operators.gather import gather
+    df = spark.createDataFrame([("k", "risk", 9, 1), ("k", "risk", 2, 2), ("k", "risk", None, 3)], "key string, kind string, v int, ver int")
+    assert gather(df, ["key"], "kind", "v", kinds=["risk"], defaults={}, version="ver").first().risk == 2
+
+
+def test_c2_json_schema_and_editor_prompt(spark):
+    from tidemark import schemas
+    from tidemark.operators import render
+    schema = json.loads(schemas.json_schema(schemas.TECHNICAL, structured.OPTIONAL["technical"]))
+    assert schema["properties"]["trend"] == {"type": "string"} and "support_level" not in schema["required"]
+    assert schema["properties"]["momentum_signals"] == {"type": "array", "items": {"type": "string"}}
+    row = spark.range(1).select(F.struct(F.lit(3).alias("up_count"), F.lit(1).alias("down_count"), F.lit(None).cast("double").alias("avg_change_pct")).alias("s"),
+                                F.struct(F.lit("弱").alias("trend"), F.lit(0.25).alias("confidence")).alias("r"))
+    plain = row.select(render.editor_prompt(F.lit("2024"), F.col("s"), F.lit("ctx"), {"technical": F.col("r")}).alias("p")).first().p
+    assert plain == ('## 报告日期\n2024\n\n## 原始市场数据摘要\n上涨 3 家 / 下跌 1 家，平均涨跌幅 ?%\n\n## RAG 检索到的新闻\nctx\n\n## 技术分析师报告 (置信度: 0.25)\n'
+                     '```json\n{"trend":"弱","confidence":0.25}\n```\n\n请综合以上所有信息，输出最终日报 JSON。')
+    asked = row.select(render.editor_prompt(F.lit("2024"), F.col("s"), F.lit("ctx"), {}, F.lit("why?")).alias("p")).first().p
+    assert "## 用户问题\nwhy?\n" in asked
+
+
+def test_c13_c14_score_table_and_answer(spark):
+    from tidemark.operators import evaluate, render
+    card = evaluate.eval_card(F.lit("d"), F.lit(0.8), F.lit(0.5), F.struct(F.lit(True).alias("pass")))
+    got = spark.range(1).select(card.alias("c")).select("c.overall_score", render.score_table(F.col("c")).alias("t")).first()
+    assert got.overall_score == 0.83 and "| 检索精度 | 80% |" in got.t and "| 报告质量 | 通过 |" in got.t and "**83%**" in got.t
+    final = F.struct(F.lit("中性").alias("overall_sentiment"), F.lit("low").alias("risk_level"), F.lit("sum").alias("summary"),
+                     F.array(F.struct(F.lit("h").alias("heading"), F.lit("c").alias("content"))).alias("sections"), F.array(F.lit("k")).alias("key_highlights"))
+    rows = F.array(F.lit("| a | b | 1% |"))
+    text = spark.range(1).select(render.render_answer(F.lit("q"), rows, final, F.lit("one---two---three---four")).alias("a"),
+                                 render.render_answer(F.lit("q"), rows, F.when(F.lit(False), final), F.lit(" ")).alias("b")).first()
+    assert text.a.endswith("**市场情绪**: 中性\n**风险等级**: low\n\nsum\n\n**h**\nc\n\n**关键要点**:\n- k\n\n---\n\n### 📎 参考新闻 (RAG 检索)\none\ntwo\nthree")
+    assert text.b.endswith("### 📝 综合研判\n\n（主编汇总失败）") and "| a | b | 1% |" in text.b

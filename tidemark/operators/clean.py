@@ -21,10 +21,13 @@ def clean_quotes(
     """Coerce numerics (bad text -> null), keep rows with a code and a positive price.
 
     Output: code, name, price, change_pct, volume_num, amount_num (+ ``keep``).
-    Rows with a null change or amount are kept.  The predicates are simple
-    column comparisons, so on Parquet they reach the scan as pushed filters.
+    Rows with a null change or amount are kept.  A numeric price is compared as
+    it is, so on Parquet the test reaches the scan as a pushed filter; only a
+    text price is parsed first.
     """
     price_d = to_double(price)
+    if dict(df.dtypes)[price] in ("double", "float"):
+        df = df.where(F.col(code).isNotNull() & (F.col(price) > 0) & ~F.isnan(price))  # NaN compares as greater
     out = df.select(
         *[F.col(k) for k in keep],
         F.col(code).alias("code"),

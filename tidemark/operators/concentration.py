@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import MONEY_TYPE, money_sum, pct
+from .joins import null_safe_join
 from .topn import top_n
 
 
@@ -43,5 +44,5 @@ def concentration(df: DataFrame, measure: str = "amount_num", ns: Sequence[int]
         F.sum(F.when(F.col("_rk") <= n, m.cast(MONEY_TYPE))).cast("double").alias(f"s{n}") for n in ns
     ])
     totals = df.groupBy(*by).agg(money_sum(measure).alias("total"))
-    joined = totals.join(sums, list(by), "left")
+    joined = null_safe_join(totals, sums, by, "left")
     return joined.select(*by, *[pct(F.coalesce(F.col(f"s{n}"), F.lit(0.0)), "total").alias(f"top{n}_pct") for n in ns])

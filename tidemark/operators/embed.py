@@ -2,8 +2,10 @@
 
 Two ways to turn text into vectors:
 
-* ``hash_embed``: Spark-only character n-gram features (NGram -> HashingTF ->
-  Normalizer), unit-length ARRAY<FLOAT>.  JVM-side, no Python on executors.
+* ``hash_embed``: hashed n-gram features, unit-length ARRAY<FLOAT>.  Character
+  n-grams (the default, which also fits text without spaces between words) are
+  counted with NumPy over Arrow batches; word n-grams stay in the JVM
+  (NGram -> HashingTF -> Normalizer).
 * ``embed_with``: a user-supplied function (e.g. a remote model client) called
   on batches of ``batch`` texts in order, through Arrow (mapInPandas).  An
   empty input gives no calls.
@@ -13,37 +15,58 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hash_embed(df: DataFrame, text: str, out: str = "embedding", dims: int = 1536, n: int = 3,
-               unit: str = "word") -> DataFrame:
+GRAM_BASE = 65_599
+
+
+def _char_grams(dims: int, n: int):
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            v = np.zeros(dims)
+            if len(points) >= n:
+                bucket = np.zeros(len(points) - n + 1, np.int64)
+                for k in range(n):
+                    bucket = (bucket * GRAM_BASE + points[k: k + len(bucket)]) % dims
+                v = np.bincount(bucket, minlength=dims) / 1.0
+                v /= np.sqrt((v * v).sum())
+            out.append(v.astype(np.float32))
+        return pd.Series(out)
+    return embed
+
+
+def hash_embed(df: DataFrame, text: str, out: str = "embedding", dims: int = 1536, n: int = 2,
+               unit: str = "char") -> DataFrame:
     """Unit-normalised hashed n-gram features.
 
-    ``unit="word"``: lower-cased word unigrams plus word bigrams (cheap: one
-    token per word).  ``unit="char"``: character n-grams of length ``n``
-    (robust to spelling, but one token per character).  A text with no token
-    (null, blank) gets an all-zero vector, which retrieval never returns.
+    ``unit="char"``: character n-grams of length ``n`` of the lower-cased text;
+    an n-gram's bucket is the polynomial of its code points (base
+    ``GRAM_BASE``) modulo ``dims``, which SQL can compute as well.
+    ``unit="word"``: lower-cased word unigrams plus word bigrams.  A text with
+    no n-gram (null, blank) gets an all-zero vector, which retrieval never
+    returns.
     """
+    if unit == "char":
+        return df.withColumn(out, _char_grams(dims, n)(F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))))
+    if unit != "word":
+        raise ValueError(f"unknown unit {unit!r}")
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
     staged = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    if unit == "word":
-        stages = [
-            RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"[\p{L}\p{N}]+", gaps=False, toLowercase=True),
-            NGram(n=2, inputCol="_w", outputCol="_b"),
-        ]
-        tokens = F.concat(F.col("_w"), F.col("_b"))
-    elif unit == "char":
-        staged = staged.withColumn("_w", F.split(F.col("_t"), ""))
-        stages = [NGram(n=n, inputCol="_w", outputCol="_b")]
-        tokens = F.col("_b")
-    else:
-        raise ValueError(f"unknown unit {unit!r}")
+    stages = [
+        RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"[\p{L}\p{N}]+", gaps=False, toLowercase=True),
+        NGram(n=2, inputCol="_w", outputCol="_b"),
+    ]
+    tokens = F.concat(F.col("_w"), F.col("_b"))
     grams = Pipeline(stages=stages).fit(staged.limit(0)).transform(staged)
     grams = grams.withColumn("_g", tokens)
     tail = Pipeline(stages=[

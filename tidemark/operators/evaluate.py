@@ -88,3 +88,9 @@ def overall_score(retrieval: Column, consistency: Column, passed: Column) -> Col
     q = F.when(passed, F.lit(1.0)).otherwise(F.lit(QUALITY_FAIL_CREDIT))
     raw = F.lit(WEIGHT_RETRIEVAL) * retrieval + F.lit(WEIGHT_CONSISTENCY) * consistency + F.lit(WEIGHT_QUALITY) * q
     return round_half_up(raw, 2)
+
+
+def eval_card(date: Column, retrieval: Column, consistency: Column, quality: Column) -> Column:
+    """The daily card: date, both scores, the quality struct and the weighted score."""
+    return F.struct(date.alias("date"), retrieval.alias("retrieval_precision"), consistency.alias("cross_agent_consistency"),
+                    quality.alias("report_quality"), overall_score(retrieval, consistency, quality["pass"]).alias("overall_score"))

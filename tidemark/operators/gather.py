@@ -40,15 +40,23 @@ DEFAULT_RESULTS_SQL = {
 
 def gather(results: DataFrame, key: Sequence[str], kind: str, value: str,
            kinds: Sequence[str] = tuple(schemas.ANALYSTS),
-           defaults: dict[str, Column] | None = None, policy: str = "default") -> DataFrame:
+           defaults: dict[str, Column] | None = None, policy: str = "default",
+           version: str | None = None) -> DataFrame:
     """One row per ``key`` with one column per kind (a pivot with fixed values).
 
     policy 'default': a missing kind gets ``defaults[kind]`` (the neutral
     filler).  policy 'fail': rows missing any kind keep nulls and get a
     ``missing`` array naming the absent kinds; pass them to ``gather_errors``.
-    Several rows of one kind for one key resolve to the greatest value.
+    Several rows of one kind for one key resolve to the latest by ``version``
+    (ties, and no version: the greatest value).
     """
-    aggs = [F.max(F.when(F.col(kind) == k, F.col(value))).alias(k) for k in kinds]
+    def pick(k: str) -> Column:
+        mine = F.col(kind) == k
+        if version is None:
+            return F.max(F.when(mine, F.col(value)))
+        return F.max(F.when(mine & F.col(value).isNotNull(), F.struct(F.col(version).alias("v"), F.col(value).alias("x"))))["x"]
+
+    aggs = [pick(k).alias(k) for k in kinds]
     g = results.groupBy(*key).agg(*aggs)
     if policy == "default":
         dflt = defaults if defaults is not None else {k: F.expr(DEFAULT_RESULTS_SQL[k]) for k in kinds if k in DEFAULT_RESULTS_SQL}

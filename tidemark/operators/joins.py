@@ -1,32 +1,23 @@
-"""Joins (J1-J4, K3) and the size-checked broadcast they share."""
+"""Joins (J1-J4, K3).  No hints: Spark picks broadcast or shuffle from sizes."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Default row bound for a broadcast side; overridable per session with
-# ``spark.conf.set("tidemark.broadcast.maxRows", ...)``.
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
-
-def broadcast_bound(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("tidemark.broadcast.maxRows", None)
-    return int(conf) if conf else DEFAULT_BROADCAST_ROWS
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a LIMIT, not a full count).
-    Above the bound the frame is returned unchanged and the join stays a
-    shuffle join (AQE may still switch it at run time from real sizes).
-    """
-    bound = max_rows if max_rows is not None else broadcast_bound(df)
-    small = df.limit(bound + 1).count() <= bound
-    return (F.broadcast(df), True) if small else (df, False)
+def null_safe_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet each other; the key columns are the left side's."""
+    keys = [on] if isinstance(on, str) else list(on)
+    side = right
+    for k in keys:
+        side = side.withColumnRenamed(k, f"_right_{k}")
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(side[f"_right_{k}"])
+    return left.join(side, cond, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str] | str, version: str | None = None) -> DataFrame:
@@ -48,28 +39,45 @@ def latest_per_key(df: DataFrame, key: Sequence[str] | str, version: str | None
     return out.select(*sel)
 
 
-def with_dimension(facts: DataFrame, dim: DataFrame, key: str | Sequence[str], *,
-                   how: str = "left", max_rows: int | None = None) -> DataFrame:
-    """Attach a dimension table (J1).  The dimension is deduplicated by the caller.
+def with_dimension(facts: DataFrame, dim: DataFrame, key: str | Sequence[str], *, how: str = "left") -> DataFrame:
+    """Attach a dimension table (J1), which the caller has deduplicated.  A plain
+    join: Spark broadcasts the dimension by its bytes, known or measured."""
+    return facts.join(dim, key, how)
 
-    The dimension side is broadcast only behind the row bound; otherwise both
-    sides shuffle on the key.
-    """
-    side, _ = bounded_broadcast(dim, max_rows)
-    return facts.join(side, key, how)
+
+_DIGITS = r"(\d{6})"
+
+
+def normalise_code(code: str = "code") -> Column:
+    """Vendor stock code -> six digits: exchange prefixes and suffixes
+    (``sh600000``, ``600000.SH``) go, short numbers (``1``) get leading zeros;
+    text without digits stays as it is, trimmed."""
+    c = F.trim(F.col(code))
+    six = F.regexp_extract(c, _DIGITS, 1)
+    short = F.regexp_extract(c, r"^(\d{1,5})$", 1)
+    return F.when(six != "", six).when(short != "", F.lpad(short, 6, "0")).otherwise(c)
 
 
 def with_sector(quotes: DataFrame, sector_map: DataFrame, key: str = "code",
                 dim: str = "industry", out: str = "industry_name",
-                version: str | None = "trade_date", multi: bool = False) -> DataFrame:
-    """quotes LEFT JOIN (deduplicated) map; rows without a sector keep a null."""
+                version: str | None = "trade_date", multi: bool = False, vendor_codes: bool = False) -> DataFrame:
+    """quotes LEFT JOIN (deduplicated) map; rows without a sector keep a null.
+
+    ``vendor_codes``: both sides come from different vendors, so their codes
+    meet in the form of ``normalise_code`` (the quotes keep their own code).
+    """
     m = sector_map
+    if vendor_codes:
+        m = m.withColumn(key, normalise_code(key))
     if version and version not in m.columns:
         version = None
     if not multi:
         m = latest_per_key(m.select(key, dim, *([version] if version else [])), key, version)
     else:
         m = m.select(key, dim).distinct()
+    if vendor_codes:
+        m = m.select(F.col(key).alias("_code"), F.col(dim).alias(out))
+        return quotes.withColumn("_code", normalise_code(key)).join(m, "_code", "left").drop("_code")
     m = m.select(F.col(key), F.col(dim).alias(out))
     return with_dimension(quotes, m, key, how="left")
 
@@ -79,16 +87,9 @@ def unmatched_count(joined: DataFrame, dim_col: str) -> DataFrame:
     return joined.agg(F.count_if(F.col(dim_col).isNull()).cast("long").alias("unmatched"))
 
 
-def semi_in(facts: DataFrame, keys: DataFrame, on: str | Sequence[str], known_rows: int | None = None) -> DataFrame:
-    """Rows of ``facts`` whose key is in ``keys``.
-
-    ``known_rows``: an upper bound the caller can prove by construction (e.g.
-    the output of a top-n); it skips the row check.
-    """
-    if known_rows is not None and known_rows <= broadcast_bound(keys):
-        return facts.join(F.broadcast(keys), on, "left_semi")
-    side, _ = bounded_broadcast(keys)
-    return facts.join(side, on, "left_semi")
+def semi_in(facts: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Rows of ``facts`` whose key is in ``keys``."""
+    return facts.join(keys, on, "left_semi")
 
 
 def new_only(incoming: DataFrame, existing: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -125,23 +125,25 @@ def metadata(title: str = "title", source: str = "source", date: str = "date",
 
 def prepare_articles(news: DataFrame, batch_date: Column | str, order: Sequence[str],
                      key_col: str = "url") -> DataFrame:
-    """One day's news -> knowledge-base rows (id, document, metadata, batch_date).
+    """News of one or many days -> knowledge-base rows (id, document, metadata,
+    batch_date), one per id and day; the upsert lets the later day win.
 
-    Order of steps matters and follows the reference: drop empty urls, keep the
-    first article per md5(url), only then drop texts shorter than 20 chars.
+    Order of steps matters: drop empty urls, keep the day's first article per
+    md5(url), only then drop texts shorter than 20 chars.
     """
     has_date = "date" in news.columns
     for c in ("title", "content", "source"):
         if c not in news.columns:
             news = news.withColumn(c, F.lit(None).cast("string"))
-    n = with_url(news, key_col).withColumn("id", md5_id(key_col))
-    first = dedupe_first(n, "id", order)
+    day = F.lit(batch_date) if isinstance(batch_date, str) else batch_date
+    n = with_url(news, key_col).withColumn("id", md5_id(key_col)).withColumn("_batch_date", day.cast("string"))
+    first = dedupe_first(n, ["id", "_batch_date"], order)
     text = article_text()
     out = first.select(
         "id",
         text.alias("document"),
-        metadata("title", "source", "date" if has_date else None, key_col, batch_date).alias("metadata"),
-        (F.lit(batch_date) if isinstance(batch_date, str) else batch_date).cast("string").alias("batch_date"),
+        metadata("title", "source", "date" if has_date else None, key_col, F.col("_batch_date")).alias("metadata"),
+        F.col("_batch_date").alias("batch_date"),
     )
     return out.where(F.length("document") >= MIN_ARTICLE_CHARS)
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import money_sum
+from .joins import null_safe_join
 
 
 def row_number_by(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
@@ -39,7 +40,7 @@ def row_number_by(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     # offsets has one row per (partition, group) pair present: at most
     # partitions + groups rows, because range partitions hold contiguous groups.
-    numbered = laid.join(offsets.select(*gkeys, "_off", "_first"), gkeys)
+    numbered = null_safe_join(laid, offsets.select(*gkeys, "_off", "_first"), gkeys)
     rn = F.col("_off") + (F.col("_mid") - F.col("_first")) + F.lit(1)
     return numbered.withColumn(out, rn.cast("long")).drop("_pid", "_mid", "_off", "_first")
 
@@ -48,5 +49,5 @@ def with_total(df: DataFrame, measure: str, out: str = "total", by: Sequence[str
     """Attach the (group) total of a money column to every row."""
     if by:
         totals = df.groupBy(*by).agg(money_sum(measure).alias(out))
-        return df.join(totals, list(by))
+        return null_safe_join(df, totals, by)
     return df.withColumn(out, df.agg(money_sum(measure)).scalar())

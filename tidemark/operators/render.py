@@ -41,9 +41,6 @@ CONTEXT_HEADER = "以下是通过 RAG 检索到的 {n} 条相关财经新闻：\
 CONTEXT_HIT = "---\n【{i}】{title}\n来源: {source} | 日期: {date} | 相关度: {sim}\n{excerpt}"
 CONTEXT_DEFAULTS = {"title": "无标题", "source": "?", "date": "?"}
 QUERY_TEMPLATE = "今日A股市场概况：\n上涨 {up} 家，下跌 {down} 家\n平均涨跌幅 {avg}%\n\n涨幅前列: {gainers}\n成交额前列: {amounts}"
-QUERY_INSTRUCTION = (
-    "\n\n请根据以上信息生成一个中文检索查询（15-30字），\n用于在财经新闻库中搜索最相关的背景新闻。\n直接输出查询，不要其他文字。"
-)
 NAME_SEPARATOR = "、"
 ANALYST_PROMPT = "## 今日市场数据\n{focus}\n\n## 相关新闻（RAG 检索）\n{context}\n\n## 输出要求\n必须严格输出以下 JSON Schema 定义的 JSON 对象，不要输出任何其他内容：\n{schema}"
 REPORT_TITLE = "# A股市场日报 ({date})"
@@ -62,6 +59,22 @@ AGENT_DISPLAY = {
 }
 ANSWER_FAILED = "❌ 分析失败"
 ANSWER_ROW = "| {display} | {brief} | {conf} |"
+ANSWER_HEAD = "## 🤖 多智能体分析\n\n**你的问题**: {question}\n\n### 各分析师观点\n\n| 分析师 | 核心观点 | 置信度 |\n|--------|---------|--------|"
+ANSWER_SYNTHESIS = "### 📝 综合研判\n"
+ANSWER_NO_SYNTHESIS = "（主编汇总失败）"
+ANSWER_JUDGEMENT = "**市场情绪**: {sentiment}\n**风险等级**: {risk}\n"
+ANSWER_HIGHLIGHTS = "**关键要点**:"
+ANSWER_NEWS = "\n---\n\n### 📎 参考新闻 (RAG 检索)"
+NEWS_SEPARATOR, NEWS_PARTS = "---", 3
+SCORE_TABLE = ("\n## 质量评估\n\n| 指标 | 得分 |\n|------|------|\n| 检索精度 | {retrieval} |\n| Agent 一致性 | {consistency} |\n"
+               "| 报告质量 | {passed} |\n| **综合评分** | **{overall}** |\n")
+SCORE_PASS, SCORE_FAIL = "通过", "未通过"
+EDITOR_PROMPT = "## 报告日期\n{date}\n\n## 原始市场数据摘要\n{brief}\n\n## RAG 检索到的新闻\n{context}\n\n{reports}\n\n{task}"
+EDITOR_REPORT = "## {name}报告 (置信度: {conf})\n```json\n{json}\n```"
+EDITOR_NAMES = {"macro": "宏观分析师", "technical": "技术分析师", "fund_flow": "资金面分析师", "risk": "风险分析师"}
+MARKET_BRIEF = "上涨 {up} 家 / 下跌 {down} 家，平均涨跌幅 {avg}%"
+EDITOR_TASK = "请综合以上所有信息，输出最终日报 JSON。"
+EDITOR_QUESTION = "## 用户问题\n{question}\n\n请围绕以上问题，综合以下信息给出回答（JSON 格式）。"
 
 
 # ---------------------------------------------------------------- helpers
@@ -153,14 +166,13 @@ def focus_texts(snapshot: DataFrame, key: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- C2 / C3 prompts
 
 
-def search_query(spot: Column, gainers: Column, amounts: Column, with_instruction: bool = False) -> Column:
+def search_query(spot: Column, gainers: Column, amounts: Column) -> Column:
     names = lambda arr: F.array_join(F.transform(F.slice(F.coalesce(arr, F.array()), 1, 5),
                                                   lambda s: F.coalesce(s["name"], F.lit(""))), NAME_SEPARATOR)
-    q = _fmt(QUERY_TEMPLATE, up=F.coalesce(spot["up_count"].cast("string"), F.lit("?")),
+    return _fmt(QUERY_TEMPLATE, up=F.coalesce(spot["up_count"].cast("string"), F.lit("?")),
              down=F.coalesce(spot["down_count"].cast("string"), F.lit("?")),
              avg=F.coalesce(spot["avg_change_pct"].cast("string"), F.lit("?")),
              gainers=names(gainers), amounts=names(amounts))
-    return F.concat(q, F.lit(QUERY_INSTRUCTION)) if with_instruction else q
 
 
 def analyst_prompt(focus: Column, context: Column, schema_text: Column) -> Column:
@@ -199,8 +211,9 @@ def context_or_none(context: Column) -> Column:
 
 def render_report(report_date: Column, summary: Column, sections: Column, sentiment: Column,
                   risk: Column, highlights: Column, contradictions: Column,
-                  footer: str = REPORT_FOOTER) -> Column:
-    """Markdown of a report row; the optional disagreement block only when non-empty."""
+                  footer: str = REPORT_FOOTER, card: Column | None = None) -> Column:
+    """Markdown of a report row; the disagreement block only when non-empty, the
+    score table only with an evaluation ``card`` (see ``evaluate.eval_card``)."""
     sec = lambda s: F.concat_ws("\n", F.concat(F.lit("## "), s["heading"]), F.lit(""), s["content"], F.lit(""),
                                 _fmt(REPORT_SECTION_NOTE, agent=s["source_agent"]), F.lit(""))
     bullets = lambda arr: F.array_join(F.transform(F.coalesce(arr, F.array()), lambda h: F.concat(F.lit("- "), h)), "\n")
@@ -217,11 +230,60 @@ def render_report(report_date: Column, summary: Column, sections: Column, sentim
         F.lit(REPORT_HIGHLIGHTS_HEADING), F.lit(""),
         F.when(has_h, bullets(highlights)), F.lit(""),
         disagreement,
-        F.lit(REPORT_RULE), F.lit(footer),
+        F.lit(REPORT_RULE), *([] if card is None else [F.when(card.isNotNull(), score_table(card))]), F.lit(footer),
     ]
     return F.concat_ws("\n", *parts)
 
 
+def score_table(card: Column) -> Column:
+    """The four scores of an evaluation card; a missing score counts as 0."""
+    share = lambda c: fmt_pct0(F.coalesce(c, F.lit(0.0)))
+    passed = F.when(F.coalesce(card["report_quality"]["pass"], F.lit(False)), F.lit(SCORE_PASS)).otherwise(F.lit(SCORE_FAIL))
+    return _fmt(SCORE_TABLE, retrieval=share(card["retrieval_precision"]), consistency=share(card["cross_agent_consistency"]),
+                passed=passed, overall=share(card["overall_score"]))
+
+
+# ---------------------------------------------------------------- C2 editor prompt
+
+
+def editor_prompt(date: Column, spot: Column, context: Column, results: dict[str, Column], question: Column | None = None) -> Column:
+    """The editor's input: market brief, news, the four reports as JSON with
+    their confidences, and the task, or the user's question where there is one."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    brief = _fmt(MARKET_BRIEF, up=text(spot["up_count"]), down=text(spot["down_count"]), avg=text(spot["avg_change_pct"]))
+    reports = F.concat_ws("\n\n", *[
+        _fmt(EDITOR_REPORT, name=F.lit(EDITOR_NAMES[k]), conf=F.coalesce(r["confidence"].cast("string"), F.lit("")), json=F.coalesce(F.to_json(r), F.lit("null")))
+        for k, r in results.items()])
+    task = F.lit(EDITOR_TASK)
+    if question is not None:
+        asked = F.coalesce(question, F.lit("")) != ""
+        task = F.when(asked, _fmt(EDITOR_QUESTION, question=F.coalesce(question, F.lit("")))).otherwise(task)
+    return _fmt(EDITOR_PROMPT, date=date, brief=brief, context=F.coalesce(context, F.lit("")), reports=reports, task=task)
+
+
+# ---------------------------------------------------------------- C14 answer, F16
+
+
+def news_excerpt(context: Column) -> Column:
+    """The first parts of a context text between its separators (F16)."""
+    return F.array_join(F.slice(F.split(context, NEWS_SEPARATOR), 1, NEWS_PARTS), "\n")
+
+
+def render_answer(question: Column, rows: Column, final: Column, context: Column) -> Column:
+    """The whole answer: head, one table row per analyst (``rows``: an array of
+    lines), the editor's synthesis (``final``: a report struct, null where it
+    failed) and the news it leans on."""
+    part = lambda s: F.concat_ws("\n", F.concat(F.lit("**"), s["heading"], F.lit("**")), s["content"], F.lit(""))
+    sections, highlights = F.coalesce(final["sections"], F.array()), F.coalesce(final["key_highlights"], F.array())
+    synthesis = F.concat_ws(
+        "\n", _fmt(ANSWER_JUDGEMENT, sentiment=final["overall_sentiment"], risk=final["risk_level"]), final["summary"], F.lit(""),
+        F.when(F.size(sections) > 0, F.array_join(F.transform(sections, part), "\n")),
+        F.when(F.size(highlights) > 0, F.concat_ws("\n", F.lit(ANSWER_HIGHLIGHTS), F.array_join(F.transform(highlights, lambda h: F.concat(F.lit("- "), h)), "\n"))))
+    news = F.when(F.trim(F.coalesce(context, F.lit(""))) != "", F.concat_ws("\n", F.lit(ANSWER_NEWS), news_excerpt(context)))
+    return F.concat_ws("\n", _fmt(ANSWER_HEAD, question=F.coalesce(question, F.lit(""))), F.array_join(rows, "\n"), F.lit(""), F.lit(ANSWER_SYNTHESIS),
+                       F.when(final.isNull(), F.lit(ANSWER_NO_SYNTHESIS)).otherwise(synthesis), news)
+
+
 # ---------------------------------------------------------------- C14 answer rows
 
 

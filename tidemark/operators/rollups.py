@@ -20,7 +20,7 @@ def period_mean(df: DataFrame, date_col: str, value: str, period: str = "year",
         key = F.date_trunc("month", F.col(date_col)).cast("date").alias("month")
     else:
         raise ValueError(f"unknown period {period!r}")
-    return df.groupBy(*by, key).agg(round_half_up(exact_mean(value, "decimal(18,2)"), digits).alias(out))
+    return df.groupBy(*by, key).agg(round_half_up(exact_mean(value), digits).alias(out))
 
 
 def range_stats(bars: DataFrame, close_col: str = "close", open_col: str = "open",
@@ -34,7 +34,7 @@ def range_stats(bars: DataFrame, close_col: str = "close", open_col: str = "open
     return b.groupBy(*by).agg(
         round_half_up(F.min(close_col), 2).alias("close_min"),
         round_half_up(F.max(close_col), 2).alias("close_max"),
-        round_half_up(exact_mean(close_col, "decimal(18,2)"), 2).alias("close_avg"),
+        round_half_up(exact_mean(close_col), 2).alias("close_avg"),
         round_half_up(F.stddev_samp("_ret"), 2).alias("volatility"),
     )
 

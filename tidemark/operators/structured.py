@@ -3,8 +3,8 @@
 A model answer is accepted when it is a JSON object (directly, or inside the
 first fenced code block), every required field is present and of a usable
 type, and every bounded number is inside its range.  Numbers given as text
-("0.5") are accepted, as the reference's models accept them; ``from_json``
-alone would turn them into null.  Each leaf is read from a VARIANT with
+("0.5") are accepted where ``from_json`` would turn them into null; numbers
+where text is asked for, nulls in lists and fractions in counts are not.  Each leaf is read from a VARIANT with
 ``try_variant_get``, all JVM-side.
 """
 
@@ -45,25 +45,39 @@ def _present(v: Column, path: str) -> Column:
     return got.isNotNull() & ~F.is_variant_null(got)
 
 
+def _kind(x: Column) -> Column:
+    """The JSON type of a variant: STRING, BIGINT, OBJECT<...>, ...; VOID for null."""
+    return F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+
+
+def _fits(x: Column, dtype: T.DataType) -> Column:
+    """Is the variant a value of the type?  Text must be text; a number may be
+    given as text; a count must be whole; lists and objects are checked through."""
+    kind = _kind(x)
+    if isinstance(dtype, T.StringType):
+        return kind == "STRING"
+    if isinstance(dtype, T.ArrayType):
+        items = F.try_variant_get(x, "$", "array<variant>")
+        return kind.startswith("ARRAY") & F.coalesce(F.forall(items, lambda i: _fits(i, dtype.elementType)), F.lit(False))
+    if isinstance(dtype, T.StructType):
+        return kind.startswith("OBJECT") & _all([_fits(F.try_variant_get(x, f"$.{f.name}", "variant"), f.dataType) for f in dtype.fields])
+    number = F.try_variant_get(x, "$", "double")
+    plain = kind.rlike("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)") & number.isNotNull() & ~F.isnan(number)
+    whole = plain & (number == F.floor(number))
+    return F.coalesce(whole if isinstance(dtype, T.LongType) else plain, F.lit(False))
+
+
 def _checks(v: Column, st: T.StructType, prefix: str, optional: set[str],
             missing: list[Column], wrong: list[Column]) -> None:
     for f in st.fields:
         name = f"{prefix}{f.name}"
         path = "$." + name
-        if name in optional:
-            continue
         present = _present(v, path)
-        missing.append(~present)
-        wrong.append(present & _typed(v, path, f.dataType).isNull())
+        if name not in optional:
+            missing.append(~present)
+        wrong.append(present & ~_fits(F.try_variant_get(v, path, "variant"), f.dataType))
         if isinstance(f.dataType, T.StructType):
             _checks(v, f.dataType, name + ".", optional, missing, wrong)
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-            elem = f.dataType.elementType
-            arr = _typed(v, path, f.dataType)
-            # every element needs all of its fields
-            ok = F.forall(arr, lambda x: F.lit(True) if not elem.fields else
-                          _all([x[g.name].isNotNull() for g in elem.fields]))
-            wrong.append(present & ~F.coalesce(ok, F.lit(True)))
 
 
 def _all(cs: Sequence[Column]) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,28 +38,37 @@ def bucket_of(key: str, buckets: int) -> F.Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None when nothing is there yet.  Any
+    other failure (an unreadable file, no permission) is raised: taking it for
+    an empty table would lose its rows."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: str, version: str,
                  order: Sequence[str] = (), buckets: int = 64) -> None:
     """Upsert ``updates`` into the Parquet table at ``path`` (bucket-partitioned).
 
     Only buckets that receive updates are read and rewritten (dynamic partition
-    overwrite).  The merged buckets are first written to a staging table in the
-    shared checkpoint folder, so the job never reads and overwrites the same
-    files and a lost executor only reruns tasks.
+    overwrite).  The merged buckets are first written to a staging table of this
+    call's own in the shared checkpoint folder, so the job never reads and
+    overwrites the same files and a lost executor only reruns tasks.  The table
+    has one writer at a time: Parquet folders have no commit that two could
+    share.
     """
     upd = updates.withColumn("bucket", bucket_of(key, buckets))
-    try:
-        current = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first load: no table yet
-        current = None
-    if current is not None:
+    base = read_if_there(spark, path)
+    if base is not None:
         touched = upd.select("bucket").distinct()  # at most `buckets` rows
-        base = current.join(F.broadcast(touched), "bucket", "left_semi")
-    else:
-        base = None
+        base = base.join(touched, "bucket", "left_semi")
     merged = upsert_latest(base, upd, key, version, order)
-    staging = scratch_path(spark, f"upsert-staging-{abs(hash((path, version))) % 10**9}")
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    staged = spark.read.parquet(staging)
+    staging = scratch_path(spark, "upsert-staging")
+    merged.write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy("bucket").parquet(staging)
+    staged = spark.read.schema(merged.schema).parquet(staging)
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(path))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_mean, round_half_up
+from .joins import null_safe_join
 
 
 def valuation_position(periods: DataFrame, order: str = "year", value: str = "avg_pe_val",
@@ -22,13 +23,13 @@ def valuation_position(periods: DataFrame, order: str = "year", value: str = "av
     v = F.col(value)
     if by:
         cur = periods.groupBy(*by).agg(F.max_by(v, F.col(order)).alias("current"))
-        j = periods.join(cur, list(by))
+        j = null_safe_join(periods, cur, by)
     else:
         j = periods.withColumn("current", periods.agg(F.max_by(v, F.col(order))).scalar())
     return j.groupBy(*by).agg(
         F.max("current").alias("current"),
         F.max(v).alias("max"),
         F.min(v).alias("min"),
-        round_half_up(exact_mean(v, "decimal(18,2)"), 4).alias("mean"),
+        round_half_up(exact_mean(v), 4).alias("mean"),
         round_half_up(F.count_if(v < F.col("current")).cast("double") / F.count(F.lit(1)) * 100, 1).alias("percentile"),
     )

@@ -1,17 +1,14 @@
 """Cosine top-k retrieval (T5 exact, T6 approximate, F18).
 
 Exact search scores every (query, document) pair - that is what "exact" means -
-but never materialises the pairs as rows.  Two physical strategies:
-
-* small query set (size-checked): the queries are broadcast and each document
-  partition is scored in place with NumPy, keeping the k best per query; the
-  corpus is never shuffled.
-* large query set: documents are hashed into blocks, queries into query
-  blocks, and each (query block, document block) cell is one cogroup task;
-  the block sizes bound task memory at any corpus or query-set size.
-
-Either way a final row_number() <= k per query (partial WindowGroupLimit)
-merges the partial lists.
+but never materialises the pairs as rows, and there is one plan for every size:
+documents are hashed into blocks, queries into query blocks, and each (query
+block, document block) cell is one cogroup task.  A cell scores tiles of
+``TILE_QUERIES`` x ``TILE_DOCS`` with a NumPy product and keeps the k best of
+each query, so its memory is its two blocks and one tile, whatever the numbers
+of queries and documents.  Nothing passes through the driver but two row counts.
+A final row_number() <= k per query (partial WindowGroupLimit) merges the
+cells' lists.
 """
 
 from __future__ import annotations
@@ -28,116 +25,83 @@ from ..functions.numeric import round_half_up
 from ..functions.vectors import cosine_distance, l2_normalise, similarity_from_distance
 
 DEFAULT_BLOCK_ROWS = 20_000
-# Query sets up to this many vector elements (rows x dims, 8 bytes each on
-# executors) are shipped to every task instead of shuffling the corpus.
-DEFAULT_BROADCAST_QUERY_ELEMENTS = 32_000_000
+#: One tile of scores: 1024 x 4096 doubles are 32 MB.
+TILE_QUERIES, TILE_DOCS = 1024, 4096
 
 
-def _top_cells(k: int, qid_type: str):
-    empty = pd.DataFrame({"qid": pd.Series([], dtype=object), "doc_id": pd.Series([], dtype=object),
-                          "dist": pd.Series([], dtype="float64")})
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows of length zero become NaN (no distance)."""
+    v = np.stack(rows).astype(np.float64)
+    norm = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return v / norm
 
-    def fn(docs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if docs.empty or qs.empty:
-            return empty
-        D = np.stack(docs["v"].to_numpy()).astype(np.float64)
-        Q = np.stack(qs["q"].to_numpy()).astype(np.float64)
-        oq, od, ov = _best_k(D, docs["doc_id"].to_numpy(), Q, qs["qid"].to_numpy(), k)
-        if not oq:
-            return empty
-        return _frame(oq, od, ov)
-    return fn
 
+def _k_best(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least distances, ties by id."""
+    keep = np.isfinite(dist)
+    ids, dist = ids[keep], dist[keep]
+    if len(dist) > k:
+        near = dist <= np.partition(dist, k - 1)[k - 1]
+        ids, dist = ids[near], dist[near]
+    order = np.lexsort((ids, dist))[:k]
+    return ids[order], dist[order]
 
-def _best_k(D: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids, k: int):
-    """Per query, the k smallest cosine distances among the rows of D (ties by id)."""
-    dn = np.sqrt(np.einsum("ij,ij->i", D, D))
-    qn = np.sqrt(np.einsum("ij,ij->i", Q, Q))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        dist = 1.0 - (Q @ D.T) / np.outer(qn, dn)
+
+def top_cell(docs: np.ndarray, ids: np.ndarray, queries: np.ndarray, qids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best documents of each query, tile by tile."""
     if ids.dtype == object:
-        ids = ids.astype(str)  # string ids: sortable for the tie-break
-    out_q, out_d, out_v = [], [], []
-    for i, qid in enumerate(qids):
-        row = dist[i]
-        cand = np.flatnonzero(np.isfinite(row))
-        if cand.size == 0:
-            continue
-        if cand.size > k:
-            kth = np.partition(row[cand], k - 1)[k - 1]
-            cand = cand[row[cand] <= kth]
-        sel = cand[np.lexsort((ids[cand], row[cand]))[:k]]
-        out_q.extend([qid] * len(sel))
-        out_d.append(ids[sel])
-        out_v.append(row[sel])
-    return out_q, out_d, out_v
-
-
-def _frame(oq, od, ov) -> pd.DataFrame:
-    return pd.DataFrame({"qid": oq, "doc_id": np.concatenate(od), "dist": np.concatenate(ov)})
-
-
-def _score_partitions(bq, k: int, qid_type: str):
-    def run(frames):
-        qids, Q = bq.value
-        for pdf in frames:
-            if pdf.empty or len(qids) == 0:
-                continue
-            D = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            ids = pdf["doc_id"].to_numpy()
-            oq, od, ov = _best_k(D, ids, Q, qids, k)
-            if oq:
-                yield _frame(oq, od, ov)
-    return run
+        ids = ids.astype(str)  # sortable for the tie-break
+    out = []
+    for qa in range(0, len(qids), TILE_QUERIES):
+        q = _unit(queries[qa: qa + TILE_QUERIES])
+        best: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], np.empty(0))] * len(q)
+        for da in range(0, len(ids), TILE_DOCS):
+            score = 1.0 - q @ _unit(docs[da: da + TILE_DOCS]).T
+            own = ids[da: da + TILE_DOCS]
+            for i in range(len(q)):
+                i_ids, i_dist = _k_best(own, score[i], k)
+                best[i] = _k_best(np.concatenate([best[i][0], i_ids]), np.concatenate([best[i][1], i_dist]), k)
+        for qid, (b_ids, b_dist) in zip(qids[qa: qa + TILE_QUERIES], best):
+            out.append(pd.DataFrame({"qid": [qid] * len(b_ids), "doc_id": b_ids, "dist": b_dist}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"qid": [], "doc_id": [], "dist": []})
+
+
+def _cells(k: int):
+    def fn(docs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if docs.empty or qs.empty:
+            return pd.DataFrame({"qid": [], "doc_id": [], "dist": []})
+        return top_cell(docs["v"].to_numpy(), docs["doc_id"].to_numpy(), qs["q"].to_numpy(), qs["qid"].to_numpy(), k)
+    return fn
 
 
 def _blocks(df: DataFrame, rows_per_block: int) -> int:
-    n = df.count()
-    return max(1, math.ceil(n / rows_per_block))
+    return max(1, math.ceil(df.count() / rows_per_block))
 
 
 def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 10, *,
                 doc_id: str = "doc_id", doc_vec: str = "embedding",
                 query_id: str = "qid", query_vec: str = "query",
-                block_rows: int = DEFAULT_BLOCK_ROWS, digits: int = 6,
-                broadcast_elements: int = DEFAULT_BROADCAST_QUERY_ELEMENTS) -> DataFrame:
+                block_rows: int = DEFAULT_BLOCK_ROWS, digits: int = 6) -> DataFrame:
     """Exact k nearest documents per query by cosine distance.
 
     Output: qid, doc_id, rank (1..k), distance, similarity = max(0, 1-distance)
     rounded to ``digits``.  Ties are broken by doc_id.  Documents (or queries)
-    with a zero-length vector have no distance and never appear.
-
-    Strategy: when the query set is provably small (rows x dims at most
-    ``broadcast_elements``, checked with a LIMIT) it is broadcast and every
-    document partition is scored in place - the corpus is never shuffled.
-    Otherwise the (query block x document block) cogroup grid is used.
+    with a null or zero-length vector have no distance and never appear.
     """
     qid_type = dict(queries.dtypes)[query_id]
     did_type = dict(docs.dtypes)[doc_id]
-    out_schema = f"qid {qid_type}, doc_id {did_type}, dist double"
-    q_small = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("q"))
-    dims_row = q_small.select(F.size("q").alias("n")).where("n > 0").limit(1).collect()
-    dims = dims_row[0].n if dims_row else 1
-    max_q = max(1, broadcast_elements // max(dims, 1))
-    if q_small.limit(max_q + 1).count() <= max_q:
-        local = q_small.toPandas()
-        Q = np.stack(local["q"].to_numpy()).astype(np.float64) if len(local) else np.zeros((0, dims))
-        bq = docs.sparkSession.sparkContext.broadcast((local["qid"].tolist(), Q))
-        d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("v"))
-        cells = d.mapInPandas(_score_partitions(bq, k, qid_type), out_schema)
-        return _merge(cells, k, query_id, doc_id, digits)
-    db = _blocks(docs, block_rows)
-    qb = _blocks(queries, block_rows)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("v"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("v")).where("v is not null")
+    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("q")).where("q is not null")
+    db, qb = _blocks(d, block_rows), _blocks(q, block_rows)
     d = d.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(db)).cast("int"))
     d = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("q"))
     q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
     q = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(db - 1))))
     cells = (
         d.groupBy("qb", "db")
         .cogroup(q.groupBy("qb", "db"))
-        .applyInPandas(_top_cells(k, qid_type), out_schema)
+        .applyInPandas(_cells(k), f"qid {qid_type}, doc_id {did_type}, dist double")
     )
     return _merge(cells, k, query_id, doc_id, digits)
 

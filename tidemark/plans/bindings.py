@@ -69,10 +69,10 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("ts", "value")
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "value")
     return ev.groupBy(F.to_date("ts").alias("d")).agg(
-        F.min_by("value", "ts").alias("open"),
-        F.max_by("value", "ts").alias("close"),
+        F.min_by("value", F.struct("ts", "event_id")).alias("open"),
+        F.max_by("value", F.struct("ts", "event_id")).alias("close"),
         F.max("value").alias("high"),
         F.min("value").alias("low"),
     )
@@ -81,5 +81,5 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice")
     return o.groupBy(F.year("o_orderdate").cast("int").alias("yr")).agg(
-        round_half_up(exact_mean("o_totalprice", MONEY_TYPE), 2).alias("v")
+        round_half_up(exact_mean("o_totalprice"), 2).alias("v")
     )

@@ -19,6 +19,7 @@ from ..operators import rollups as _rollups
 from ..operators import topn as _topn
 from ..operators import valuation as _val
 from ..operators.clean import with_bar_return
+from ..session import materialize
 from ..functions.text import md5_id
 from ..operators import joins as _joins
 from ..operators import news as _news
@@ -206,7 +207,7 @@ def semi_topk(spark, sf):
     o = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     totals = o.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
     top = _topn.top_n(totals, "total", 20, tiebreak=("o_custkey",), cols=["o_custkey"])
-    return _joins.semi_in(o, top, "o_custkey", known_rows=20)
+    return _joins.semi_in(o, top, "o_custkey")
 
 
 @register("new_only_anti")
@@ -253,7 +254,7 @@ def vector_topk_many(spark, sf):
 def vector_topk_lsh(spark, sf):
     e = B.table(spark, sf, "embeddings")
     top = _vec.cosine_topk_lsh(e, _label_queries(spark, sf), 10, doc_id="vec_id", doc_vec="embedding",
-                               query_id="label", query_vec="query", bucket_length=2.0, tables=10)
+                               query_id="label", query_vec="query", bucket_length=0.3, tables=4)
     return top.select("label", "rank", "vec_id", "similarity")
 
 
@@ -328,8 +329,8 @@ def _conversation_reports(spark, sf):
                                             s["role"].alias("source_agent"))).alias("sections"),
         F.lit("中性").alias("overall_sentiment"),
         F.lit("medium").alias("risk_level"),
-        F.transform(F.filter("t", lambda s: s["role"] == "user"), lambda s: F.substring(s["text"], 1, 50)).alias("key_highlights"),
-        F.transform(F.filter("t", lambda s: s["role"] == "system"), lambda s: F.substring(s["text"], 1, 50)).alias("contradictions_resolved"),
+        F.transform(F.filter("t", lambda s: s["role"] == "user"), lambda s: s["text"]).alias("key_highlights"),
+        F.transform(F.filter("t", lambda s: s["role"] == "system"), lambda s: s["text"]).alias("contradictions_resolved"),
     )
 
 
@@ -410,7 +411,9 @@ def render_answer(spark, sf):
 
 
 def _snapshot(spark, sf):
-    q = B.quotes(spark, sf)
+    # All pieces come from the cleaned quotes: one small row per stock, written
+    # once, so that lineitem is scanned once however many pieces there are.
+    q = materialize(B.quotes(spark, sf), "quotes")
     spot = _breadth.breadth(q)
     pe = _val.valuation_position(B.yearly(spark, sf), order="yr", value="v")
     gain = _topn.top_n(q, "change_pct", 20, cols=["code", "name", "change_pct"])
@@ -423,7 +426,7 @@ def _snapshot(spark, sf):
     idx = _rollups.range_stats(bars)
     last = with_bar_return(bars).agg(
         F.max_by("close", "d").alias("close"),
-        round_half_up(F.avg("change_pct"), 2).alias("avg_change_pct"),
+        round_half_up(exact_mean("change_pct"), 2).alias("avg_change_pct"),
     )
     idx = idx.withColumn("close", last.select("close").scalar()).withColumn(
         "avg_change_pct", last.select("avg_change_pct").scalar())
@@ -481,7 +484,8 @@ def _knowledge_base(spark, sf):
     news = d.select("doc_id", F.substring("text", 1, 100).alias("title"), F.col("text").alias("content"),
                     "source", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"))
     kb = _news.prepare_articles(news, PAGES_BATCH_DATE, order=["doc_id"])
-    return _embed.hash_embed(kb, "document", dims=512)
+    # The knowledge base is a table (K5): scoring reads its vectors, the winners their texts.
+    return materialize(_embed.hash_embed(kb, "document", dims=512), "knowledge-base")
 
 
 def _context_for(spark, sf, snapshot):
@@ -503,12 +507,13 @@ def analyst_prompts(spark, sf):
     focus = _render.focus_texts(snap, []).withColumn("qid", F.lit(0))
     ctx = _context_for(spark, sf, snap)
     systems = {k: f"{k} analyst" for k in _schemas.ANALYSTS}
-    return _retrieval.build_prompts(focus, ctx, ["qid"], systems, _schemas.ANALYST_SCHEMAS)
+    asked = {k: _schemas.json_schema(v, _struct.OPTIONAL.get(k, set())) for k, v in _schemas.ANALYST_SCHEMAS.items()}
+    return _retrieval.build_prompts(focus, ctx, ["qid"], systems, asked)
 
 
 @register("vector_topk_ivf")
 def vector_topk_ivf(spark, sf):
     e = B.table(spark, sf, "embeddings")
     top = _vec.cosine_topk_ivf(e, _label_queries(spark, sf), 10, doc_id="vec_id", doc_vec="embedding",
-                               query_id="label", query_vec="query", cells=8, probes=3)
+                               query_id="label", query_vec="query", cells=8, probes=7)
     return top.select("label", "rank", "vec_id", "similarity")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_half_up
+from ..functions.numeric import exact_mean, round_half_up
 from ..operators.breadth import breadth
 from ..operators.clean import clean_quotes, with_bar_return
 from ..operators.concentration import concentration
@@ -40,7 +40,7 @@ def daily_results(quotes_raw: DataFrame, bars: DataFrame, valuation: DataFrame,
         "concentration": concentration(spot, "amount_num", (10, 50), by=by),
     }
     if sector_map is not None:
-        joined = with_sector(spot, sector_map, key="code", dim="industry", out="industry_name")
+        joined = with_sector(spot, sector_map, key="code", dim="industry", out="industry_name", vendor_codes=True)
         out["sector_stats"] = rollup_by(joined, "industry_name", by=by)
     else:
         schema = ("trade_date date, " if by else "") + "industry_name string, stock_count bigint, avg_change double, total_amount double"
@@ -73,4 +73,4 @@ def run_daily(spark, raw_dir: str, out_dir: str, pooled: bool = False, fmt: str
 def index_extras(bars: DataFrame) -> DataFrame:
     """Last close and mean bar return, which the technical text asks for."""
     b = with_bar_return(bars)
-    return b.agg(F.max_by("close", "date").alias("close"), round_half_up(F.avg("change_pct"), 2).alias("avg_change_pct"))
+    return b.agg(F.max_by("close", "date").alias("close"), round_half_up(exact_mean("change_pct"), 2).alias("avg_change_pct"))

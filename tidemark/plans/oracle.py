@@ -16,6 +16,11 @@ def msum(expr: str) -> str:
     return f"CAST(SUM(CAST({expr} AS DECIMAL(18,2))) AS DOUBLE)"
 
 
+def mean(expr: str) -> str:
+    """An order-independent mean: exact sum at 8 places, divided once."""
+    return f"CAST(SUM(CAST({expr} AS DECIMAL(30,8))) AS DOUBLE) / COUNT({expr})"
+
+
 _SPLIT = "TIMESTAMP '1998-07-01 00:00:00'"
 
 QUOTES_CTE = f"""
@@ -46,7 +51,7 @@ quotes AS (
 
 BARS_CTE = """
 bars AS (
-  SELECT CAST(ts AS DATE) AS d, min_by(value, ts) AS open, max_by(value, ts) AS close,
+  SELECT CAST(ts AS DATE) AS d, min_by(value, (ts, event_id)) AS open, max_by(value, (ts, event_id)) AS close,
     MAX(value) AS high, MIN(value) AS low
   FROM events GROUP BY 1)
 """
@@ -54,7 +59,7 @@ bars AS (
 YEARLY_CTE = f"""
 yearly AS (
   SELECT CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS yr,
-    {r(msum("o_totalprice") + " / COUNT(o_totalprice)", 2)} AS v
+    {r(mean("o_totalprice"), 2)} AS v
   FROM orders GROUP BY 1)
 """
 
@@ -125,7 +130,7 @@ FROM quotes""")
 
 ORACLE["index_range_stats"] = with_([BARS_CTE], f"""
 SELECT {r("MIN(close)", 2)} AS close_min, {r("MAX(close)", 2)} AS close_max,
-       {r(msum("close") + " / COUNT(close)", 2)} AS close_avg,
+       {r(mean("close"), 2)} AS close_avg,
        {r("STDDEV_SAMP(CASE WHEN open <> 0 THEN (close - open) / open * 100 END)", 2)} AS volatility
 FROM bars""")
 
@@ -134,12 +139,12 @@ SELECT d, (close - open) / open * 100 AS change_pct FROM bars WHERE open <> 0"""
 
 ORACLE["pe_by_year"] = f"""
 SELECT CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS year,
-       {r(msum("o_totalprice") + " / COUNT(o_totalprice)", 2)} AS avg_pe_val
+       {r(mean("o_totalprice"), 2)} AS avg_pe_val
 FROM orders GROUP BY 1"""
 
 ORACLE["pe_percentile"] = with_([YEARLY_CTE, "c AS (SELECT max_by(v, yr) AS cur FROM yearly)"], f"""
 SELECT MAX(c.cur) AS current, MAX(v) AS max, MIN(v) AS min,
-       {r(msum("v") + " / COUNT(v)", 4)} AS mean,
+       {r(mean("v"), 4)} AS mean,
        {r("CAST(COUNT(*) FILTER (WHERE v < c.cur) AS DOUBLE) / COUNT(*) * 100", 1)} AS percentile
 FROM yearly, c""")
 
@@ -272,9 +277,9 @@ WITH sec AS (
                chr(10) ORDER BY turn) AS md,
     arg_min(text, turn) AS summary
   FROM conversations GROUP BY conv_id),
- hl AS (SELECT conv_id, string_agg('- ' || substr(text, 1, 50), chr(10) ORDER BY turn) AS md
+ hl AS (SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY turn) AS md
         FROM conversations WHERE role = 'user' GROUP BY conv_id),
- ct AS (SELECT conv_id, string_agg('- ' || substr(text, 1, 50), chr(10) ORDER BY turn) AS md
+ ct AS (SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY turn) AS md
         FROM conversations WHERE role = 'system' GROUP BY conv_id)
 SELECT sec.conv_id, concat_ws(chr(10),
     '# A股市场日报 (' || CAST(sec.conv_id AS VARCHAR) || ')', '',
@@ -354,7 +359,7 @@ spot AS (SELECT COUNT(*) FILTER (WHERE change_pct > 0) AS up_count,
        {r("STDDEV_SAMP(change_pct)", 4)} AS std_change_pct
   FROM quotes)""", "c AS (SELECT max_by(v, yr) AS cur FROM yearly)", f"""
 pe AS (SELECT MAX(c.cur) AS current, MAX(v) AS max, MIN(v) AS min,
-       {r(msum("v") + " / COUNT(v)", 4)} AS mean,
+       {r(mean("v"), 4)} AS mean,
        {r("CAST(COUNT(*) FILTER (WHERE v < c.cur) AS DOUBLE) / COUNT(*) * 100", 1)} AS percentile
   FROM yearly, c)""", f"""
 tot AS (SELECT {msum("amount_num")} AS total FROM quotes)""", """
@@ -367,7 +372,7 @@ conc AS (SELECT CASE WHEN total > 0 THEN {r("s10 / total * 100", 2)} ELSE 0.0 EN
        CASE WHEN total > 0 THEN {r("s50 / total * 100", 2)} ELSE 0.0 END AS top50_pct FROM srk, tot)""", f"""
 idx AS (SELECT {r("MIN(close)", 2)} AS close_min, {r("MAX(close)", 2)} AS close_max,
        max_by(close, d) AS close,
-       {r("AVG(CASE WHEN open <> 0 THEN (close - open) / open * 100 END)", 2)} AS avg_change_pct
+       {r(mean("CASE WHEN open <> 0 THEN (close - open) / open * 100 END"), 2)} AS avg_change_pct
   FROM bars)""", f"""
 ta AS (SELECT code, name, {r("amount_num", 0)} AS amount, change_pct, amount_num FROM quotes
   WHERE amount_num IS NOT NULL ORDER BY amount_num DESC, code LIMIT 10)""", f"""

@@ -55,3 +55,25 @@ REPORT = (
 
 ANALYST_SCHEMAS = {"macro": MACRO, "technical": TECHNICAL, "fund_flow": FUND_FLOW, "risk": RISK}
 ANALYSTS = ["macro", "technical", "fund_flow", "risk"]
+
+
+def json_schema(ddl: str, optional: frozenset[str] | set[str] = frozenset()) -> str:
+    """A DDL schema as JSON Schema text, for prompts that ask for such an object."""
+    import json
+
+    from pyspark.sql import types as T
+
+    plain = {T.StringType: "string", T.DoubleType: "number", T.LongType: "integer", T.BooleanType: "boolean"}
+
+    def of(dtype: T.DataType) -> dict:
+        if isinstance(dtype, T.StructType):
+            return obj(dtype, frozenset())
+        if isinstance(dtype, T.ArrayType):
+            return {"type": "array", "items": of(dtype.elementType)}
+        return {"type": plain[type(dtype)]}
+
+    def obj(st: T.StructType, maybe) -> dict:
+        fields = {f.name: {"anyOf": [of(f.dataType), {"type": "null"}]} if f.name in maybe else of(f.dataType) for f in st.fields}
+        return {"type": "object", "properties": fields, "required": [f.name for f in st.fields if f.name not in maybe]}
+
+    return json.dumps(obj(T.StructType.fromDDL(ddl), optional), ensure_ascii=False, indent=2)

@@ -9,7 +9,7 @@ days untouched.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,9 @@ def write_results(tables: Mapping[str, DataFrame], path: str, fmt: str = "parque
     """Write every result table under ``path/<name>`` (K1).
 
     Tables named in ``order`` are sorted at the sink only (a range-partitioned
-    sort; the files keep the order).  ``single_file`` (CSV hand-off to a
+    sort; the files keep the order).  A dated table is dealt by (date, order
+    keys) ranges first: a date lies in one file or a few neighbouring ones, in
+    order, instead of in one file per task, and a big date is split.  ``single_file`` (CSV hand-off to a
     spreadsheet) is the only case that reduces to one task; only use it for
     small, already-aggregated tables.
     """
@@ -40,7 +42,7 @@ def write_results(tables: Mapping[str, DataFrame], path: str, fmt: str = "parque
         if name in order:
             keys = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order[name] if c in df.columns]
             if partition_by and partition_by in df.columns:
-                out = out.sortWithinPartitions(F.col(partition_by), *keys)
+                out = out.repartitionByRange(F.col(partition_by), *keys).sortWithinPartitions(F.col(partition_by), *keys)
             elif keys:
                 out = out.orderBy(*keys)
         out = out.coalesce(1) if single_file else out
@@ -52,10 +54,14 @@ def write_results(tables: Mapping[str, DataFrame], path: str, fmt: str = "parque
         w.save(f"{path.rstrip('/')}/{name}")
 
 
-def write_daily(df: DataFrame, path: str, date_col: str = "trade_date", fmt: str = "parquet") -> None:
-    """Land a daily table partitioned by date; a rerun replaces only its days (K2, K4)."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(date_col).format(fmt).save(path))
+def write_daily(df: DataFrame, path: str, date_col: str | Sequence[str] = "trade_date", fmt: str = "parquet") -> None:
+    """Land a daily table partitioned by date (or by date and more); a rerun
+    replaces only its partitions (K2, K4).  Rows are rebalanced by partition
+    first, so that a date is a few files of Spark's advisory size, not one for
+    each task; Spark splits a big one."""
+    cols = [date_col] if isinstance(date_col, str) else list(date_col)
+    (df.hint("rebalance", *[F.col(c) for c in cols]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*cols).format(fmt).save(path))
 
 
 def write_news_jsonl(df: DataFrame, path: str) -> None:

@@ -28,17 +28,20 @@ def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
             .option("ignoreCorruptFiles", "true")
             .csv(path)
         )
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_quotes(spark: SparkSession, path: str) -> DataFrame:
-    """Quote CSVs (header, 14 columns).  ``trade_date`` comes from the file name."""
+    """Quote CSVs (header, 14 columns).  ``trade_date`` comes from the file name,
+    null where that holds no valid date."""
     df = _csv(spark, path, schemas.QUOTES_RAW)
     if df is None:
         return spark.createDataFrame([], schemas.QUOTES_RAW + ", trade_date date")
     day = F.regexp_extract(F.col("_metadata.file_name"), _DATE_IN_NAME, 1)
-    return df.withColumn("trade_date", F.to_date(F.nullif(day, F.lit("")), "yyyyMMdd"))
+    return df.withColumn("trade_date", F.try_to_date(F.nullif(day, F.lit("")), "yyyyMMdd"))
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +72,7 @@ def read_sector_map(spark: SparkSession, path: str | None) -> DataFrame:
     if df is None:
         return spark.createDataFrame([], schemas.SECTOR_MAP + ", trade_date date")
     day = F.regexp_extract(F.col("_metadata.file_name"), _DATE_IN_NAME, 1)
-    return df.withColumn("trade_date", F.to_date(F.nullif(day, F.lit("")), "yyyyMMdd"))
+    return df.withColumn("trade_date", F.try_to_date(F.nullif(day, F.lit("")), "yyyyMMdd"))
 
 
 def read_landed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -40,9 +40,10 @@ def ingest_news(spark: SparkSession, source_dir: str, kb_path: str, quarantine_p
     parsed = news_stream(spark, source_dir)
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        bad = batch.where(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"), "file", "block",
-                                                             F.lit(epoch).alias("epoch"))
-        bad.write.mode("append").parquet(quarantine_path)
+        # Read once for both outputs; a batch that is tried again replaces its own quarantine.
+        batch = batch.persist()
+        bad = batch.where(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"), "file", "block")
+        bad.write.mode("overwrite").parquet(f"{quarantine_path.rstrip('/')}/epoch={epoch}")
         good = batch.where(F.col("_bad").isNull()).drop("_bad")
         # order inside a batch = position in the file: file name, start of the
         # file split the line came from, then read order inside that split
@@ -53,6 +54,7 @@ def ingest_news(spark: SparkSession, source_dir: str, kb_path: str, quarantine_p
             kb = embed(kb)
         kb = kb.withColumn("_version", F.concat(F.col("batch_date"), F.lit("#"), F.lpad(F.lit(str(epoch)), 12, "0")))
         upsert_table(spark, kb_path, kb, key="id", version="_version", buckets=buckets)
+        batch.unpersist()
 
     return (parsed.writeStream.foreachBatch(handle)
             .option("checkpointLocation", checkpoint)

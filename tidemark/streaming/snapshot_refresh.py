@@ -1,9 +1,11 @@
 """Per-trade-date refresh of the daily results.
 
-Quote drops are streamed from the landing directory; each micro-batch lands
-its rows partitioned by trade date, then recomputes the daily result tables
-for exactly the dates present in the batch and replaces only those date
-partitions (dynamic partition overwrite).
+Quote drops are streamed from the landing directory.  Each file lands in a
+partition of its own (trade date, file name), so a file replaces only what it
+brought before, and a date may arrive in any number of files and micro-batches.
+Then the daily result tables are recomputed from the landed rows for exactly the
+dates in the batch, replacing only those date partitions; the two tables that
+have no date are rebuilt whole.
 """
 
 from __future__ import annotations
@@ -18,18 +20,28 @@ from ..sinks.writers import write_daily, write_results
 
 def refresh_daily(spark: SparkSession, quotes_dir: str, landed_path: str, results_path: str,
                   checkpoint: str, bars: DataFrame, valuation: DataFrame,
-                  sector_map: DataFrame | None = None):
-    stream = (spark.readStream.schema(schemas.QUOTES_RAW).option("header", "true")
-              .csv(quotes_dir)
-              .withColumn("trade_date", F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1), "yyyyMMdd")))
+                  sector_map: DataFrame | None = None, quarantine_path: str | None = None):
+    """Start the availableNow refresh; returns the StreamingQuery.
+
+    Files whose name holds no valid date go to ``quarantine_path`` (default:
+    beside the landed table) and don't stop the stream.
+    """
+    day = F.try_to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1), "yyyyMMdd")
+    stream = (spark.readStream.schema(schemas.QUOTES_RAW).option("header", "true").csv(quotes_dir)
+              .withColumn("trade_date", day).withColumn("source_file", F.col("_metadata.file_name")))
+    undated = quarantine_path or f"{landed_path.rstrip('/')}-undated"
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        write_daily(batch, landed_path, "trade_date")
-        days = batch.select("trade_date").distinct()  # one row per date in the batch
-        landed = spark.read.parquet(landed_path).join(F.broadcast(days), "trade_date", "left_semi")
-        tables = daily_results(landed, bars, valuation, sector_map)
-        per_day = {k: v for k, v in tables.items() if "trade_date" in v.columns}
-        write_results(per_day, results_path, partition_by="trade_date")
+        batch = batch.persist()
+        (batch.where("trade_date is null").write.mode("overwrite").parquet(f"{undated.rstrip('/')}/epoch={epoch}"))
+        dated = batch.where("trade_date is not null")
+        write_daily(dated, landed_path, ["trade_date", "source_file"])
+        days = dated.select("trade_date").distinct()  # one row per date in the batch
+        if not days.isEmpty():
+            landed = spark.read.parquet(landed_path).join(days, "trade_date", "left_semi")
+            tables = daily_results(landed, bars, valuation, sector_map)
+            write_results(tables, results_path, partition_by="trade_date")
+        batch.unpersist()
 
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
