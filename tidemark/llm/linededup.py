@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ._common import shuffle_partitions
 
 _KEY = ["_id", "_th"]
 
@@ -35,7 +36,9 @@ def _at() -> Column:
 def _named(rows: DataFrame, by: list[str]) -> DataFrame:
     """Positions with ``name``: the first position of equal ``by``; those that are alone go."""
     groups = rows.groupBy(*by).agg(F.min(_at()).alias("name"), F.max(_at()).alias("_last")).where("name <> _last")
-    return rows.join(groups.select(*by, "name"), by).select(*_KEY, "_pos", "name")
+    # As a table of its own: both sides of the join then come from plain shuffles, whose hot partitions AQE can split.
+    groups = materialize(groups.select(*by, "name"), "line-names", shuffle_partitions(rows.sparkSession) // 4)
+    return rows.join(groups, by).select(*_KEY, "_pos", "name")
 
 
 def _joined(names: DataFrame, further: int) -> DataFrame:
