@@ -2,7 +2,7 @@
 
 Each round is two joins and two aggregations over the edges (large-star, then
 small-star); no component is ever gathered in a task.  A hub's edges meet its
-one minimum in a sort-merge join, which AQE splits when one hub holds many.
+one minimum in a join of two tables, whose hot partitions AQE splits.
 Every round is written to a table in the shared folder, so that a lost executor
 only costs the current round.
 """
@@ -16,15 +16,15 @@ from ..session import materialize
 from ._common import shuffle_partitions
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, files: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least-neighbours", files)
     return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, files: int) -> DataFrame:
     # Edges point from the larger to the smaller end (a > b).
-    low = e.groupBy("a").agg(F.min("b").alias("m"))
+    low = materialize(e.groupBy("a").agg(F.min("b").alias("m")), "least-neighbours", files)
     moved = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return low.select("a", F.col("m").alias("b")).unionByName(moved).distinct()
 
@@ -50,5 +50,7 @@ def components(edges: DataFrame, max_rounds: int = 60, edges_a_file: int = 200_0
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = mark
-        e = materialize(_small_star(_large_star(e)), "edges", min(most, mark[0] // edges_a_file + 1))
+        files = min(most, mark[0] // edges_a_file + 1)
+        e = materialize(_large_star(e, files), "edges", files)
+        e = materialize(_small_star(e, files), "edges", files)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -108,6 +108,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
                        for t, m in enumerate(gone)])
     keyed = fps.select("fp", F.inline(tables))
     full = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "key")
+    # As a table of its own: both sides of the join then come from plain shuffles, whose hot partitions AQE can split.
+    full = materialize(full, "simhash-buckets", shuffle_partitions(fps.sparkSession) // 8)
     met = keyed.join(full, ["t", "key"], "left_semi")
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS) if m >> i & 1]) for m in gone])
     near = met.select("fp", F.explode(flips[F.col("t")]).alias("flip")).select(
@@ -123,10 +125,11 @@ def simhash_components(rows: DataFrame, id_col: str, radius: int = 2) -> DataFra
     first = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-fps",
                         shuffle_partitions(rows.sparkSession) // 8)  # a few bytes a row beside the texts that shuffles are sized for
     tree = components(fingerprint_links(first, radius))
-    placed = (first.join(tree.withColumnRenamed("node", "fp"), "fp", "left")
-              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = placed.groupBy("root").agg(F.min("first").alias("component"))
-    return placed.join(least, "root").select("fp", "component")
+    few = shuffle_partitions(rows.sparkSession) // 8
+    placed = materialize(first.join(tree.withColumnRenamed("node", "fp"), "fp", "left")
+                         .select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-placed", few)
+    least = materialize(placed.groupBy("root").agg(F.min("first").alias("component")), "simhash-least", few)
+    return materialize(placed.join(least, "root").select("fp", "component"), "simhash-components", few)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
