@@ -208,7 +208,6 @@ def test_mix_of_odd_rows_and_reruns(spark):
 
 def test_encoder_equals_the_tokenizer(monkeypatch):
     monkeypatch.setattr(records, "CACHE_WORDS", 50)
-    monkeypatch.setattr(records, "CACHE_PIECES", 40)
     coder = records.WordEncoder(queries.word_bpe_path(), 1)
     assert coder.short
     rng = random.Random(9)

@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs
 from pyspark import TaskContext
@@ -38,15 +39,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ._common import rows_in, shuffle_partitions, utf8
+from ._common import rows_by_size, shuffle_partitions, utf8
 
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<BqI")
 _SUM = struct.Struct("<I")
 _NULL_ID, _WIDE = 1, 2
 MANIFEST = "shard int, data string, index string, records bigint, tokens bigint"
-#: Words and pieces in a generation of a worker's memory of encodings.
-CACHE_WORDS, CACHE_PIECES = 150_000, 500_000
+#: Words in a generation of a worker's memory of encodings.
+CACHE_WORDS = 500_000
+
+
+#: Bytes of text that are encoded together, about.
+BATCH = 4 << 20
 
 
 class CorruptRecord(ValueError):
@@ -115,18 +120,18 @@ class Remembered:
         if None not in out:
             return out
         holes = [i for i, c in enumerate(out) if c is None]
-        missing = dict.fromkeys([keys[i] for i in holes])
-        old = self.old
-        known = {k: old[k] for k in missing if k in old}
-        unknown = [k for k in missing if k not in known]
+        missing = [keys[i] for i in holes]
+        codes = list(map(self.old.get, missing))
+        unknown = list(dict.fromkeys([k for k, c in zip(missing, codes) if c is None]))
+        coded = {}
         for at in range(0, len(unknown), 4096):
             part = unknown[at: at + 4096]
-            known.update(zip(part, self.code(part)))
-        if len(self.new) + len(known) > self.size:
+            coded.update(zip(part, self.code(part)))
+        if len(self.new) + len(missing) > self.size:
             self.old, self.new = self.new, {}
-        self.new.update(known)
-        for i in holes:
-            out[i] = known[keys[i]]
+        new = self.new
+        for i, k, c in zip(holes, missing, codes):
+            out[i] = new[k] = coded[k] if c is None else c
         return out
 
 
@@ -138,7 +143,7 @@ class WordEncoder:
     A tokenizer that lower-cases, splits by a pattern and then maps bytes gets
     a shorter way for texts of Latin letters below U+0180 without special
     tokens: lower-casing and the pattern are applied here, and it encodes
-    single pieces, which more words have in common.
+    single pieces.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -157,7 +162,6 @@ class WordEncoder:
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = None
             self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.pieces = Remembered(CACHE_PIECES, lambda ps: self._codes(self.bare, ps))
             self.plain_words = Remembered(CACHE_WORDS, self._plain_codes)
 
     def _codes(self, tok, texts: list[str]) -> list[bytes]:
@@ -165,11 +169,14 @@ class WordEncoder:
         return [struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids) for ids in [c.ids for c in coded]]
 
     def _plain_codes(self, words: list[str]) -> list[bytes]:
+        if all(map(str.isalpha, words)):
+            return self._codes(self.bare, words)
         found = self.pattern.findall("\n".join(words) + "\n")
+        codes = iter(self._codes(self.bare, [p for p in found if p != "\n"]))
         out, own = [], []
-        for piece, code in zip(found, self.pieces.get(found)):
+        for piece in found:
             if piece != "\n":
-                own.append(code)
+                own.append(next(codes))
             else:  # the end of a word
                 out.append(b"".join(own) if len(own) > 1 else own[0] if own else b"")
                 own = []
@@ -177,16 +184,48 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text and the end id, little-endian."""
-        text = text or ""
-        if self.short and "<|" not in text and not _NOT_PLAIN.search(text):
-            return b"".join(self.plain_words.get(text.lower().split())) + self.end
-        # bytes.split() cuts at ASCII white space; any other stays inside a word for the tokenizer.
-        return b"".join(self.words.get(utf8(text).split())) + self.end
+        return self.encode_many(pa.array([text], pa.string()))[0]
+
+    def encode_many(self, texts: pa.Array) -> list[bytes]:
+        """The same for each of many texts.  The words of all plain ones are
+        split and made distinct by Arrow, looked up once, and laid out again
+        with NumPy; only distinct words become Python objects."""
+        texts = texts.fill_null("")
+        plain = np.zeros(len(texts), bool)
+        if self.short:
+            special = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, _NOT_PLAIN))
+            plain = ~special.to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        if plain.any():
+            for k, code in zip(np.flatnonzero(plain), self._plain_texts(texts.filter(pa.array(plain)))):
+                out[k] = code
+        for k in np.flatnonzero(~plain):
+            # bytes.split() cuts at ASCII white space; any other stays inside a word for the tokenizer.
+            out[k] = b"".join(self.words.get(utf8(texts[int(k)].as_py()).split())) + self.end
+        return out
+
+    def _plain_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        # A space more between a letter and a mark: the pattern splits there anyway, and fewer words differ.
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([^\s\pL\pN])", r"\1 \2")
+        lists = pc.ascii_split_whitespace(apart)
+        words = lists.flatten().dictionary_encode()
+        codes = self.plain_words.get(words.dictionary.to_pylist())
+        width = 4 if self.wide else 2
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // width
+        start = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(codes), self.kind)
+        which = words.indices.to_numpy()
+        per_word = size[which]
+        after = np.cumsum(per_word)
+        flat = ids[np.repeat(start[which] - (after - per_word), per_word) + np.arange(int(after[-1]) if len(after) else 0)]
+        ends = np.concatenate([[0], after])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        for a, b in zip(ends[:-1], ends[1:]):
+            yield flat[a:b].tobytes() + self.end
 
 
 #: Beyond these characters (and for the letter whose lower case leaves them, and
 #: for what Python alone or the tokenizer alone splits at) the tokenizer does all the work.
-_NOT_PLAIN = regex.compile("[^\\x00-\\x1B\\x20-\\x84\\x86-\\x9F\\xA1-\\u012F\\u0131-\\u017F]")
+_NOT_PLAIN = "[^\\x00-\\x1B\\x20-\\x{84}\\x{86}-\\x{9F}\\x{A1}-\\x{012F}\\x{0131}-\\x{017F}]"
 
 
 def _split_pattern(path: str) -> str | None:
@@ -234,14 +273,13 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1
         shard = TaskContext.get().partitionId()
         coder = _encoder(tokenizer, end_id)
         out, places, offset, total = None, [], 0, 0
-        for b in rows_in(batches):
+        for b in rows_by_size(batches, 1, BATCH):
             if out is None:
                 store, top = _open(out_dir)
                 store.create_dir(top, recursive=True)
                 name = f"{top}/shard-{shard:06d}-{uuid.uuid4().hex}"
                 out = store.open_output_stream(f"{name}.rec", buffer_size=1 << 20)
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = coder.encode(text)
+            for key, ids in zip(b.column(0).to_pylist(), coder.encode_many(b.column(1))):
                 record = frame(pack_body(key, ids, coder.wide))
                 out.write(record)
                 places.append((offset, total))
