@@ -19,7 +19,8 @@ from ..operators import rollups as _rollups
 from ..operators import topn as _topn
 from ..operators import valuation as _val
 from ..operators.clean import with_bar_return
-from ..session import materialize
+from ..session import materialize, scratch_path
+from ..sinks.writers import write_daily
 from ..functions.text import md5_id
 from ..operators import joins as _joins
 from ..operators import news as _news
@@ -517,3 +518,48 @@ def vector_topk_ivf(spark, sf):
     top = _vec.cosine_topk_ivf(e, _label_queries(spark, sf), 10, doc_id="vec_id", doc_vec="embedding",
                                query_id="label", query_vec="query", cells=8, probes=7)
     return top.select("label", "rank", "vec_id", "similarity")
+
+
+# ---------------------------------------------------------------- vendor codes, cards, landing, the upserted table
+
+
+@register("sector_vendor_codes")
+def sector_vendor_codes(spark, sf):
+    """Quotes with exchange prefixes against a map with bare numbers."""
+    number = lambda c: F.lpad(F.col(c).cast("string"), 6, "0")
+    traded = B.table(spark, sf, "lineitem").select("l_partkey").distinct().select(
+        F.concat(F.lit("sh"), number("l_partkey")).alias("code"), F.lit("traded").alias("industry"))
+    parts = B.table(spark, sf, "part").select(F.concat(number("p_partkey"), F.lit(".SZ")).alias("code"), "p_brand")
+    j = _joins.with_sector(parts, traded, out="traded", version=None, vendor_codes=True)
+    return j.groupBy(F.col("p_brand").alias("industry_name")).agg(
+        F.count(F.lit(1)).alias("stock_count"), F.count_if(F.col("traded").isNull()).alias("unmatched"))
+
+
+@register("eval_cards")
+def eval_cards(spark, sf):
+    lab = B.table(spark, sf, "labels")
+    card = _eval.eval_card(F.col("doc_id").cast("string"), F.col("quality").cast("double"), (F.lit(1) - F.col("toxic")).cast("double"),
+                           F.struct((F.col("toxic") == 0).alias("pass")))
+    return lab.select("doc_id", card.alias("card")).select("doc_id", "card.overall_score", _render.score_table(F.col("card")).alias("score_table"))
+
+
+@register("daily_landing")
+def daily_landing(spark, sf):
+    """Orders landed by the first of their month, a part of them again, and read
+    back: a rerun replaces its dates."""
+    days = B.table(spark, sf, "orders").select(F.trunc("o_orderdate", "month").alias("trade_date"), "o_orderkey")
+    path = scratch_path(spark, "landing")
+    write_daily(days, path)
+    write_daily(days.where(F.col("trade_date") < "1995-01-01"), path)
+    return spark.read.parquet(path).groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@register("kb_table_upsert")
+def kb_table_upsert(spark, sf):
+    """The stored table after two upserts: the early batches, then all of them."""
+    d = B.table(spark, sf, "documents")
+    u = d.select(md5_id("text").alias("id"), "doc_id", "source", (F.col("doc_id") % 7).alias("batch"))
+    path = scratch_path(spark, "kb")
+    _upsert.upsert_table(spark, path, u.where("batch < 4"), "id", "batch", order=["doc_id"], buckets=16)
+    _upsert.upsert_table(spark, path, u, "id", "batch", order=["doc_id"], buckets=16)
+    return spark.read.parquet(path).select("id", "doc_id", "source", "batch")

@@ -418,3 +418,47 @@ SELECT 'risk',
   || COALESCE((SELECT string_agg('  ' || CAST(code AS VARCHAR) || ' ' || name || ' 跌幅 ' || {fx("change_pct", 2)} || '%',
                                  chr(10) ORDER BY k) FROM bl WHERE k <= 5), '  (无)') || chr(10)
 FROM spot, conc""")
+
+
+ORACLE["embed_hash"] = """
+WITH p AS (SELECT doc_id, list_transform(string_split(lower(trim(coalesce(text, ''))), ''), lambda c: unicode(c)::BIGINT) AS l FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(l)), lambda i: (l[i] % 256 * 65599 + l[i + 1]) % 256)) AS b FROM p),
+n AS (SELECT doc_id, b, COUNT(*) AS c FROM g GROUP BY doc_id, b),
+h AS (SELECT doc_id, map(list(b), list(c)) AS m, sqrt(CAST(SUM(c * c) AS DOUBLE)) AS norm FROM n GROUP BY doc_id)
+SELECT d.doc_id, list_transform(range(256), lambda b: CAST(COALESCE(h.m[b] / h.norm, 0.0) AS FLOAT)) AS embedding
+FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id"""
+
+
+ORACLE["search_query"] = with_([QUOTES_CTE, f"""
+spot AS (SELECT COUNT(*) FILTER (WHERE change_pct > 0) AS up, COUNT(*) FILTER (WHERE change_pct < 0) AS down,
+       {r(mean("change_pct"), 4)} AS avg FROM quotes)""", """
+g AS (SELECT name, change_pct, code FROM quotes WHERE change_pct IS NOT NULL ORDER BY change_pct DESC, code LIMIT 5)""", """
+a AS (SELECT name, amount_num, code FROM quotes WHERE amount_num IS NOT NULL ORDER BY amount_num DESC, code LIMIT 5)"""], """
+SELECT '今日A股市场概况：' || chr(10) || '上涨 ' || up || ' 家，下跌 ' || down || ' 家' || chr(10) || '平均涨跌幅 ' || CAST(avg AS VARCHAR) || '%'
+       || chr(10) || chr(10) || '涨幅前列: ' || (SELECT string_agg(name, '、' ORDER BY change_pct DESC, code) FROM g)
+       || chr(10) || '成交额前列: ' || (SELECT string_agg(name, '、' ORDER BY amount_num DESC, code) FROM a) AS query
+FROM spot""")
+
+ORACLE["sector_vendor_codes"] = """
+SELECT p_brand AS industry_name, COUNT(*) AS stock_count, COUNT(*) FILTER (WHERE l_partkey IS NULL) AS unmatched
+FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem) ON l_partkey = p_partkey
+GROUP BY p_brand"""
+
+ORACLE["eval_cards"] = f"""
+WITH c AS (SELECT doc_id, CAST(quality AS DOUBLE) AS q, CAST(1 - toxic AS DOUBLE) AS t, toxic = 0 AS ok FROM labels),
+s AS (SELECT *, {r("0.25 * q + 0.25 * t + 0.5 * CASE WHEN ok THEN 1.0 ELSE 0.5 END", 2)} AS o FROM c)
+SELECT doc_id, o AS overall_score, chr(10) || '## 质量评估' || chr(10) || chr(10) || '| 指标 | 得分 |' || chr(10) || '|------|------|' || chr(10)
+       || '| 检索精度 | ' || printf('%.0f', q * 100) || '% |' || chr(10) || '| Agent 一致性 | ' || printf('%.0f', t * 100) || '% |' || chr(10)
+       || '| 报告质量 | ' || CASE WHEN ok THEN '通过' ELSE '未通过' END || ' |' || chr(10)
+       || '| **综合评分** | **' || printf('%.0f', round(CAST(o * 100 AS DECIMAL(18,4)), 0)) || '%** |' || chr(10) AS score_table
+FROM s"""
+
+ORACLE["daily_landing"] = """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS trade_date, COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS keys
+FROM orders GROUP BY 1"""
+
+ORACLE["kb_table_upsert"] = """
+SELECT id, doc_id, source, batch FROM (
+  SELECT md5(text) AS id, doc_id, source, doc_id % 7 AS batch,
+         row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id % 7 DESC, doc_id) AS k FROM documents)
+WHERE k = 1"""
