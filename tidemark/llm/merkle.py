@@ -38,13 +38,14 @@ def _chunks(items: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(size)), lambda s: F.slice(items, s, size))
 
 
-def with_tree(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """``df`` with ``out``: struct<fp: the fingerprint string, leaves: the
-    distinct leaf hashes (cut)>.  A null text counts as empty, which is a tree
-    of one empty leaf.  A column of that name is replaced."""
-    leaves, nodes = f"_{out}_leaves", f"_{out}_nodes"
-    paragraphs = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    hashed = F.transform(paragraphs, lambda p: F.transform(_chunks(F.split(p, " "), PHRASE), lambda ws: _md5(F.array_join(ws, " "))))
+def _leaf_hashes(paragraphs: Column) -> Column:
+    """array (paragraphs) of arrays (leaf hashes, whole)."""
+    return F.transform(paragraphs, lambda p: F.transform(_chunks(F.split(p, " "), PHRASE), lambda ws: _md5(F.array_join(ws, " "))))
+
+
+def _with_tree_of(df: DataFrame, leaves: str, out: str) -> DataFrame:
+    """``df`` with the tree over a column of leaf hashes."""
+    nodes = f"_{out}_nodes"
     cut = lambda hs: F.transform(hs, lambda h: F.substring(h, 1, LEAF_HEX))
     named = F.transform(F.col(leaves), lambda hs: F.struct(
         _md5(F.array_join(hs, "")).alias("h"), F.array_join(cut(hs), ",").alias("below")))
@@ -53,10 +54,18 @@ def with_tree(df: DataFrame, text_col: str, out: str) -> DataFrame:
         F.array_join(F.transform(ps, lambda p: F.concat(F.substring(p["h"], 1, PARAGRAPH_HEX), F.lit("="), p["below"])), ";").alias("below")))
     root = _md5(F.array_join(F.transform(F.col(nodes), lambda s: s["h"]), ""))
     body = F.array_join(F.transform(F.col(nodes), lambda s: F.concat(F.substring(s["h"], 1, SECTION_HEX), F.lit(":"), s["below"])), "|")
-    return (df.withColumn(leaves, hashed).withColumn(nodes, sections)
+    return (df.withColumn(nodes, sections)
             .withColumn(out, F.struct(F.concat(root, F.lit("|"), body).alias("fp"),
                                       F.array_distinct(cut(F.flatten(F.col(leaves)))).alias("leaves")))
-            .drop(leaves, nodes))
+            .drop(nodes))
+
+
+def with_tree(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``df`` with ``out``: struct<fp: the fingerprint string, leaves: the
+    distinct leaf hashes (cut)>.  A null text counts as empty, which is a tree
+    of one empty leaf.  A column of that name is replaced."""
+    paragraphs = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    return _with_tree_of(df.withColumn("_own_leaves", _leaf_hashes(paragraphs)), "_own_leaves", out).drop("_own_leaves")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,12 +121,17 @@ def with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     laid = rows.withColumn("_guard", F.lit(0)).unionByName(found)
     n = F.length("_text").cast("long")
     cut = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("_text"), F.lit(1), (n - cut).cast("int")), F.substring(F.lead("_text").over(w), F.lit(1), cut))
-    out = with_tree(laid.withColumn("_edited", edited), "_text", "tree")
+    out = laid.withColumns({"_kept": F.substring(F.col("_text"), F.lit(1), (n - cut).cast("int")),
+                            "_new": F.coalesce(F.substring(F.lead("_text").over(w), F.lit(1), cut), F.lit(""))})
+    # The paragraphs that end before the edit keep their hashes; only what follows them is hashed again.
+    same = F.length("_kept") - F.length(F.replace(F.col("_kept"), F.lit("\n"), F.lit("")))
+    rest = F.split(F.concat(F.substring_index("_kept", "\n", -1), F.col("_new")), "\n")
+    out = out.withColumn("_leaves", _leaf_hashes(F.split("_text", "\n")))
+    out = out.withColumn("_edited_leaves", F.concat(F.slice("_leaves", F.lit(1), same), _leaf_hashes(rest)))
+    out = _with_tree_of(_with_tree_of(out, "_leaves", "tree"), "_edited_leaves", "edited_tree").drop("_leaves", "_edited_leaves")
     out = out.withColumn("next_tree", F.lead("tree").over(w)).where("_guard = 0")
-    return with_tree(out, "_edited", "edited_tree").select(
-        F.col("_id").alias(id_col), F.col("_text").alias("text"), n.alias("n_chars"), "tree", F.col("_edited").alias("edited"),
-        "edited_tree", "next_tree")
+    return out.select(F.col("_id").alias(id_col), F.col("_text").alias("text"), n.alias("n_chars"), "tree",
+                      F.concat("_kept", "_new").alias("edited"), "edited_tree", "next_tree")
 
 
 def edit_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
