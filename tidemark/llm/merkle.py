@@ -18,6 +18,8 @@ sets of leaves.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +85,9 @@ def _shard(id_col: Column, tie: Column, bounds: list[int]) -> Column:
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[k: k + step] for k in range(0, len(bounds), step)]
     above = lambda xs: F.size(F.filter(xs, lambda v: v > id_col))
-    whole = F.array(*[F.lit(g[-1]) for g in groups])
-    fine = F.array(*[F.array(*map(F.lit, g)) for g in groups], F.array().cast("array<bigint>"))
+    # As JSON the bounds are one constant of the plan each, not an expression for every number.
+    whole = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")
+    fine = F.from_json(F.lit(json.dumps([*groups, []])), "array<array<bigint>>")
     by_id = above(whole) * F.lit(step + 1) + above(F.get(fine, above(whole)))
     last = (len(groups) + 1) * (step + 1)
     by_tie = F.lit(last + _NULL_SHARDS - 1) - (F.shiftright(tie, 58) + F.lit(_NULL_SHARDS // 2)).cast("int")
