@@ -297,6 +297,23 @@ def structured_parse(spark, sf):
     return parsed.select("conv_id", "turn", "status", F.col("parsed.confidence").alias("confidence"))
 
 
+@register("structured_parse_risk")
+def structured_parse_risk(spark, sf):
+    """Risk answers that carry the whole turn: prose, missing fields, wrong
+    element types and values out of range follow from the text's length."""
+    c = B.table(spark, sf, "conversations")
+    n = F.length("text")
+    head = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("concentration_risk"), F.col("role").alias("volatility_assessment"))), "\\}$", "")
+    warnings = F.when(n % 5 == 0, F.lit("[1, 2]")).when(n % 5 == 1, F.lit("[null]")).otherwise(F.lit('["a", "b"]'))
+    level = F.when(n % 7 == 0, F.lit("")).otherwise(F.lit(', "overall_risk_level": "low"'))
+    obj = F.concat(head, F.lit(', "external_risks": ["x"], "stock_warnings": '), warnings, F.lit(', "fragility_score": "'),
+                   (n / F.lit(400.0)).cast("string"), F.lit('", "confidence": 0.5'), level, F.lit("}"))
+    raw = F.when(n % 11 == 0, F.col("text")).otherwise(obj)
+    parsed = _struct.parse_structured(c.select("conv_id", "turn", raw.alias("raw")), "raw", "risk")
+    return parsed.select("conv_id", "turn", "status", F.col("parsed.fragility_score").alias("fragility"),
+                         F.length("parsed.concentration_risk").cast("long").alias("n_risk"))
+
+
 @register("gather_defaults")
 def gather_defaults(spark, sf):
     c = B.table(spark, sf, "conversations")

@@ -49,7 +49,8 @@ def daily_results(quotes_raw: DataFrame, bars: DataFrame, valuation: DataFrame,
 
 
 def run_daily(spark, raw_dir: str, out_dir: str, pooled: bool = False, fmt: str = "parquet") -> dict[str, str]:
-    """Land -> clean once -> nine result tables written under ``out_dir``.
+    """Land -> clean once -> nine result tables written under ``out_dir``, and
+    ``unmatched_codes``: how many quotes found no sector.
 
     Reads ``{raw_dir}/a_spot/*.csv``, ``a_hist``, ``market_pe`` and the
     optional ``industry`` map.  The raw quotes are written once as a table in
@@ -66,6 +67,11 @@ def run_daily(spark, raw_dir: str, out_dir: str, pooled: bool = False, fmt: str
         quotes, read_bars(spark, f"{raw}/a_hist/*.csv"), read_valuation(spark, f"{raw}/market_pe/*.csv"),
         read_sector_map(spark, f"{raw}/industry/*.csv"), pooled=pooled)
     by_date = None if pooled else "trade_date"
+    sectors = read_sector_map(spark, f"{raw}/industry/*.csv")
+    spot = tables["spot_clean"]
+    matched = with_sector(spot, sectors, key="code", dim="industry", out="industry_name", vendor_codes=True)
+    tables["unmatched_codes"] = matched.groupBy(*([] if pooled else ["trade_date"])).agg(
+        F.count_if(F.col("industry_name").isNull()).alias("unmatched"), F.count(F.lit(1)).alias("quotes"))
     write_results(tables, out_dir, fmt=fmt, partition_by=by_date)
     return {k: f"{out_dir.rstrip('/')}/{k}" for k in tables}
 

@@ -462,3 +462,28 @@ SELECT id, doc_id, source, batch FROM (
   SELECT md5(text) AS id, doc_id, source, doc_id % 7 AS batch,
          row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id % 7 DESC, doc_id) AS k FROM documents)
 WHERE k = 1"""
+
+
+ORACLE["structured_parse_risk"] = """
+WITH r AS (
+  SELECT conv_id, turn, CASE WHEN length(text) % 11 = 0 THEN text ELSE
+    regexp_replace(CAST(json_object('concentration_risk', text, 'volatility_assessment', role) AS VARCHAR), '\\}$', '')
+    || ', "external_risks": ["x"], "stock_warnings": ' || CASE length(text) % 5 WHEN 0 THEN '[1, 2]' WHEN 1 THEN '[null]' ELSE '["a", "b"]' END
+    || ', "fragility_score": "' || CAST(length(text) / 400.0 AS VARCHAR) || '", "confidence": 0.5'
+    || CASE WHEN length(text) % 7 = 0 THEN '' ELSE ', "overall_risk_level": "low"' END || '}' END AS raw
+  FROM conversations),
+j AS (SELECT conv_id, turn, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS o FROM r),
+f AS (SELECT *, TRY_CAST(o ->> '$.fragility_score' AS DOUBLE) AS fragile, TRY_CAST(o ->> '$.confidence' AS DOUBLE) AS sure FROM j),
+s AS (SELECT *, CASE
+    WHEN o IS NULL OR json_type(o) <> 'OBJECT' THEN 'not_json'
+    WHEN len(list_filter(['concentration_risk', 'volatility_assessment', 'external_risks', 'stock_warnings', 'fragility_score', 'overall_risk_level', 'confidence'],
+                         lambda k: coalesce(json_type(o, '$.' || k), 'NULL') = 'NULL')) > 0 THEN 'missing'
+    WHEN len(list_filter(['concentration_risk', 'volatility_assessment', 'overall_risk_level'], lambda k: json_type(o, '$.' || k) <> 'VARCHAR')) > 0
+      OR len(list_filter(['external_risks', 'stock_warnings'], lambda k: json_type(o, '$.' || k) <> 'ARRAY')) > 0
+      OR len(list_filter(json_extract(o, '$.external_risks[*]') || json_extract(o, '$.stock_warnings[*]'), lambda e: json_type(e) <> 'VARCHAR')) > 0
+      OR fragile IS NULL OR sure IS NULL THEN 'type'
+    WHEN fragile NOT BETWEEN 0 AND 1 OR sure NOT BETWEEN 0 AND 1 THEN 'range'
+    ELSE 'ok' END AS status FROM f)
+SELECT conv_id, turn, status, CASE WHEN status = 'ok' THEN fragile END AS fragility,
+       CASE WHEN status = 'ok' THEN length(o ->> '$.concentration_risk') END AS n_risk
+FROM s"""
