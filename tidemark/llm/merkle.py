@@ -35,39 +35,41 @@ def _md5(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def _chunks(items: Column, size: int) -> Column:
-    """An array cut into arrays of ``size``; the last may be shorter."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(size)), lambda s: F.slice(items, s, size))
+#: Cut an array-free way, in one pass over the text: with a line break (a space)
+#: appended, the sections of a text (the phrases of a paragraph) each end at one.
+_SECTIONS = rf"((?:[^\n]*\n){{0,{SECTION - 1}}}[^\n]*)\n"
+_PHRASES = rf"([^ ]*(?: [^ ]*){{0,{PHRASE - 1}}}) "
 
 
-def _leaf_hashes(paragraphs: Column) -> Column:
-    """array (paragraphs) of arrays (leaf hashes, whole)."""
-    return F.transform(paragraphs, lambda p: F.transform(_chunks(F.split(p, " "), PHRASE), lambda ws: _md5(F.array_join(ws, " "))))
+def _leaf_hashes(text: Column) -> Column:
+    """array (sections) of arrays (paragraphs) of arrays (leaf hashes, whole)."""
+    sections = F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(_SECTIONS), F.lit(1))
+    return F.transform(sections, lambda s: F.transform(F.split(s, "\n"), lambda p: F.transform(
+        F.regexp_extract_all(F.concat(p, F.lit(" ")), F.lit(_PHRASES), F.lit(1)), _md5)))
 
 
 def _with_tree_of(df: DataFrame, leaves: str, out: str) -> DataFrame:
     """``df`` with the tree over a column of leaf hashes."""
-    nodes = f"_{out}_nodes"
+    paragraphs, sections = f"_{out}_paragraphs", f"_{out}_sections"
     cut = lambda hs: F.transform(hs, lambda h: F.substring(h, 1, LEAF_HEX))
-    named = F.transform(F.col(leaves), lambda hs: F.struct(
-        _md5(F.array_join(hs, "")).alias("h"), F.array_join(cut(hs), ",").alias("below")))
-    sections = F.transform(_chunks(named, SECTION), lambda ps: F.struct(
+    named = F.transform(F.col(leaves), lambda ps: F.transform(ps, lambda hs: F.struct(
+        _md5(F.array_join(hs, "")).alias("h"), F.array_join(cut(hs), ",").alias("below"))))
+    nodes = F.transform(F.col(paragraphs), lambda ps: F.struct(
         _md5(F.array_join(F.transform(ps, lambda p: p["h"]), "")).alias("h"),
         F.array_join(F.transform(ps, lambda p: F.concat(F.substring(p["h"], 1, PARAGRAPH_HEX), F.lit("="), p["below"])), ";").alias("below")))
-    root = _md5(F.array_join(F.transform(F.col(nodes), lambda s: s["h"]), ""))
-    body = F.array_join(F.transform(F.col(nodes), lambda s: F.concat(F.substring(s["h"], 1, SECTION_HEX), F.lit(":"), s["below"])), "|")
-    return (df.withColumn(nodes, sections)
+    root = _md5(F.array_join(F.transform(F.col(sections), lambda s: s["h"]), ""))
+    body = F.array_join(F.transform(F.col(sections), lambda s: F.concat(F.substring(s["h"], 1, SECTION_HEX), F.lit(":"), s["below"])), "|")
+    return (df.withColumn(paragraphs, named).withColumn(sections, nodes)
             .withColumn(out, F.struct(F.concat(root, F.lit("|"), body).alias("fp"),
-                                      F.array_distinct(cut(F.flatten(F.col(leaves)))).alias("leaves")))
-            .drop(nodes))
+                                      F.array_distinct(cut(F.flatten(F.flatten(F.col(leaves))))).alias("leaves")))
+            .drop(paragraphs, sections))
 
 
 def with_tree(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """``df`` with ``out``: struct<fp: the fingerprint string, leaves: the
     distinct leaf hashes (cut)>.  A null text counts as empty, which is a tree
     of one empty leaf.  A column of that name is replaced."""
-    paragraphs = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    return _with_tree_of(df.withColumn("_own_leaves", _leaf_hashes(paragraphs)), "_own_leaves", out).drop("_own_leaves")
+    return _with_tree_of(df.withColumn("_own_leaves", _leaf_hashes(F.coalesce(F.col(text_col), F.lit("")))), "_own_leaves", out).drop("_own_leaves")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,11 +128,13 @@ def with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     cut = F.floor(n / 3).cast("int")
     out = laid.withColumns({"_kept": F.substring(F.col("_text"), F.lit(1), (n - cut).cast("int")),
                             "_new": F.coalesce(F.substring(F.lead("_text").over(w), F.lit(1), cut), F.lit(""))})
-    # The paragraphs that end before the edit keep their hashes; only what follows them is hashed again.
-    same = F.length("_kept") - F.length(F.replace(F.col("_kept"), F.lit("\n"), F.lit("")))
-    rest = F.split(F.concat(F.substring_index("_kept", "\n", -1), F.col("_new")), "\n")
-    out = out.withColumn("_leaves", _leaf_hashes(F.split("_text", "\n")))
-    out = out.withColumn("_edited_leaves", F.concat(F.slice("_leaves", F.lit(1), same), _leaf_hashes(rest)))
+    # The sections that end before the edit keep their hashes; only what follows them is hashed again.
+    breaks = (F.length("_kept") - F.length(F.replace(F.col("_kept"), F.lit("\n"), F.lit("")))).cast("int")
+    same = F.floor(breaks / SECTION).cast("int")
+    # From the right, the paragraphs of the unfinished section and the one that the edit cuts.
+    rest = F.call_function("substring_index", F.col("_kept"), F.lit("\n"), -(breaks - same * SECTION) - 1)
+    out = out.withColumn("_leaves", _leaf_hashes(F.col("_text")))
+    out = out.withColumn("_edited_leaves", F.concat(F.slice("_leaves", F.lit(1), same), _leaf_hashes(F.concat(rest, F.col("_new")))))
     out = _with_tree_of(_with_tree_of(out, "_leaves", "tree"), "_edited_leaves", "edited_tree").drop("_leaves", "_edited_leaves")
     out = out.withColumn("next_tree", F.lead("tree").over(w)).where("_guard = 0")
     return out.select(F.col("_id").alias(id_col), F.col("_text").alias("text"), n.alias("n_chars"), "tree",
