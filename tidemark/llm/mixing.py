@@ -6,8 +6,12 @@ sources by weight, none above ``cap`` times its source: with level L,
 target = least(cap * size, weight * L), and L follows from a few one-row
 aggregates over the table of sources.  A document of a source with
 rate = target / size is emitted floor(rate) times plus one hash-seeded
-Bernoulli copy with the fraction as probability.  The table of sources is
-joined plainly: Spark broadcasts it by its size or splits the hot source.
+Bernoulli copy with the fraction as probability.  A source has ``TURNS`` seeds
+to draw by (its documents' hashes, each turned by the same share of the circle);
+their totals come from one more aggregate, and the seed whose total is nearest
+to the target draws, which matters where a few long documents hold a source's
+words.  The table of sources is joined plainly: Spark broadcasts it by its size
+or splits the hot source.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from ._common import WORD
 
 SEED = "mix"
 _DRAWS = 2.0**52
+TURNS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -57,8 +62,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
                       F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def _copies(rate: Column, u: Column) -> Column:
-    return (F.floor(rate) + (u < rate - F.floor(rate)).cast("long")).cast("long")
+def _copies(rate: Column, u: Column, turn: Column) -> Column:
+    turned = F.pmod(u + turn / F.lit(float(TURNS)), F.lit(1.0))  # exact: 52 bits and 16ths
+    return (F.floor(rate) + (turned < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """A few bytes for each document, written once: id, source, size and draw."""
+    return materialize(docs.select(
+        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        draw(F.col(id_col), F.col(text_col), seed).alias("_u")), "mix-sized")
+
+
+def _with_turns(sized: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
+    """The table of sources (_source, source_size, target, rate) with the turn to draw by."""
+    per = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    per = per.withColumnRenamed("source", "_source")
+    drawn = sized.join(per, F.col("source").eqNullSafe(F.col("_source")))
+    totals = drawn.groupBy("_source", "source_size", "target", "rate").agg(*[
+        F.sum(_copies(F.col("rate"), F.col("_u"), F.lit(k)) * F.col("size")).alias(f"_t{k}") for k in range(TURNS)])
+    off = F.array(*[F.abs(F.col(f"_t{k}") - F.col("target")) for k in range(TURNS)])
+    turn = (F.array_position(off, F.array_min(off)) - 1).cast("int")
+    return materialize(totals.select("_source", "source_size", "target", "rate", turn.alias("turn")), "mix-turns", 1)
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -70,13 +95,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     The draw depends on id and text alone, so reruns agree, and rows equal in
     both share one fate.  An empty table gives no rows.
     """
-    sized = materialize(docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        draw(F.col(id_col), F.col(text_col), seed).alias("_u")), "mix-sized")
-    per = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    per = per.withColumnRenamed("source", "_source")
-    out = sized.join(per, F.col("source").eqNullSafe(F.col("_source")))
-    copies = _copies(F.col("rate"), F.col("_u"))
+    sized = _sized(docs, id_col, text_col, source_col, seed)
+    out = sized.join(_with_turns(sized, weights, share, cap), F.col("source").eqNullSafe(F.col("_source")))
+    copies = _copies(F.col("rate"), F.col("_u"), F.col("turn"))
     return out.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", copies.alias("copies"),
                       (copies * F.col("size")).alias("taken"))
 
@@ -85,10 +106,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = 3, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
     cols = docs.columns
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word_count(F.col(text_col))).alias("source_size"))
-    per = source_targets(sizes, weights, share, cap).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
+    per = _with_turns(_sized(docs, id_col, text_col, source_col, seed), weights, share, cap).select(
+        F.col("_source").alias("_mix_source"), F.col("rate").alias("_mix_rate"), F.col("turn").alias("_mix_turn"))
     out = docs.join(per, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    times = _copies(F.col("_mix_rate"), draw(F.col(id_col), F.col(text_col), seed)).cast("int")
+    times = _copies(F.col("_mix_rate"), draw(F.col(id_col), F.col(text_col), seed), F.col("_mix_turn")).cast("int")
     return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*cols)
 
 
@@ -112,8 +133,15 @@ level AS (
 rates AS (
   SELECT source, source_size, least(3.0 * source_size, weight * l) AS target,
          CASE WHEN source_size > 0 THEN CAST(least(3.0 * source_size, weight * l) AS DOUBLE) / source_size ELSE 0 END AS rate
-  FROM per, level)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(round(target, 3) AS DOUBLE) AS target,
-       CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
+  FROM per, level),
+copies AS (
+  SELECT doc_id, rates.source, size, source_size, target, t,
+         floor(rate) + CASE WHEN (u + t / {TURNS}.0::DOUBLE) % 1.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS n
+  FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source, range({TURNS}) r(t)),
+turns AS (
+  SELECT source, arg_min(t, (off, t)) AS t FROM (
+    SELECT source, t, abs(CAST(sum(CAST(n * size AS BIGINT)) AS BIGINT) - any_value(target)) AS off FROM copies GROUP BY source, t)
+  GROUP BY source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(round(target, 3) AS DOUBLE) AS target, CAST(n * size AS BIGINT) AS taken
+FROM copies JOIN turns ON copies.source IS NOT DISTINCT FROM turns.source AND copies.t = turns.t
 """
