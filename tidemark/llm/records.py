@@ -47,11 +47,11 @@ _SUM = struct.Struct("<I")
 _NULL_ID, _WIDE = 1, 2
 MANIFEST = "shard int, data string, index string, records bigint, tokens bigint"
 #: Words in a generation of a worker's memory of encodings.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 #: Bytes of text that are encoded together, about.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 class CorruptRecord(ValueError):
