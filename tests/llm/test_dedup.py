@@ -152,6 +152,25 @@ def test_line_runs_equal_brute_force(spark, m):
     assert got.columns == ["doc_id", "text", "_pos", "removed_runs", "kept"]
 
 
+def test_long_lines_and_one_line_documents_need_no_neighbour(spark):
+    long, other = " ".join(f"w{k}" for k in range(6)), " ".join(f"v{k}" for k in range(5))
+    rows = [(1, long), (2, long), (3, f"a\n{long}\nb"), (4, f"c\n{other}\nd"), (5, f"e\n{other}\nf"), (6, "short"), (7, "short"),
+            (8, "g\nshort\nh"), (9, None), (10, ""), (11, f"a\n{long}\n{long}\nb"), (12, f"i\n{long}\nc\n{other}\nj\nk"), (13, "j\nk"), (None, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {2: [0], 3: [1], 5: [], 7: [0], 10: [0], 11: [0, 1, 2, 3], 12: [1, 2, 3], 13: [0, 1]}
+    # Document 11: "a" and the line as in 3, the line again, the line and "b" as in 3.
+    want = sorted(((d, "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone.get(d, []))) for d, t in rows), key=str)
+    got = linededup.dedup_lines(df, long_words=6).collect()
+    assert sorted(((r.doc_id, r.kept) for r in got), key=str) == want
+    without = {r.doc_id: r.kept for r in linededup.dedup_lines(df).collect()}
+    assert without[2] == long and without[7] == "short"  # two lines or more, whatever their length
+
+
+def test_long_line_query_equals_its_sql(spark):
+    from oracle_check import compare
+    assert compare(spark, SF, ["op2_line_dedup", "op2_line_dedup_long"], verbose=False) == {"op2_line_dedup": "OK", "op2_line_dedup_long": "OK"}
+
+
 def test_line_dedup_of_no_rows(spark):
     assert linededup.dedup_lines(odd(spark).limit(0)).count() == 0
 

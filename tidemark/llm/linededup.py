@@ -13,6 +13,9 @@ lines are the intervals of the suffix array whose longest common prefix is at
 least that; consecutive later copies make a maximal repeated run, and it is
 deleted.
 
+With ``long_words`` a run qualifies by its content too: a single line of at
+least so many words, or one that is all of its document, needs no neighbour.
+
 A line or passage that a third of all documents hold is aggregated before the
 shuffle, and joined back in a sort-merge join that AQE splits.
 """
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ._common import shuffle_partitions
+from ._common import WORD, shuffle_partitions
 
 _KEY = ["_id", "_th"]
 
@@ -33,12 +36,16 @@ def _at() -> Column:
     return F.struct("_id", "_th", "_pos")
 
 
-def _named(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Positions with ``name``: the first position of equal ``by``; those that are alone go."""
+def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and ``name``, the first position, of those ``by`` that stand at two positions or more."""
     groups = rows.groupBy(*by).agg(F.min(_at()).alias("name"), F.max(_at()).alias("_last")).where("name <> _last")
     # As a table of its own: both sides of the join then come from plain shuffles, whose hot partitions AQE can split.
-    groups = materialize(groups.select(*by, "name"), "line-names", shuffle_partitions(rows.sparkSession) // 4)
-    return rows.join(groups, by).select(*_KEY, "_pos", "name")
+    return materialize(groups.select(*by, "name"), "line-names", shuffle_partitions(rows.sparkSession) // 4)
+
+
+def _named(rows: DataFrame, by: list[str], shared: DataFrame | None = None) -> DataFrame:
+    """Positions with ``name``: the first position of equal ``by``; those that are alone go."""
+    return rows.join(_shared(rows, by) if shared is None else shared, by).select(*_KEY, "_pos", "name")
 
 
 def _joined(names: DataFrame, further: int) -> DataFrame:
@@ -47,10 +54,11 @@ def _joined(names: DataFrame, further: int) -> DataFrame:
     return names.withColumn("_next", F.first("name").over(w)).where("_next is not null")
 
 
-def repeated_positions(lines: DataFrame, min_lines: int) -> DataFrame:
+def repeated_positions(lines: DataFrame, min_lines: int, shared: DataFrame | None = None) -> DataFrame:
     """Lines (_id, _th, _pos, _line) -> (_id, _th, _pos, name) of the positions
-    whose next ``min_lines`` lines occur at another position too."""
-    names, length = _named(lines, ["_line"]), 1
+    whose next ``min_lines`` lines occur at another position too.  ``shared``:
+    what ``_shared`` gives for the lines, if it is at hand."""
+    names, length = _named(lines, ["_line"], shared), 1
     while length < min_lines:
         step = min(length, min_lines - length)
         pairs = materialize(_joined(names, step).withColumnRenamed("name", "_first"), "line-pairs")
@@ -58,24 +66,36 @@ def repeated_positions(lines: DataFrame, min_lines: int) -> DataFrame:
     return names
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
+                  long_words: int | None = None) -> DataFrame:
     """(_id, _th, runs) of the documents with a line run to delete: ``runs`` is
     their sorted array of struct<from, to> (line numbers from 0, ``to`` left out)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), F.posexplode(F.split(text, "\n")).alias("_pos", "_text"))
-    lines = materialize(lines.select("_id", "_th", "_pos", F.unhex(F.md5(F.col("_text").cast("binary"))).alias("_line")), "lines")
-    later = repeated_positions(lines, min_lines).where(F.col("name") != _at()).select(*_KEY, "_pos").distinct()
+    cut = F.split(text, "\n")
+    size = [] if long_words is None else [F.size(cut).alias("_size")]
+    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), *size, F.posexplode(cut).alias("_pos", "_text"))
+    line = F.unhex(F.md5(F.col("_text").cast("binary"))).alias("_line")
+    long = [] if long_words is None else [((F.regexp_count("_text", F.lit(WORD)) >= long_words) | (F.col("_size") == 1)).alias("_long")]
+    lines = materialize(lines.select("_id", "_th", "_pos", line, *long), "lines")
+    copies = lambda names, n: names.where(F.col("name") != _at()).select(*_KEY, "_pos", (F.col("_pos") + n).alias("_to"))
+    shared = _shared(lines, ["_line"])
+    later = copies(repeated_positions(lines, min_lines, shared), min_lines)
+    if long:
+        later = later.unionByName(copies(_named(lines.where("_long"), ["_line"], shared), 1))
+    later = later.groupBy(*_KEY, "_pos").agg(F.max("_to").alias("_to"))
     w = Window.partitionBy(*_KEY).orderBy("_pos")
-    starts = F.coalesce(F.col("_pos") > F.lag("_pos").over(w) + min_lines, F.lit(True))
+    starts = F.coalesce(F.col("_pos") > F.max("_to").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     runs = later.withColumn("_new", starts.cast("int")).withColumn("_run", F.sum("_new").over(w))
-    runs = runs.groupBy(*_KEY, "_run").agg(F.min("_pos").alias("from"), (F.max("_pos") + min_lines).alias("to"))
+    runs = runs.groupBy(*_KEY, "_run").agg(F.min("_pos").alias("from"), F.max("_to").alias("to"))
     return runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))  # at most a document's lines
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
-                out: str = "kept", runs_col: str = "removed_runs") -> DataFrame:
+                out: str = "kept", runs_col: str = "removed_runs", long_words: int | None = None) -> DataFrame:
     """``docs`` with ``out``, the text without the later copies of repeated runs
-    of ``min_lines`` lines or more, and ``runs_col``, the runs removed.
+    of ``min_lines`` lines or more, and ``runs_col``, the runs removed.  With
+    ``long_words``, later copies of single lines go too where a line has that
+    many words or is all of its document.
 
     A run stays where it first occurs, by id (null ids first), then by line
     number; copies may overlap within a document.  What occurs is judged on the
@@ -84,7 +104,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names are replaced.
     """
     src = docs.drop(out, runs_col)
-    runs = repeated_runs(src.select(id_col, text_col), id_col, text_col, min_lines)
+    runs = repeated_runs(src.select(id_col, text_col), id_col, text_col, min_lines, long_words)
     none = F.array().cast("array<struct<from:int,to:int>>")
     runs = runs.select(F.col("_id").alias("_ld_rid"), F.col("_th").alias("_ld_rth"), F.col("runs").cast("array<struct<from:int,to:int>>").alias(runs_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -115,3 +135,25 @@ SELECT doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
        md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gone.pos IS NULL), '')) AS kept_md5
 FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
 """
+
+#: Words from which a line is a passage of its own.
+LONG_WORDS = 30
+
+ORACLE_LONG = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
+         len(string_split(coalesce(text, ''), chr(10))) AS n
+  FROM documents),
+pairs AS (
+  SELECT doc_id, pos, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS pair FROM lines),
+named AS (
+  SELECT doc_id, pos, {MIN_LINES} AS size, row_number() OVER (PARTITION BY pair ORDER BY doc_id, pos) AS nth FROM pairs WHERE pair IS NOT NULL
+  UNION ALL
+  SELECT doc_id, pos, CASE WHEN n = 1 OR len(regexp_extract_all(line, '{WORD}')) >= {LONG_WORDS} THEN 1 ELSE 0 END,
+         row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) FROM lines),
+gone AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM named, range({MIN_LINES}) t(k) WHERE nth > 1 AND k < size)
+SELECT doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gone.pos IS NULL), '')) AS kept_md5
+FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
+"""

@@ -89,17 +89,29 @@ def op7_quality_ranking(spark, sf):
                       (F.col("score") >= model.cut).cast("int").alias("predicted"))
 
 
-@register
-def op2_line_dedup(spark, sf):
-    out = linededup.dedup_lines(read_table(spark, sf, "documents").select("doc_id", "text"))
+def _line_digest(out: DataFrame) -> DataFrame:
     removed = F.aggregate("removed_runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
     return out.select("doc_id", lines.alias("n_lines"), removed.alias("n_removed"), F.md5(F.col("kept").cast("binary")).alias("kept_md5"))
 
 
+@register
+def op2_line_dedup(spark, sf):
+    return _line_digest(linededup.dedup_lines(read_table(spark, sf, "documents").select("doc_id", "text")))
+
+
 ORACLE["op2_line_dedup"] = linededup.ORACLE
 
 
+@register
+def op2_line_dedup_long(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return _line_digest(linededup.dedup_lines(docs, long_words=linededup.LONG_WORDS))
+
+
+ORACLE["op2_line_dedup_long"] = linededup.ORACLE_LONG
+
+
 def op10_edits():
     """Three edits of each document, from its own length and words: an
     insertion in its first third, a replacement around its middle, and a cut
