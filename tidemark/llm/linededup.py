@@ -8,10 +8,10 @@ position is a later copy when its name isn't itself.  A level costs one window
 by document (the name 2^k lines further on), one aggregation by the pair of
 names and one join back; suffixes whose prefix occurs once are settled and drop
 out of all further levels.  The last level joins two overlapping names, so any
-``min_lines`` can be asked for.  The suffixes that share a name of ``min_lines``
-lines are the intervals of the suffix array whose longest common prefix is at
-least that; consecutive later copies make a maximal repeated run, and it is
-deleted.
+``min_lines`` can be asked for; at 2, one step is all.  Suffixes are named, not
+ordered: no suffix array and no longest common prefix is made.  What the later
+copies of ``min_lines`` lines cover is deleted; a run of neighbouring ones may
+come from several sources.
 
 With ``long_words`` a run qualifies by its content too: a single line of at
 least so many words, or one that is all of its document, needs no neighbour.
