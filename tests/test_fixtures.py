@@ -450,3 +450,16 @@ def test_c13_c14_score_table_and_answer(spark):
                                  render.render_answer(F.lit("q"), rows, F.when(F.lit(False), final), F.lit(" ")).alias("b")).first()
     assert text.a.endswith("**市场情绪**: 中性\n**风险等级**: low\n\nsum\n\n**h**\nc\n\n**关键要点**:\n- k\n\n---\n\n### 📎 参考新闻 (RAG 检索)\none\ntwo\nthree")
     assert text.b.endswith("### 📝 综合研判\n\n（主编汇总失败）") and "| a | b | 1% |" in text.b
+
+
+def test_t6_recall_on_row_queries(spark):
+    from tidemark.plans.catalog import row_queries
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    q = row_queries(e)
+    assert q.count() == 100  # every row whose id is divisible by 20
+    exact = vectors.cosine_topk(e, q, 10, doc_id="vec_id").persist()
+    assert exact.count() == 1000 and exact.where("rank = 1 and qid = vec_id").count() == 100
+    for approx in (vectors.cosine_topk_lsh(e, q, 10, doc_id="vec_id", bucket_length=0.3, tables=4),
+                   vectors.cosine_topk_ivf(e, q, 10, doc_id="vec_id", cells=8, probes=7)):
+        assert vectors.recall_at_k(approx, exact, "qid", "vec_id").agg(F.avg("recall")).first()[0] >= 0.9
+    exact.unpersist()

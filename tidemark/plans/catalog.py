@@ -251,6 +251,19 @@ def vector_topk_many(spark, sf):
     return top.select("label", "rank", "vec_id", "similarity")
 
 
+def row_queries(e):
+    """Every row whose id is divisible by 20, as a query."""
+    return e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+
+
+@register("vector_topk_rows")
+def vector_topk_rows(spark, sf):
+    """The rows with an id divisible by 20 against all rows, themselves included."""
+    e = B.table(spark, sf, "embeddings")
+    top = _vec.cosine_topk(e, row_queries(e), 10, doc_id="vec_id", doc_vec="embedding", query_id="qid", query_vec="query")
+    return top.select("qid", "rank", "vec_id", "similarity")
+
+
 @register("vector_topk_lsh")
 def vector_topk_lsh(spark, sf):
     e = B.table(spark, sf, "embeddings")

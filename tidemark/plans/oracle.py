@@ -222,6 +222,14 @@ f"""
 SELECT label, CAST(rk AS INTEGER) AS rank, vec_id, {r("GREATEST(0.0, 1 - dist)", 6)} AS similarity
 FROM t WHERE rk <= 10""")
 
+ORACLE["vector_topk_rows"] = f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS qid, e.vec_id, 1 - list_cosine_similarity(e.v, q.v) AS dist FROM e, e AS q WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rk
+      FROM s WHERE dist IS NOT NULL AND NOT isnan(dist))
+SELECT qid, CAST(rk AS INTEGER) AS rank, vec_id, {r("GREATEST(0.0, 1 - dist)", 6)} AS similarity
+FROM t WHERE rk <= 10"""
+
 _FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
 _FENCE_ANY = r"(?s)```(?:json)?\s*\n?.*?\n?```"
 _STRIP = r"^\s+|\s+$"
