@@ -78,6 +78,18 @@ def test_quality_on_held_out_documents(spark):
     assert (held.predicted == held.quality).mean() > 0.95
 
 
+def test_quality_cut_is_of_all_rows_not_of_the_sample(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):  # 40 of label 0, which overlap with the others
+        word = lambda: "".join(rng.choice("abcdef" if rng.random() < (0.6 if k % 10 else 0.4) else "123456") for _ in range(5))
+        rows.append((k, " ".join(word() for _ in range(12)), int(k % 10 > 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for bound in (40, 1000):  # a sample of as many of either label, and all rows
+        model = quality.train(df.select("doc_id", "text"), df.select("doc_id", "quality"), rows_per_label=bound)
+        assert sum(r.score < model.cut for r in quality.score_quality(df, model).collect()) == 40
+
+
 def test_quality_of_odd_rows_and_without_a_label(spark):
     labels = spark.createDataFrame([(1, 1), (7, 1), (4, 0), (4, 1), (None, 0), (2, None), (6, 0)], "doc_id long, quality int")
     model = quality.train(odd(spark), labels)

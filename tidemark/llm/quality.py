@@ -4,14 +4,15 @@ A document has a strength, linear in its features, and is preferred to another
 with probability sigmoid(strength - strength).  The fit runs over preference
 pairs (a document labelled 1 against one labelled 0): logistic loss on feature
 differences, by stochastic gradient descent.  A strength becomes a score in
-[0, 1] by a logistic curve that is anchored at a quantile of the training
-strengths: the quantile that cuts off the share of label 0 scores ``cut``.
+[0, 1] by a logistic curve that is anchored at a quantile of the strengths of all
+rows that may be learned from: the one that cuts off their share of label 0
+scores ``cut``.
 
 Features are counts over the whole text: shares of character classes and of
 their neighbourships, lengths, and how often words and lines repeat.  The fit is
 on the driver over a bounded sample (``rows_per_label`` documents of each label,
-those of least hash of the id), of which only features arrive; scoring is a map
-without a shuffle.
+those of least hash of the id), of which only features arrive; the anchor is taken over
+all labelled documents, of which only strengths are shuffled; scoring is a map without a shuffle.
 """
 
 from __future__ import annotations
@@ -146,7 +147,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if got["label"].nunique() < 2:
         return RankModel(np.zeros(n), np.zeros(n), np.ones(n))
     got = got.sort_values("id", kind="stable")
-    return fit_pairs(np.stack(got["x"].to_numpy()), got["label"].to_numpy() == 1)
+    model = fit_pairs(np.stack(got["x"].to_numpy()), got["label"].to_numpy() == 1)
+    model.anchor = anchor_of_all(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), one, model)
+    return model
+
+
+def anchor_of_all(docs: DataFrame, one: DataFrame, model: RankModel) -> float:
+    """The strength that cuts off the share of label 0 of all documents
+    (_id, _text) with a label (_id, _label): between two strengths where that
+    share ends between them, or the strength that many rows there share.  The
+    rank is off by at most a hundred thousandth of the rows."""
+    src = docs.select("_text", "_id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_in(batches):
+            x = np.stack([features(t) for t in b.column(0).to_pylist()]) if b.num_rows else np.zeros((0, len(model.weights)))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(model.strength(x))], names=["_id", "_strength"])
+
+    kind = src.schema["_id"].dataType.simpleString()
+    all_rows = materialize(src.where("_id is not null").mapInArrow(run, f"_id {kind}, _strength double").join(one, "_id").select("_label", "_strength"),
+                           "quality-strengths")
+    n, worse = all_rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("_label") == 0, 1))).first()
+    s = F.col("_strength")
+    at = all_rows.agg(F.percentile_approx(s, worse / n, 100_000)).first()[0]
+    below, above = all_rows.agg(F.count(F.when(s <= at, 1)), F.min(F.when(s > at, s))).first()
+    return at if above is None or below > worse else (at + above) / 2
 
 
 def score_quality(docs: DataFrame, model: RankModel, text_col: str = "text", score: str = "score") -> DataFrame:
