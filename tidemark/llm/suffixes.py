@@ -29,8 +29,12 @@ from those of its parts.  A round of names goes through one shuffle: a range of
 names is sorted in one task (as many ranges as names need), and every block of
 documents sends a name once, whatever its copies.  So a passage that a third of
 all documents hold arrives once per block, and no task gathers its places.
-Tuples only rule out; the answers come from 64-bit names on top of an
-independent 32-bit range.
+Tuples only rule out; the answers come from 64-bit names.  The number of the
+range is a second hash, but only of as many values as there are ranges, so it
+adds log2(ranges) bits.
+
+The headings are the textbook's.  The recursion is unrolled to rounds of a fixed
+number that filter by fingerprint, and no order of suffixes is made or merged.
 
 Blocks are rows of Parquet tables in the shared folder; questions and answers
 are keyed by block, and a lost executor reads the tables again.
