@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -251,6 +252,16 @@ def test_records_round_trip(spark):
     assert records.read_records(empty).count() == 0
 
 
+def test_rows_of_one_id_are_spread_over_shards(spark):
+    ids = [7] * 300 + [None] * 300 + list(range(100, 400))
+    df = spark.createDataFrame([(d, f"text number {k}") for k, d in enumerate(ids)], "doc_id long, text string").repartition(5)
+    manifest = records.write_records(df, scratch_path(spark, "test-records"), queries.word_bpe_path(), shards=9)
+    assert max(r.records for r in manifest.collect()) < 200
+    got = sorted(records.read_records(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [7] * 300 + list(range(100, 400))
+    assert len({tuple(r.ids) for r in got}) == 900
+
+
 def test_a_changed_byte_is_noticed():
     body = records.pack_body(-5, np.array([1, 2, 70], "<u2").tobytes(), False)
     raw = records.frame(body)
@@ -357,6 +368,22 @@ def test_fingerprint_tells_equal_from_unequal_and_locates_edits(spark):
     assert [a == b for a, b in zip(para[1], para[3])] == [True, True, True, False, True]
 
 
+def test_rows_of_one_id_are_spread_over_ranges(spark):
+    ids = [7] * 300 + [None] * 300 + list(range(300)) + [250] * 100
+    tie = lambda t: (h := xxhash.xxh64_intdigest(t, 42)) - (h >> 63 << 64)
+    rows = [(d, f"one two three {k}") for k, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    src = df.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_tie"))
+    assert max(r["count"] for r in merkle._in_ranges(src, 32).groupBy("_shard").count().collect()) < 100
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tie(r[1])))
+    want = {t: t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3] for k, (_, t) in enumerate(order)}
+    # The first third of all texts is alike; the next tree is what tells the rows apart.
+    got = merkle.with_edit(df).select("text", "edited", "tree.fp", F.col("next_tree.fp").alias("next")).collect()
+    assert {r.text: r.edited for r in got} == want and len(got) == len(rows)
+    fp = {r.text: r.fp for r in got}
+    assert {r.text: r.next for r in got} == {t: fp[order[(k + 1) % len(order)][1]] for k, (_, t) in enumerate(order)}
+
+
 def test_digest_of_odd_rows(spark):
     got = merkle.edit_digest(odd(spark)).collect()
     assert len(got) == len(ODD) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)

@@ -19,6 +19,7 @@ sets of leaves.
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,11 +80,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring(a["fp"], 1, ROOT_HEX) == F.substring(b["fp"], 1, ROOT_HEX), F.lit(1.0)).otherwise(dice)
 
 
-def _shard(id_col: Column, tie: Column, bounds: list[int]) -> Column:
+def _shard(id_col: Column, tie: Column, cuts: list[int]) -> Column:
     """The number of the range that a row falls in, ascending as (id descending
-    with nulls last, tie descending).  ``bounds`` descend; they are searched in
-    two steps, so a row compares with some 2 sqrt(len(bounds)) of them.  Rows
-    without an id, which may be many, are spread by their tie hash."""
+    with nulls last, tie descending).  The bounds are searched in two steps, so
+    a row compares with some 2 sqrt(their number) of them.  Rows without an id,
+    which may be many, are spread by their tie hash, and so are those of an id
+    that is several of the ``cuts``, over as many ranges."""
+    bounds = sorted(set(cuts), reverse=True) or [0]
+    hot = {v: n for v, n in Counter(cuts).items() if n > 1}
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[k: k + step] for k in range(0, len(bounds), step)]
     above = lambda xs: F.size(F.filter(xs, lambda v: v > id_col))
@@ -92,10 +96,23 @@ def _shard(id_col: Column, tie: Column, bounds: list[int]) -> Column:
     fine = F.from_json(F.lit(json.dumps([*groups, []])), "array<array<bigint>>")
     by_id = above(whole) * F.lit(step + 1) + above(F.get(fine, above(whole)))
     last = (len(groups) + 1) * (step + 1)
+    if hot:
+        # A bound is the least id of its range: its rows come after the others there.
+        ids, parts = (F.from_json(F.lit(json.dumps(list(x))), "array<bigint>") for x in (hot, hot.values()))
+        n = F.coalesce(F.get(parts, (F.array_position(ids, id_col) - 1).cast("int")), F.lit(0).cast("long"))
+        stride = max(hot.values()) + 1
+        by_id = by_id * F.lit(stride) + n - F.shiftright((F.shiftright(tie, 48) + F.lit(1 << 15)) * n, 16)
+        last *= stride
     by_tie = F.lit(last + _NULL_SHARDS - 1) - (F.shiftright(tie, 58) + F.lit(_NULL_SHARDS // 2)).cast("int")
     return F.when(id_col.isNull(), by_tie).otherwise(by_id).cast("int")
 
 
+def _in_ranges(src: DataFrame, want: int) -> DataFrame:
+    """``src`` with ``_shard``: some ``want`` ranges of about equal numbers of rows."""
+    cuts = src.agg(F.percentile_approx("_id", [k / want for k in range(1, want)], 20 * want)).first()[0] or []
+    return src.withColumn("_shard", _shard(F.col("_id"), F.col("_tie"), cuts))
+
+
 def with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, text (null: empty), n_chars, tree, edited, edited_tree, next_tree.
 
@@ -111,11 +128,9 @@ def with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     src = src.withColumn("_tie", F.xxhash64("_text"))
-    want = 4 * shuffle_partitions(docs.sparkSession)
-    cuts = src.agg(F.percentile_approx("_id", [k / want for k in range(1, want)], 20 * want)).first()[0] or []
-    rows = src.withColumn("_shard", _shard(F.col("_id"), F.col("_tie"), sorted(set(cuts), reverse=True) or [0]))
+    rows = _in_ranges(src, 4 * shuffle_partitions(docs.sparkSession))
     # The first row of each range: at most one per range comes to the driver, an id and a hash.
-    firsts = sorted((r[0], r[1][0], r[1][1]) for r in rows.groupBy("_shard").agg(F.max(F.struct("_id", "_tie"))).collect()) if cuts is not None else []
+    firsts = sorted((r[0], r[1][0], r[1][1]) for r in rows.groupBy("_shard").agg(F.max(F.struct("_id", "_tie"))).collect())
     guards = [(shard, *firsts[(k + 1) % len(firsts)][1:]) for k, (shard, _, _) in enumerate(firsts)]
     ends = docs.sparkSession.createDataFrame(guards, "_for int, _gid long, _gtie long")
     found = (src.join(F.broadcast(ends), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_tie") == F.col("_gtie")))

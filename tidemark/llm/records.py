@@ -26,6 +26,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -95,8 +96,8 @@ def unpack_body(body: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & _NULL_ID else doc_id, ids.astype("<u4")
 
 
-def pack_index(places: list[tuple[int, int]]) -> bytes:
-    table = np.array(places, "<u8").tobytes()
+def pack_index(offsets: array, before: array) -> bytes:
+    table = np.column_stack([np.frombuffer(offsets, np.int64), np.frombuffer(before, np.int64)]).astype("<u8").tobytes()
     return table + _SUM.pack(masked_crc(table))
 
 
@@ -261,18 +262,20 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1
     """Encode every text (null: empty), append ``end_id`` and write the records
     under ``out_dir``, a folder that all executors share.  Returns the manifest.
 
-    Ids ascend over the shards, null ids first; rows with equal ids stand by
-    text.  ``tokenizer`` is the path of a tokenizers file on every machine.  An
+    Ids ascend over the shards, null ids first; rows with equal ids stand by a
+    hash of the text, and many of them are spread over shards by it (only rows
+    equal in id and text stay together).  ``tokenizer`` is the path of a tokenizers file on every machine.  An
     empty table gives no shard.
     """
     n = shards or shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    laid = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text"))
+    keys = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    laid = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, F.col("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         coder = _encoder(tokenizer, end_id)
-        out, places, offset, total = None, [], 0, 0
+        out, offsets, before, offset, total = None, array("q"), array("q"), 0, 0
         for b in rows_by_size(batches, 1, BATCH):
             if out is None:
                 store, top = _open(out_dir)
@@ -282,18 +285,19 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1
             for key, ids in zip(b.column(0).to_pylist(), coder.encode_many(b.column(1))):
                 record = frame(pack_body(key, ids, coder.wide))
                 out.write(record)
-                places.append((offset, total))
+                offsets.append(offset)
+                before.append(total)
                 offset += len(record)
                 total += len(ids) // (4 if coder.wide else 2)
         if out is None:
             return
         out.close()
         with store.open_output_stream(f"{name}.idx") as index:
-            index.write(pack_index(places))
+            index.write(pack_index(offsets, before))
         base = out_dir.rstrip("/") + name[len(top):]
         yield pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int32()), pa.array([f"{base}.rec"]), pa.array([f"{base}.idx"]),
-             pa.array([len(places)], pa.int64()), pa.array([total], pa.int64())],
+             pa.array([len(offsets)], pa.int64()), pa.array([total], pa.int64())],
             names=["shard", "data", "index", "records", "tokens"])
 
     return materialize(laid.mapInArrow(run, MANIFEST), "records-manifest")
