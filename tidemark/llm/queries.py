@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, read_table
 from ..session import scratch_path
-from . import decontam, langid, linededup, merkle, mixing, quality, records, suffixes, tokencount
+from . import decontam, langid, lexical, linededup, manifest, merkle, mixing, quality, records, suffixes, threshold, tokencount
 from .simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,33 @@ def op3_substring_dedup(spark, sf):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op11_ranked_search(spark, sf):
+    return lexical.rank_documents(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+ORACLE["op11_ranked_search"] = lexical.ORACLE
+
+
+@register
+def op12_vector_topk(spark, sf):
+    vectors = read_table(spark, sf, "embeddings")
+    return threshold.topk_inner(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+ORACLE["op12_vector_topk"] = threshold.ORACLE
+
+
+@register
+def op13_dataset_manifest(spark, sf):
+    """Where 2 divides the crc32 of the id, the text that is verified has lost its line breaks."""
+    changed = [F.translate("text", "\n", "") if c == "text" else c for c in manifest.COLUMNS]
+    claim = F.when(crc32_of_id() % 2 == 0, manifest.digest_of(changed))
+    rows = manifest.manifest(read_table(spark, sf, "documents"), extra={"_tampered": claim})
+    out = manifest.verify(rows.withColumn("_claimed", F.coalesce("_tampered", "_leaf")), "_claimed")
+    return out.withColumnRenamed("_id", "doc_id")
+
+
+ORACLE["op13_dataset_manifest"] = manifest.ORACLE
