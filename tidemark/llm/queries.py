@@ -136,8 +136,10 @@ def op10_token_counts(spark, sf):
 def op3_substring_dedup(spark, sf):
     out = suffixes.repeated_bytes(read_table(spark, sf, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    # What follows the contract's columns tells the outcome: what is left, in bytes and in characters, and whether anything went.
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"),
+                      F.char_length(F.col("kept").cast("string")).cast("long").alias("n_kept_chars"), (removed > 0).alias("touched"))
 
 
 @register
