@@ -83,3 +83,16 @@ def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.year("o_orderdate").cast("int").alias("yr")).agg(
         round_half_up(exact_mean("o_totalprice"), 2).alias("v")
     )
+
+
+def daily_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean order value per order date: the valuation series by day."""
+    o = table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice")
+    return o.groupBy(F.to_date("o_orderdate").alias("d")).agg(round_half_up(exact_mean("o_totalprice"), 2).alias("v"))
+
+
+def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars per order priority: the first and last order of a day by key."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    return o.groupBy("o_orderpriority", F.to_date("o_orderdate").alias("d")).agg(
+        F.min_by("o_totalprice", "o_orderkey").alias("open"), F.max_by("o_totalprice", "o_orderkey").alias("close"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import money_sum, round_half_up
+from ..operators import asof as _asof
 from ..operators import breadth as _breadth
 from ..operators import concentration as _conc
 from ..operators import rank as _rank
@@ -593,3 +594,41 @@ def kb_table_upsert(spark, sf):
     _upsert.upsert_table(spark, path, u.where("batch < 4"), "id", "batch", order=["doc_id"], buckets=16)
     _upsert.upsert_table(spark, path, u, "id", "batch", order=["doc_id"], buckets=16)
     return spark.read.parquet(path).select("id", "doc_id", "source", "batch")
+
+
+# ---------------------------------------------------------------- as of a date
+
+
+@register("sector_asof")
+def sector_asof(spark, sf):
+    """Lines as quotes; a customer's orders as the maps landed for that code over time."""
+    quotes = B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("code"), F.to_date("l_shipdate").alias("trade_date"))
+    maps = B.table(spark, sf, "orders").select(F.col("o_custkey").alias("code"), F.to_date("o_orderdate").alias("trade_date"), F.col("o_orderpriority").alias("industry"))
+    return _asof.with_sector_asof(quotes, maps)
+
+
+@register("pe_percentile_asof")
+def pe_percentile_asof(spark, sf):
+    """For every order date, where its mean price stands among the earlier dates'."""
+    return _asof.position_asof(B.daily_value(spark, sf), "d", "v")
+
+
+@register("price_percentile_asof")
+def price_percentile_asof(spark, sf):
+    """For every order, where its price stands among its priority's orders of earlier dates."""
+    o = B.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    got = _asof.position_asof(o, "o_orderdate", "o_totalprice", by=["o_orderpriority"])
+    return got.select("o_orderkey", "n_earlier", "percentile")
+
+
+@register("index_trailing_year")
+def index_trailing_year(spark, sf):
+    """The 365 days up to each day of ``events``."""
+    return _asof.trailing_stats(B.bars(spark, sf), "d").select("d", "n_bars", "close_min", "close_max", "close_avg", "volatility")
+
+
+@register("order_trailing_year")
+def order_trailing_year(spark, sf):
+    """The 365 days up to each order date, for each priority as an index of its own."""
+    got = _asof.trailing_stats(B.order_bars(spark, sf), "d", by=["o_orderpriority"])
+    return got.select("o_orderpriority", "d", "n_bars", "close_min", "close_max", "close_avg", "volatility")

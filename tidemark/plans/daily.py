@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import exact_mean, round_half_up
+from ..operators.asof import with_sector_asof
 from ..operators.breadth import breadth
 from ..operators.clean import clean_quotes, with_bar_return
 from ..operators.concentration import concentration
@@ -40,7 +41,7 @@ def daily_results(quotes_raw: DataFrame, bars: DataFrame, valuation: DataFrame,
         "concentration": concentration(spot, "amount_num", (10, 50), by=by),
     }
     if sector_map is not None:
-        joined = with_sector(spot, sector_map, key="code", dim="industry", out="industry_name", vendor_codes=True)
+        joined = _with_industry(spot, sector_map, by)
         out["sector_stats"] = rollup_by(joined, "industry_name", by=by)
     else:
         schema = ("trade_date date, " if by else "") + "industry_name string, stock_count bigint, avg_change double, total_amount double"
@@ -48,6 +49,14 @@ def daily_results(quotes_raw: DataFrame, bars: DataFrame, valuation: DataFrame,
     return out
 
 
+def _with_industry(spot: DataFrame, sector_map: DataFrame, by: list[str]) -> DataFrame:
+    """A dated quote gets the industry of the map in force on its date; pooled
+    quotes, and maps without dates, that of the latest map."""
+    if by and "trade_date" in sector_map.columns:
+        return with_sector_asof(spot, sector_map, vendor_codes=True)
+    return with_sector(spot, sector_map, key="code", dim="industry", out="industry_name", vendor_codes=True)
+
+
 def run_daily(spark, raw_dir: str, out_dir: str, pooled: bool = False, fmt: str = "parquet") -> dict[str, str]:
     """Land -> clean once -> nine result tables written under ``out_dir``, and
     ``unmatched_codes``: how many quotes found no sector.
@@ -69,7 +78,7 @@ def run_daily(spark, raw_dir: str, out_dir: str, pooled: bool = False, fmt: str
     by_date = None if pooled else "trade_date"
     sectors = read_sector_map(spark, f"{raw}/industry/*.csv")
     spot = tables["spot_clean"]
-    matched = with_sector(spot, sectors, key="code", dim="industry", out="industry_name", vendor_codes=True)
+    matched = _with_industry(spot, sectors, [] if pooled else ["trade_date"])
     tables["unmatched_codes"] = matched.groupBy(*([] if pooled else ["trade_date"])).agg(
         F.count_if(F.col("industry_name").isNull()).alias("unmatched"), F.count(F.lit(1)).alias("quotes"))
     write_results(tables, out_dir, fmt=fmt, partition_by=by_date)

@@ -495,3 +495,37 @@ s AS (SELECT *, CASE
 SELECT conv_id, turn, status, CASE WHEN status = 'ok' THEN fragile END AS fragility,
        CASE WHEN status = 'ok' THEN length(o ->> '$.concentration_risk') END AS n_risk
 FROM s"""
+
+
+ORACLE["sector_asof"] = """
+WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey AS code, CAST(l_shipdate AS DATE) AS trade_date FROM lineitem),
+m AS (SELECT o_custkey AS code, CAST(o_orderdate AS DATE) AS since, max(o_orderpriority) AS industry FROM orders GROUP BY ALL)
+SELECT q.*, m.industry AS industry_name FROM q ASOF LEFT JOIN m ON q.code = m.code AND q.trade_date >= m.since"""
+
+ORACLE["pe_percentile_asof"] = f"""
+WITH s AS (SELECT CAST(o_orderdate AS DATE) AS d, {r(mean("o_totalprice"), 2)} AS v FROM orders GROUP BY 1)
+SELECT a.d, a.v, count(b.d) AS n_earlier,
+       {r("CAST(count(*) FILTER (b.v < a.v) AS DOUBLE) / nullif(count(b.d), 0) * 100", 1)} AS percentile
+FROM s a LEFT JOIN s b ON b.d < a.d GROUP BY a.d, a.v"""
+
+ORACLE["price_percentile_asof"] = f"""
+SELECT a.o_orderkey, count(b.o_orderkey) AS n_earlier,
+       {r("CAST(count(*) FILTER (b.o_totalprice < a.o_totalprice) AS DOUBLE) / nullif(count(b.o_orderkey), 0) * 100", 1)} AS percentile
+FROM orders a LEFT JOIN orders b ON b.o_orderpriority = a.o_orderpriority AND b.o_orderdate < a.o_orderdate GROUP BY a.o_orderkey"""
+
+
+def _trailing(by: str) -> str:
+    ret = "CASE WHEN open <> 0 THEN (close - open) / open * 100 END"
+    return f"""
+SELECT {by}d, count(*) OVER w AS n_bars, {r("min(close) OVER w", 2)} AS close_min, {r("max(close) OVER w", 2)} AS close_max,
+       {r("CAST(sum(CAST(close AS DECIMAL(30,8))) OVER w AS DOUBLE) / count(close) OVER w", 2)} AS close_avg,
+       {r(f"stddev_samp({ret}) OVER w", 2)} AS volatility
+FROM bars WINDOW w AS ({'PARTITION BY o_orderpriority ' if by else ''}ORDER BY d RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW)"""
+
+
+ORACLE["index_trailing_year"] = with_([BARS_CTE], _trailing(""))
+
+ORACLE["order_trailing_year"] = with_(["""
+bars AS (
+  SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS d, min_by(o_totalprice, o_orderkey) AS open, max_by(o_totalprice, o_orderkey) AS close
+  FROM orders GROUP BY 1, 2)"""], _trailing("o_orderpriority, "))
