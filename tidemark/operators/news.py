@@ -123,14 +123,9 @@ def metadata(title: str = "title", source: str = "source", date: str = "date",
     )
 
 
-def prepare_articles(news: DataFrame, batch_date: Column | str, order: Sequence[str],
-                     key_col: str = "url") -> DataFrame:
-    """News of one or many days -> knowledge-base rows (id, document, metadata,
-    batch_date), one per id and day; the upsert lets the later day win.
-
-    Order of steps matters: drop empty urls, keep the day's first article per
-    md5(url), only then drop texts shorter than 20 chars.
-    """
+def first_articles(news: DataFrame, batch_date: Column | str, order: Sequence[str], key_col: str = "url") -> DataFrame:
+    """The day's first article per md5(url), however short: id, document,
+    metadata, batch_date and the ``order`` columns.  Empty urls are dropped."""
     has_date = "date" in news.columns
     for c in ("title", "content", "source"):
         if c not in news.columns:
@@ -138,14 +133,29 @@ def prepare_articles(news: DataFrame, batch_date: Column | str, order: Sequence[
     day = F.lit(batch_date) if isinstance(batch_date, str) else batch_date
     n = with_url(news, key_col).withColumn("id", md5_id(key_col)).withColumn("_batch_date", day.cast("string"))
     first = dedupe_first(n, ["id", "_batch_date"], order)
-    text = article_text()
-    out = first.select(
+    return first.select(
         "id",
-        text.alias("document"),
+        article_text().alias("document"),
         metadata("title", "source", "date" if has_date else None, key_col, F.col("_batch_date")).alias("metadata"),
         F.col("_batch_date").alias("batch_date"),
+        *order,
     )
-    return out.where(F.length("document") >= MIN_ARTICLE_CHARS)
+
+
+def long_enough(document: str = "document") -> Column:
+    return F.length(document) >= MIN_ARTICLE_CHARS
+
+
+def prepare_articles(news: DataFrame, batch_date: Column | str, order: Sequence[str],
+                     key_col: str = "url") -> DataFrame:
+    """News of one or many days -> knowledge-base rows (id, document, metadata,
+    batch_date), one per id and day; the upsert lets the later day win.
+
+    Order of steps matters: drop empty urls, keep the day's first article per
+    md5(url), only then drop texts shorter than 20 chars.
+    """
+    first = first_articles(news, batch_date, order, key_col)
+    return first.where(long_enough()).select("id", "document", "metadata", "batch_date")
 
 
 def empty_news(spark) -> DataFrame:

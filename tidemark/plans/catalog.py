@@ -28,6 +28,7 @@ from ..operators import news as _news
 from ..operators import upsert as _upsert
 from ..functions.numeric import exact_mean
 from ..operators import embed as _embed
+from ..operators import vector_index as _index
 from ..operators import vectors as _vec
 from ..functions.text import fence_body
 from ..operators import boards as _boards
@@ -592,7 +593,7 @@ def kb_table_upsert(spark, sf):
     u = d.select(md5_id("text").alias("id"), "doc_id", "source", (F.col("doc_id") % 7).alias("batch"))
     path = scratch_path(spark, "kb")
     _upsert.upsert_table(spark, path, u.where("batch < 4"), "id", "batch", order=["doc_id"], buckets=16)
-    _upsert.upsert_table(spark, path, u, "id", "batch", order=["doc_id"], buckets=16)
+    _upsert.upsert_table(spark, path, u, "id", "batch", order=["doc_id"], buckets=7)  # dealt anew
     return spark.read.parquet(path).select("id", "doc_id", "source", "batch")
 
 
@@ -632,3 +633,50 @@ def order_trailing_year(spark, sf):
     """The 365 days up to each order date, for each priority as an index of its own."""
     got = _asof.trailing_stats(B.order_bars(spark, sf), "d", by=["o_orderpriority"])
     return got.select("o_orderpriority", "d", "n_bars", "close_min", "close_max", "close_avg", "volatility")
+
+
+# ---------------------------------------------------------------- the stored vector index
+
+
+def _searched(spark, sf, path):
+    e = B.table(spark, sf, "embeddings")
+    return _index.search_index(spark, path, row_queries(e), 10, out_id="vec_id")
+
+
+@register("vector_index_search")
+def vector_index_search(spark, sf):
+    """The rows with an id divisible by 20 against a stored index of all rows."""
+    path = scratch_path(spark, "vector-index")
+    _index.build_index(B.table(spark, sf, "embeddings"), path, "vec_id")
+    return _searched(spark, sf, path)[0].select("qid", "rank", "vec_id", "similarity")
+
+
+@register("vector_index_recall")
+def vector_index_recall(spark, sf):
+    """What that search finds of the exact one, and the share of all pairs that it
+    estimates by codes and scores."""
+    path = scratch_path(spark, "vector-index")
+    _index.build_index(B.table(spark, sf, "embeddings"), path, "vec_id")
+    hits, cost = _searched(spark, sf, path)
+    exact = vector_topk_rows(spark, sf)
+    mean = lambda c: round_half_up(F.avg(c), 4)
+    got = _vec.recall_at_k(hits, exact, "qid", "vec_id").agg(F.count(F.lit(1)).alias("queries"), mean("recall").alias("mean_recall"))
+    shares = cost.agg(mean(F.col("estimated") / F.col("rows")).alias("share_estimated"), mean(F.col("scored") / F.col("rows")).alias("share_scored"))
+    return got.select("queries", "mean_recall", shares.select("share_estimated").scalar().alias("share_estimated"),
+                      shares.select("share_scored").scalar().alias("share_scored"))
+
+
+@register("vector_index_upkeep")
+def vector_index_upkeep(spark, sf):
+    """An index of rows that lack every tenth and hold every seventh turned round,
+    after an update by the right ones: each row once, in one cell, with its vector."""
+    e = B.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    stale = (F.col("vec_id") % 7 == 3)
+    path = scratch_path(spark, "vector-index")
+    _index.build_index(e.where("vec_id % 10 <> 0").withColumn("embedding", F.when(stale, F.reverse("embedding")).otherwise(F.col("embedding"))), path, "vec_id")
+    _index.update_index(spark, path, e.where((F.col("vec_id") % 10 == 0) | stale), "vec_id")
+    cells = spark.read.parquet(f"{path}/cells")
+    places = spark.read.parquet(f"{path}/places").select("id", F.col("cell").alias("_place"))
+    return (cells.join(places, "id").groupBy(F.col("id").alias("vec_id"))
+            .agg(F.count(F.lit(1)).alias("n"), F.every(F.col("cell") == F.col("_place")).alias("in_place"),
+                 F.max(F.element_at("vec", 1)).alias("first"), F.max(F.element_at("vec", -1)).alias("last")))

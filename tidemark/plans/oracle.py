@@ -529,3 +529,8 @@ ORACLE["order_trailing_year"] = with_(["""
 bars AS (
   SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS d, min_by(o_totalprice, o_orderkey) AS open, max_by(o_totalprice, o_orderkey) AS close
   FROM orders GROUP BY 1, 2)"""], _trailing("o_orderpriority, "))
+
+
+ORACLE["vector_index_upkeep"] = """
+SELECT vec_id, CAST(1 AS BIGINT) AS n, true AS in_place, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last
+FROM embeddings"""
