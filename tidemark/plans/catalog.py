@@ -32,6 +32,7 @@ from ..operators import vector_index as _index
 from ..operators import vectors as _vec
 from ..functions.text import fence_body
 from ..operators import boards as _boards
+from ..operators import daily_state as _state
 from ..operators import evaluate as _eval
 from ..operators import gather as _gather
 from ..operators import render as _render
@@ -680,3 +681,32 @@ def vector_index_upkeep(spark, sf):
     return (cells.join(places, "id").groupBy(F.col("id").alias("vec_id"))
             .agg(F.count(F.lit(1)).alias("n"), F.every(F.col("cell") == F.col("_place")).alias("in_place"),
                  F.max(F.element_at("vec", 1)).alias("first"), F.max(F.element_at("vec", -1)).alias("last")))
+
+
+# ---------------------------------------------------------------- results merged from partial states
+
+
+def _states(spark, sf):
+    """States of the quotes, each brand of ``part`` as a file of its own, as a table."""
+    quotes = B.quotes(spark, sf).withColumn("source_file", F.col("sector"))
+    return {k: materialize(df, f"state-{k}") for k, df in _state.partial_states(quotes, ["source_file"], sector="sector").items()}
+
+
+@register("market_summary_merged")
+def market_summary_merged(spark, sf):
+    return _state.merged_results(_states(spark, sf), by=[], sector="sector")["market_summary"]
+
+
+@register("sector_stats_merged")
+def sector_stats_merged(spark, sf):
+    return _state.merged_results(_states(spark, sf), by=[], sector="sector")["sector_stats"]
+
+
+@register("concentration_merged")
+def concentration_merged(spark, sf):
+    return _state.merged_results(_states(spark, sf), by=[], sector="sector")["concentration"]
+
+
+@register("top_gainers_merged")
+def top_gainers_merged(spark, sf):
+    return _state.merged_results(_states(spark, sf), by=[], sector="sector")["top_gainers"]

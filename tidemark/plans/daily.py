@@ -36,8 +36,7 @@ def daily_results(quotes_raw: DataFrame, bars: DataFrame, valuation: DataFrame,
         "top_amount": top_n(spot, "amount_num", top, desc=True, by=by,
                             cols=[*by, "code", "name", "amount_num", "change_pct"]).select(
             *by, "code", "name", round_half_up("amount_num", 0).alias("amount"), "change_pct"),
-        "pe_by_year": period_mean(valuation, "date", "avg_pe", "year", 2, "avg_pe_val"),
-        "index_stats": range_stats(bars),
+        **undated_results(bars, valuation),
         "concentration": concentration(spot, "amount_num", (10, 50), by=by),
     }
     if sector_map is not None:
@@ -49,6 +48,11 @@ def daily_results(quotes_raw: DataFrame, bars: DataFrame, valuation: DataFrame,
     return out
 
 
+def undated_results(bars: DataFrame, valuation: DataFrame) -> dict[str, DataFrame]:
+    """The two tables that have no trade date."""
+    return {"pe_by_year": period_mean(valuation, "date", "avg_pe", "year", 2, "avg_pe_val"), "index_stats": range_stats(bars)}
+
+
 def _with_industry(spot: DataFrame, sector_map: DataFrame, by: list[str]) -> DataFrame:
     """A dated quote gets the industry of the map in force on its date; pooled
     quotes, and maps without dates, that of the latest map."""

@@ -534,3 +534,8 @@ bars AS (
 ORACLE["vector_index_upkeep"] = """
 SELECT vec_id, CAST(1 AS BIGINT) AS n, true AS in_place, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last
 FROM embeddings"""
+
+
+# What is merged from states equals what is computed from all quotes.
+for _name in ("market_summary", "sector_stats", "concentration", "top_gainers"):
+    ORACLE[f"{_name}_merged"] = ORACLE[_name]
