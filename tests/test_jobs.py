@@ -27,7 +27,8 @@ def test_run_daily_writes_nine_tables_per_date(spark, tmp):
         f.write("code,name,industry\n000001,A,bank\n000002,B,tech\n")
     out = os.path.join(tmp, "out")
     paths = run_daily(spark, raw, out)
-    assert len(paths) == 10  # the nine results, and how many codes found no sector
+    assert len(paths) == 11  # the nine results, how many codes found no sector, and the account of files
+    assert {(r.rows, r.status) for r in spark.read.parquet(paths["file_account"]).collect()} == {(2, "read"), (1, "read")}
     assert {(str(r.trade_date), r.unmatched, r.quotes) for r in spark.read.parquet(paths["unmatched_codes"]).collect()} == {("2024-01-02", 0, 2), ("2024-01-03", 0, 1)}
     ms = {str(r.trade_date): r for r in spark.read.parquet(paths["market_summary"]).collect()}
     assert ms["2024-01-02"].total_count == 2 and ms["2024-01-03"].flat_count == 1

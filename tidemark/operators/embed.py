@@ -9,6 +9,9 @@ Two ways to turn text into vectors:
 * ``embed_with``: a user-supplied function (e.g. a remote model client) called
   on batches of ``batch`` texts in order, through Arrow (mapInPandas).  An
   empty input gives no calls.
+
+``embed_changed`` puts a store of vectors, addressed by the texts' md5, before
+either of them, so that a text is embedded once however often it comes.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .upsert import read_if_there
 
 GRAM_BASE = 65_599
 
@@ -107,3 +112,26 @@ def embed_with(df: DataFrame, text: str, fn: Callable[[list[str]], Sequence[Sequ
             yield res
 
     return df.mapInPandas(run, schema)
+
+
+def embed_changed(df: DataFrame, text: str, store_path: str, embed: Callable[[DataFrame, str], DataFrame], out: str = "embedding") -> DataFrame:
+    """``df`` with the vectors of its texts, embedding only texts that the store
+    at ``store_path`` (a Parquet table: key, ``out``) doesn't hold.
+
+    ``embed`` maps (frame, text column) to the frame with a column ``out``, e.g.
+    ``lambda d, c: embed_with(d, c, client)``.  Each distinct new text is passed
+    once; its vector is added to the store, which is never rewritten: another
+    model takes another store.  A null text counts as empty.  One writer at a
+    time.
+    """
+    spark = df.sparkSession
+    keyed = df.drop(out).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    keyed = keyed.withColumn("_key", F.md5(F.col("_text").cast("binary")))
+    asked = keyed.groupBy("_key").agg(F.min("_text").alias("_text"))
+    stored = read_if_there(spark, store_path)
+    if stored is not None:
+        asked = asked.join(stored.select(F.col("key").alias("_key")), "_key", "left_anti")
+    new = embed(materialize(asked, "texts-to-embed"), "_text").select(F.col("_key").alias("key"), out)
+    materialize(new, "new-vectors").write.mode("append").parquet(store_path)
+    vectors = spark.read.parquet(store_path).select(F.col("key").alias("_stored"), out)
+    return keyed.join(vectors, F.col("_key") == F.col("_stored")).drop("_text", "_key", "_stored")

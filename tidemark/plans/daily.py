@@ -63,7 +63,8 @@ def _with_industry(spot: DataFrame, sector_map: DataFrame, by: list[str]) -> Dat
 
 def run_daily(spark, raw_dir: str, out_dir: str, pooled: bool = False, fmt: str = "parquet") -> dict[str, str]:
     """Land -> clean once -> nine result tables written under ``out_dir``, and
-    ``unmatched_codes``: how many quotes found no sector.
+    ``unmatched_codes`` (how many quotes found no sector) and ``file_account`` (the
+    rows read of each quote file, and files that gave none or are cut short).
 
     Reads ``{raw_dir}/a_spot/*.csv``, ``a_hist``, ``market_pe`` and the
     optional ``industry`` map.  The raw quotes are written once as a table in
@@ -72,10 +73,11 @@ def run_daily(spark, raw_dir: str, out_dir: str, pooled: bool = False, fmt: str
     """
     from ..session import materialize
     from ..sinks.writers import write_results
-    from ..sources.market import read_bars, read_quotes, read_sector_map, read_valuation
+    from ..sources.market import file_account, read_bars, read_quotes, read_sector_map, read_valuation
 
     raw = raw_dir.rstrip("/")
-    quotes = materialize(read_quotes(spark, f"{raw}/a_spot/*.csv"), "daily-quotes")
+    read = materialize(read_quotes(spark, f"{raw}/a_spot/*.csv", source=True), "daily-quotes")
+    quotes = read.drop("source_path")
     tables = daily_results(
         quotes, read_bars(spark, f"{raw}/a_hist/*.csv"), read_valuation(spark, f"{raw}/market_pe/*.csv"),
         read_sector_map(spark, f"{raw}/industry/*.csv"), pooled=pooled)
@@ -85,6 +87,7 @@ def run_daily(spark, raw_dir: str, out_dir: str, pooled: bool = False, fmt: str
     matched = _with_industry(spot, sectors, [] if pooled else ["trade_date"])
     tables["unmatched_codes"] = matched.groupBy(*([] if pooled else ["trade_date"])).agg(
         F.count_if(F.col("industry_name").isNull()).alias("unmatched"), F.count(F.lit(1)).alias("quotes"))
+    tables["file_account"] = file_account(spark, f"{raw}/a_spot/*.csv", read)
     write_results(tables, out_dir, fmt=fmt, partition_by=by_date)
     return {k: f"{out_dir.rstrip('/')}/{k}" for k in tables}
 
