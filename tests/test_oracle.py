@@ -28,4 +28,4 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle_or_is_known_rows_only():
     rows_only = set(REGISTRY) - set(E.oracle_sql())
-    assert rows_only <= {"vector_topk_lsh", "vector_topk_ivf", "vector_index_search", "vector_index_recall", "market_snapshot", "retrieve_context", "analyst_prompts"}
+    assert rows_only <= {"vector_topk_lsh", "vector_topk_ivf", "vector_index_search", "vector_index_recall", "market_snapshot"}

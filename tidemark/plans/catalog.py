@@ -710,3 +710,102 @@ def concentration_merged(spark, sf):
 @register("top_gainers_merged")
 def top_gainers_merged(spark, sf):
     return _state.merged_results(_states(spark, sf), by=[], sector="sector")["top_gainers"]
+
+
+# ---------------------------------------------------------------- the snapshot by value, the other answers, the whole answer
+
+
+_SCALARS = {"spot_summary": ("up_count", "down_count", "flat_count", "total_count", "avg_change_pct", "std_change_pct", "total_amount"),
+            "pe": ("current", "max", "min", "mean", "percentile"), "concentration": ("top10_pct", "top50_pct"),
+            "index_stats": ("close_min", "close_max", "close_avg", "volatility", "close", "avg_change_pct")}
+_LISTS = {"top_gainers": ("code", "change_pct"), "top_losers": ("code", "change_pct"), "top_amount": ("code", "amount"), "sector_stats": ("sector", "avg_change")}
+
+
+@register("market_snapshot_values")
+def market_snapshot_values(spark, sf):
+    """Every value of the snapshot as a row: piece, place in its list (0 outside lists), name, value."""
+    s = materialize(_snapshot(spark, sf), "snapshot")
+    row = lambda piece, place, name, value: F.struct(F.lit(piece).alias("piece"), place.cast("int").alias("place"), name.cast("string").alias("name"),
+                                                     value.cast("double").alias("value"))
+    single = F.array(*[row(p, F.lit(0), F.lit(f), F.col(f"{p}.{f}")) for p, fields in _SCALARS.items() for f in fields])
+
+    def listed(piece, name, value):
+        return F.transform(piece, lambda x, i: row(piece, i + 1, x[name], x[value]))
+
+    lists = [listed(p, *fields) for p, fields in _LISTS.items()]
+    return s.select(F.inline(F.concat(single, *lists)))
+
+
+def _quoted(text):
+    """A text column as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
+
+
+@register("structured_parse_macro")
+def structured_parse_macro(spark, sf):
+    """Macro answers with nested objects: prose, a missing field inside one, a
+    fraction where a count is asked for, a percentile out of range."""
+    c, n = B.table(spark, sf, "conversations"), F.length("text")
+    num = lambda x: x.cast("string")
+    pe = F.concat(F.lit('{"current_pe": '), num(n / F.lit(8.0)), F.lit(', "historical_max": "50", "historical_min": 5, "historical_mean": 20.5, "percentile": '),
+                  num(n % 130), F.when(n % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(', "assessment": '), _quoted(F.col("role")))), F.lit("}"))
+    breadth = F.concat(F.lit('{"up_count": '), num(n), F.lit(', "down_count": '), F.when(n % 3 == 0, F.lit("1.5")).otherwise(F.lit('"12"')),
+                       F.lit(', "flat_count": 0, "avg_change_pct": -0.5, "breadth_signal": '), _quoted(F.col("text")), F.lit("}"))
+    obj = F.concat(F.lit('{"pe_valuation": '), pe, F.lit(', "market_breadth": '), breadth,
+                   F.lit(', "economic_events": [], "sentiment": "s", "key_drivers": ["a"], "confidence": 1}'))
+    raw = F.when(n % 11 == 0, F.col("text")).otherwise(obj)
+    parsed = _struct.parse_structured(c.select("conv_id", "turn", raw.alias("raw")), "raw", "macro")
+    return parsed.select("conv_id", "turn", "status", F.col("parsed.pe_valuation.current_pe").alias("current_pe"), F.col("parsed.market_breadth.up_count").alias("up_count"),
+                         F.length("parsed.market_breadth.breadth_signal").cast("long").alias("n_signal"))
+
+
+@register("structured_parse_fund_flow")
+def structured_parse_fund_flow(spark, sf):
+    """Fund-flow answers with lists of objects: prose, a missing direction, an
+    object of a list without its amount, a confidence out of range."""
+    c, n = B.table(spark, sf, "conversations"), F.length("text")
+    amount = F.when(n % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(', "amount": '), (n * F.lit(2.0)).cast("string")))
+    stocks = F.concat(F.lit('[{"code": "1", "name": "n", "amount": 1, "change_pct": 0}, {"code": '), _quoted(F.col("role")), F.lit(', "name": '), _quoted(F.col("text")),
+                      amount, F.lit(', "change_pct": "1.5"}]'))
+    obj = F.concat(F.lit('{"top_turnover_stocks": '), stocks, F.lit(', "sector_rotation": []'), F.when(n % 7 == 0, F.lit("")).otherwise(F.lit(', "capital_direction": "in"')),
+                   F.lit(', "concentration_note": "c", "confidence": '), (n / F.lit(500.0)).cast("string"), F.lit("}"))
+    raw = F.when(n % 11 == 0, F.col("text")).otherwise(F.concat(F.lit("Answer:\n```json\n"), obj, F.lit("\n```\n")))
+    parsed = _struct.parse_structured(c.select("conv_id", "turn", raw.alias("raw")), "raw", "fund_flow")
+    last = F.col("parsed.top_turnover_stocks")[1]
+    return parsed.select("conv_id", "turn", "status", last["amount"].alias("amount"), F.length(last["name"]).cast("long").alias("n_name"))
+
+
+@register("structured_parse_editor")
+def structured_parse_editor(spark, sf):
+    """Editor's reports, fenced or not: prose, missing highlights, a section without content."""
+    c, n = B.table(spark, sf, "conversations"), F.length("text")
+    content = F.when(n % 5 == 0, F.lit("null")).otherwise(_quoted(F.col("text")))
+    obj = F.concat(F.lit('{"report_date": "2024-01-02", "summary": '), _quoted(F.col("text")), F.lit(', "sections": [{"heading": "h", "content": '), content,
+                   F.lit(', "source_agent": '), _quoted(F.col("role")), F.lit('}], "overall_sentiment": "s", "risk_level": "low"'),
+                   F.when(n % 7 == 0, F.lit("")).otherwise(F.lit(', "key_highlights": ["a", "b"]')), F.lit(', "contradictions_resolved": []}'))
+    fenced = F.concat(F.lit("{}\n```json\n"), obj, F.lit("\n```"))
+    raw = F.when(n % 11 == 0, F.col("text")).when(n % 2 == 0, fenced).otherwise(obj)
+    parsed = _struct.parse_structured(c.select("conv_id", "turn", raw.alias("raw")), "raw", "editor", fence_first=True)
+    return parsed.select("conv_id", "turn", "status", F.size("parsed.key_highlights").alias("n_highlights"), F.length(F.col("parsed.sections")[0]["content"]).cast("long").alias("n_content"))
+
+
+@register("render_whole_answer")
+def render_whole_answer(spark, sf):
+    """A conversation's answer: its first turn as the question, two analysts of
+    whom one fails in every third, its report (none in every fourth) and its context."""
+    rep, ctx = _conversation_reports(spark, sf), render_context(spark, sf)
+    brief = F.when(F.col("conv_id") % 3 != 0, F.lit("in"))
+    rows = F.array(_render.answer_row(_render.display_name("fund_flow"), brief, F.lit(0.625)), _render.answer_row(_render.display_name("risk"), F.lit("r"), F.lit(0.5)))
+    final = F.when(F.col("conv_id") % 4 != 0, F.struct("overall_sentiment", "risk_level", "summary", "sections", "key_highlights"))
+    return rep.join(ctx, "conv_id", "left").select("conv_id", _render.render_answer(F.col("summary"), rows, final, F.col("context")).alias("answer"))
+
+
+@register("embed_changed_only")
+def embed_changed_only(spark, sf):
+    """``embed_hash`` through a store of vectors: most documents first, then all,
+    of which only texts that the store lacks are embedded."""
+    d = B.table(spark, sf, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "vectors-by-content")
+    embed = lambda df, c: _embed.hash_embed(df, c, dims=256)
+    _embed.embed_changed(d.where("doc_id % 10 <> 0"), "text", path, embed)
+    return _embed.embed_changed(d, "text", path, embed).select("doc_id", "embedding")

@@ -6,6 +6,10 @@ are inlined as CTEs.  Rounding goes through DECIMAL on both sides.
 
 from __future__ import annotations
 
+from .. import schemas
+from ..functions.text import CONTEXT_EXCERPT_CHARS
+from ..operators import render, structured
+
 
 def r(expr: str, n: int) -> str:
     """Half-up rounding through DECIMAL, as the Spark side does."""
@@ -539,3 +543,97 @@ FROM embeddings"""
 # What is merged from states equals what is computed from all quotes.
 for _name in ("market_summary", "sector_stats", "concentration", "top_gainers"):
     ORACLE[f"{_name}_merged"] = ORACLE[_name]
+
+
+def text(value: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+def filled(template: str, **parts: str) -> str:
+    """A ``{name}`` template as an SQL concatenation."""
+    out, rest = [], template
+    while "{" in rest:
+        head, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        out += [text(head), parts[name]]
+    return " || ".join([*out, text(rest)])
+
+
+# The snapshot's values, from the SQL of its pieces.
+def _single(piece: str, query: str, fields: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT '{piece}' AS piece, 0 AS place, '{f}' AS name, CAST({f} AS DOUBLE) AS value FROM ({ORACLE[query]})" for f in fields)
+
+
+def _listed(piece: str, query: str, name: str, value: str, order: str) -> str:
+    return f"SELECT '{piece}', CAST(row_number() OVER (ORDER BY {order}) AS INTEGER), CAST({name} AS VARCHAR), CAST({value} AS DOUBLE) FROM ({ORACLE[query]})"
+
+
+_LAST_BAR = with_([BARS_CTE], f"""
+SELECT max_by(close, d) AS close, {r(mean("CASE WHEN open <> 0 THEN (close - open) / open * 100 END"), 2)} AS avg_change_pct FROM bars""")
+ORACLE["_last_bar"] = _LAST_BAR
+_AMOUNTS = with_([QUOTES_CTE], f"""
+SELECT code, amount_num, {r("amount_num", 0)} AS amount FROM quotes WHERE amount_num IS NOT NULL ORDER BY amount_num DESC, code LIMIT 20""")
+ORACLE["_amounts"] = _AMOUNTS
+ORACLE["market_snapshot_values"] = " UNION ALL ".join([
+    _single("spot_summary", "market_summary", ("up_count", "down_count", "flat_count", "total_count", "avg_change_pct", "std_change_pct", "total_amount")),
+    _single("pe", "pe_percentile", ("current", "max", "min", "mean", "percentile")), _single("concentration", "concentration", ("top10_pct", "top50_pct")),
+    _single("index_stats", "index_range_stats", ("close_min", "close_max", "close_avg", "volatility")), _single("index_stats", "_last_bar", ("close", "avg_change_pct")),
+    _listed("top_gainers", "top_gainers", "code", "change_pct", "change_pct DESC, code"), _listed("top_losers", "top_losers", "code", "change_pct", "change_pct, code"),
+    _listed("top_amount", "_amounts", "code", "amount", "amount_num DESC, code"), _listed("sector_stats", "sector_stats", "sector", "avg_change", "avg_change DESC, sector")])
+del ORACLE["_last_bar"], ORACLE["_amounts"]
+
+ORACLE["structured_parse_macro"] = """
+WITH c AS (SELECT *, length(text) AS n FROM conversations),
+s AS (SELECT *, CASE WHEN n % 11 = 0 THEN 'not_json' WHEN n % 7 = 0 THEN 'missing' WHEN n % 3 = 0 THEN 'type' WHEN n % 130 > 100 THEN 'range' ELSE 'ok' END AS status FROM c)
+SELECT conv_id, turn, status, CASE WHEN status = 'ok' THEN n / 8.0::DOUBLE END AS current_pe, CASE WHEN status = 'ok' THEN n END AS up_count,
+       CASE WHEN status = 'ok' THEN n END AS n_signal FROM s"""
+
+ORACLE["structured_parse_fund_flow"] = """
+WITH c AS (SELECT *, length(text) AS n FROM conversations),
+s AS (SELECT *, CASE WHEN n % 11 = 0 THEN 'not_json' WHEN n % 7 = 0 THEN 'missing' WHEN n % 5 = 0 THEN 'type' WHEN n > 500 THEN 'range' ELSE 'ok' END AS status FROM c)
+SELECT conv_id, turn, status, CASE WHEN status = 'ok' THEN n * 2.0::DOUBLE END AS amount, CASE WHEN status = 'ok' THEN n END AS n_name FROM s"""
+
+ORACLE["structured_parse_editor"] = """
+WITH c AS (SELECT *, length(text) AS n FROM conversations),
+s AS (SELECT *, CASE WHEN n % 11 = 0 THEN 'not_json' WHEN n % 7 = 0 THEN 'missing' WHEN n % 5 = 0 THEN 'type' ELSE 'ok' END AS status FROM c)
+SELECT conv_id, turn, status, CASE WHEN status = 'ok' THEN 2 END AS n_highlights, CASE WHEN status = 'ok' THEN n END AS n_content FROM s"""
+
+_ROW = lambda kind, brief, conf: filled(render.ANSWER_ROW, display=text(render.AGENT_DISPLAY[kind]), brief=brief, conf=conf)
+ORACLE["render_whole_answer"] = f"""
+WITH t AS (SELECT conv_id, arg_min(text, turn) AS summary, string_agg('**' || role || '**' || chr(10) || text || chr(10), chr(10) ORDER BY turn) AS sections,
+             string_agg('- ' || text, chr(10) ORDER BY turn) FILTER (role = 'user') AS highlights FROM conversations GROUP BY conv_id),
+c AS ({ORACLE["render_context"]})
+SELECT conv_id, concat_ws(chr(10), {filled(render.ANSWER_HEAD, question="summary")},
+    CASE WHEN conv_id % 3 <> 0 THEN {_ROW("fund_flow", "'in'", "'63%'")} ELSE {_ROW("fund_flow", text(render.ANSWER_FAILED), "'-'")} END || chr(10) || {_ROW("risk", "'r'", "'50%'")},
+    '', {text(render.ANSWER_SYNTHESIS)},
+    CASE WHEN conv_id % 4 = 0 THEN {text(render.ANSWER_NO_SYNTHESIS)} ELSE concat_ws(chr(10),
+      {filled(render.ANSWER_JUDGEMENT, sentiment="'中性'", risk="'medium'")}, summary, '', sections, {text(render.ANSWER_HIGHLIGHTS)} || chr(10) || highlights) END,
+    {text(render.ANSWER_NEWS)} || chr(10) || array_to_string(string_split(context, '---')[1:{render.NEWS_PARTS}], chr(10))) AS answer
+FROM t JOIN c USING (conv_id)"""
+
+ORACLE["embed_changed_only"] = ORACLE["embed_hash"]
+
+# The query's and the documents' vectors of hashed bigrams, the ten nearest, their context.
+ORACLE["retrieve_context"] = f"""
+WITH kb AS (
+  SELECT md5('doc/' || doc_id) AS id, substr(coalesce(text, ''), 1, 100) AS title, source, substr(coalesce(text, ''), 1, 100) || chr(10) || coalesce(text, '') AS document FROM documents),
+texts AS (SELECT id, document AS t FROM kb WHERE length(document) >= 20 UNION ALL SELECT '' AS id, query AS t FROM ({ORACLE["search_query"]})),
+p AS (SELECT id, list_transform(string_split(lower(trim(t)), ''), lambda c: unicode(c)::BIGINT) AS l FROM texts),
+g AS (SELECT id, unnest(list_transform(range(1, len(l)), lambda i: (l[i] % 512 * 65599 + l[i + 1]) % 512)) AS b FROM p),
+n AS (SELECT id, b, count(*) AS c FROM g GROUP BY id, b),
+w AS (SELECT id, b, CAST(CAST(c / sqrt(CAST(sum(c * c) OVER (PARTITION BY id) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS x FROM n),
+sizes AS (SELECT id, sqrt(sum(x * x)) AS size FROM w GROUP BY id),
+near AS (
+  SELECT d.id, round(1 - sum(d.x * q.x) / (any_value(s.size) * (SELECT size FROM sizes WHERE id = '')), 12) AS dist
+  FROM w d JOIN w q ON q.id = '' AND q.b = d.b AND d.id <> '' JOIN sizes s ON s.id = d.id GROUP BY d.id),
+hits AS (SELECT *, row_number() OVER (ORDER BY dist, id) AS i FROM near QUALIFY i <= 10),
+lines AS (SELECT i, {filled(render.CONTEXT_HIT, i="i", title="title", source="source", date="'20240101'", sim=pct0(r("greatest(0, 1 - dist)", 6)),
+                            excerpt=f"substr(document, 1, {CONTEXT_EXCERPT_CHARS})")} AS line FROM hits JOIN kb USING (id))
+SELECT 0 AS qid, {filled(render.CONTEXT_HEADER, n="count(*)")} || chr(10) || string_agg(line, chr(10) ORDER BY i) AS context FROM lines"""
+
+_ASKED = {k: schemas.json_schema(v, structured.OPTIONAL.get(k, set())) for k, v in schemas.ANALYST_SCHEMAS.items()}
+ORACLE["analyst_prompts"] = f"""
+SELECT 0 AS qid, analyst, analyst || ' analyst' AS system,
+       {filled(render.ANALYST_PROMPT, focus="focus", context="context", schema="CASE analyst " + " ".join(f"WHEN '{k}' THEN {text(v)}" for k, v in _ASKED.items()) + " END")} AS user
+FROM ({ORACLE["focus_text"]}), ({ORACLE["retrieve_context"]})"""

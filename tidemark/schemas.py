@@ -58,22 +58,28 @@ ANALYSTS = ["macro", "technical", "fund_flow", "risk"]
 
 
 def json_schema(ddl: str, optional: frozenset[str] | set[str] = frozenset()) -> str:
-    """A DDL schema as JSON Schema text, for prompts that ask for such an object."""
+    """A DDL schema (string, double, bigint, boolean, array, struct) as JSON
+    Schema text, for prompts that ask for such an object."""
     import json
+    import re
 
-    from pyspark.sql import types as T
+    plain = {"string": "string", "double": "number", "bigint": "integer", "boolean": "boolean"}
+    words = re.findall(r"\w+|[<>]", ddl)
 
-    plain = {T.StringType: "string", T.DoubleType: "number", T.LongType: "integer", T.BooleanType: "boolean"}
+    def of() -> dict:
+        word = words.pop(0)
+        if word in plain:
+            return {"type": plain[word]}
+        words.pop(0)  # <
+        out = {"type": "array", "items": of()} if word == "array" else obj(frozenset())
+        words.pop(0)  # >
+        return out
 
-    def of(dtype: T.DataType) -> dict:
-        if isinstance(dtype, T.StructType):
-            return obj(dtype, frozenset())
-        if isinstance(dtype, T.ArrayType):
-            return {"type": "array", "items": of(dtype.elementType)}
-        return {"type": plain[type(dtype)]}
+    def obj(maybe) -> dict:
+        fields = {}
+        while words and words[0] != ">":
+            name, kind = words.pop(0), of()
+            fields[name] = {"anyOf": [kind, {"type": "null"}]} if name in maybe else kind
+        return {"type": "object", "properties": fields, "required": [n for n in fields if n not in maybe]}
 
-    def obj(st: T.StructType, maybe) -> dict:
-        fields = {f.name: {"anyOf": [of(f.dataType), {"type": "null"}]} if f.name in maybe else of(f.dataType) for f in st.fields}
-        return {"type": "object", "properties": fields, "required": [f.name for f in st.fields if f.name not in maybe]}
-
-    return json.dumps(obj(T.StructType.fromDDL(ddl), optional), ensure_ascii=False, indent=2)
+    return json.dumps(obj(optional), ensure_ascii=False, indent=2)
