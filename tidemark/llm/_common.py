@@ -50,3 +50,14 @@ def rows_by_size(batches: Iterable[pa.RecordBatch], column: int, most: int) -> I
             end = max(at + 1, int(np.searchsorted(size, before + most, "right")))
             yield b.slice(at, end - at)
             at = end
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import rows_in
+from ._common import free_names, rows_in
 
 _TOKEN = re.compile(r"\w+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -209,4 +209,5 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
 
 def keep_clean(docs: DataFrame, tests: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without a covered passage, with the columns of ``docs``."""
-    return add_matches(docs, tests, text_col, out="_matches", **options).where(F.size("_matches") == 0).drop("_matches")
+    (out,) = free_names(docs, "_matches")
+    return add_matches(docs, tests, text_col, out=out, **options).where(F.size(out) == 0).drop(out)

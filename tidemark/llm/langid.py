@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import materialize
-from ._common import rows_in, utf8
+from ._common import free_names, rows_in, utf8
 
 UNKNOWN = "und"
 NGRAMS = (2, 3, 4)
@@ -157,41 +157,42 @@ def fit(bags: Bags, truth: np.ndarray, check: np.ndarray, labels: list[str], dim
     return LanguageModel(labels, table.astype(np.float32), bias, temperature, threshold)
 
 
-#: More labels than this are no classes to learn.
+#: Of more labels than this the largest classes are learned.
 MAX_LABELS = 1000
+#: Rows of a sample altogether; many labels share it.
+MAX_SAMPLE = 100_000
 
 
 def sample_per_label(rows: DataFrame, id_col: str, label: str, n: int) -> DataFrame:
-    """At most ``n`` ids of each label, those of least hash (a bounded sample
-    that is the same on each run).  Labels are counted first (at most
-    ``MAX_LABELS`` counts reach the driver), and only ids below the hash that
-    lets some 1.5 n of a label through are shuffled and ranked, so that no task
-    meets more than that of a label."""
-    pairs = rows.select(id_col, label)
-    counts = pairs.groupBy(label).count().take(MAX_LABELS + 1)
-    if len(counts) > MAX_LABELS:
-        raise ValueError(f"over {MAX_LABELS} labels")
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 11) / F.lit(2.0**53)
-    near = F.lit(False)
-    for name, count in counts:
-        near = near | ((F.col(label) == F.lit(name)) & (F.col("_u") < F.lit((1.5 * n + 50) / count)))
-    w = Window.partitionBy(label).orderBy("_u", id_col)
-    return materialize(pairs.withColumn("_u", u).where(near).withColumn("_rn", F.row_number().over(w))
-                       .where(F.col("_rn") <= n).select(id_col, label), "sampled-ids")
+    """At most ``n`` rows of each label, those of the least hash of the id (the
+    same on each run), and of at most ``MAX_LABELS`` labels, the largest.
+
+    Labels are counted first, and only rows below the hash that lets some 1.5 n
+    of a label through are shuffled and ranked; where ids repeat so that none is
+    below it, the rows of the least hash are.  However ids repeat, no more than
+    n rows of a label leave a task."""
+    spark, others = rows.sparkSession, [c for c in rows.columns if c not in (id_col, label)]
+    hashed = rows.withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 11) / F.lit(2.0**53))
+    counts = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min("_u").alias("least")).orderBy(F.col("n").desc(), label).limit(MAX_LABELS).collect()
+    n = max(1, min(n, MAX_SAMPLE // max(1, len(counts))))
+    limits = spark.createDataFrame([(r[0], max((1.5 * n + 50) / r.n, r.least)) for r in counts], f"_of {rows.schema[label].dataType.simpleString()}, _most double")
+    near = hashed.join(limits, F.col(label) == F.col("_of")).where(F.col("_u") <= F.col("_most"))
+    w = Window.partitionBy(label).orderBy("_u", id_col, *[F.xxhash64(F.col(c)) for c in others])
+    return materialize(near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).select(*rows.columns), "sampled-rows")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
           may_learn: Column | None = None, rows_per_label: int = 500, buckets: int = 1 << 12) -> LanguageModel:
     """Fit on at most ``rows_per_label`` labelled documents of each label (and
-    excerpts of them).  Rows with a null id, label or text, and those for which
-    ``may_learn`` isn't true, are never read.  No usable row gives a model
-    without labels, which answers ``und``."""
+    excerpts of them), of at most ``MAX_LABELS`` labels, the largest, and
+    ``MAX_SAMPLE`` documents altogether.  Rows with a null id, label or text, and
+    those for which ``may_learn`` isn't true, are never read.  No usable row
+    gives a model without labels, which answers ``und``."""
     usable = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if may_learn is not None:
         usable = usable.where(may_learn)
     usable = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("string").alias("_label"), F.col(text_col).alias("_text"))
-    ids = sample_per_label(usable, "_id", "_label", rows_per_label).select("_id").distinct()
-    chosen = usable.join(ids, "_id", "left_semi").where("_text is not null")
+    chosen = sample_per_label(usable, "_id", "_label", rows_per_label).where("_text is not null")
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_in(batches, 16):
@@ -242,5 +243,5 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The documents that the model doesn't reject, with the columns of ``docs``."""
-    cols = docs.columns
-    return identify(docs, model, text_col, "_lang", "_score", "_rejected").where(~F.col("_rejected")).select(*cols)
+    lang, score, rejected = free_names(docs, "_lang", "_score", "_rejected")
+    return identify(docs, model, text_col, lang, score, rejected).where(~F.col(rejected)).select(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rank import row_number_by
 from ..session import materialize
-from ._common import WORD
+from ._common import WORD, free_names
 
 SEED = "mix"
 _DRAWS = 2.0**52
@@ -105,12 +105,12 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = 3, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    cols = docs.columns
+    cols, (by, rate, turn, copy) = docs.columns, free_names(docs, "_mix_source", "_mix_rate", "_mix_turn", "_mix_copy")
     per = _with_turns(_sized(docs, id_col, text_col, source_col, seed), weights, share, cap).select(
-        F.col("_source").alias("_mix_source"), F.col("rate").alias("_mix_rate"), F.col("turn").alias("_mix_turn"))
-    out = docs.join(per, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    times = _copies(F.col("_mix_rate"), draw(F.col(id_col), F.col(text_col), seed), F.col("_mix_turn")).cast("int")
-    return out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*cols)
+        F.col("_source").alias(by), F.col("rate").alias(rate), F.col("turn").alias(turn))
+    out = docs.join(per, F.col(source_col).eqNullSafe(F.col(by)))
+    times = _copies(F.col(rate), draw(F.col(id_col), F.col(text_col), seed), F.col(turn)).cast("int")
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*cols)
 
 
 ORACLE = rf"""

@@ -134,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one = usable.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     ids = sample_per_label(one, "_id", "_label", rows_per_label)  # at most two times that many rows
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id").select("_id", "_label", "_text")
+    chosen = sample_per_label(chosen, "_id", "_label", rows_per_label)  # once more: an id may have any number of rows
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_in(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ._common import rows_in, shuffle_partitions, utf8
+from ._common import free_names, rows_in, shuffle_partitions, utf8
 from .components import components
 
 BITS = 64
@@ -154,10 +154,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
              radius: int = 2) -> DataFrame:
     """One document of each group, with the columns of ``docs``: the one of
     least id (null ids last), of equal ids the one that the scan numbered first."""
-    cols = docs.columns
-    tagged = materialize(add_fingerprints(docs, text_col, shingle, out="_fp")
-                         .withColumn("_row", F.monotonically_increasing_id()), "simhash-tagged")
-    rows = tagged.select(F.col("_fp").alias("fp"),
-                         F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_row").alias("_place"))
-    best = simhash_components(rows, "_place", radius).select("component._row").distinct()
-    return tagged.join(best, "_row", "left_semi").select(*cols)
+    cols, (fp, row) = docs.columns, free_names(docs, "_fp", "_row")
+    tagged = materialize(add_fingerprints(docs, text_col, shingle, out=fp)
+                         .withColumn(row, F.monotonically_increasing_id()), "simhash-tagged")
+    rows = tagged.select(F.col(fp).alias("fp"),
+                         F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("_row")).alias("_place"))
+    best = simhash_components(rows, "_place", radius).select(F.col("component._row").alias(row)).distinct()
+    return tagged.join(best, row, "left_semi").select(*cols)
