@@ -49,3 +49,16 @@ def test_of_two_thousand_labels_the_largest_are_learned(spark):
     rows = rows.select((F.col("label") * 1000 + F.col("k")).alias("_id"), F.concat(F.lit("l"), F.col("label").cast("string")).alias("_label"), F.lit("some text").alias("_text"))
     got = langid.sample_per_label(rows, "_id", "_label", 10).groupBy("_label").count().collect()
     assert len(got) == langid.MAX_LABELS and {r._label for r in got if r["count"] == 10} == {"l0", "l1", "l2"}
+
+
+def test_few_rows_are_ranked(spark):
+    """Only rows below the hash limit of their label reach the ranking."""
+    rows = spark.range(50_000).select(F.col("id").alias("_id"), F.lit("a").alias("_label"))
+    plans = []
+    original, langid.materialize = langid.materialize, lambda df, name: plans.append(df) or df
+    try:
+        langid.sample_per_label(rows, "_id", "_label", 100)
+    finally:
+        langid.materialize = original
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "_most" in plan[plan.index("Join"):].split("\n")[0]  # the limit is part of the join below the window

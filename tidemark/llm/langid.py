@@ -176,7 +176,8 @@ def sample_per_label(rows: DataFrame, id_col: str, label: str, n: int) -> DataFr
     counts = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min("_u").alias("least")).orderBy(F.col("n").desc(), label).limit(MAX_LABELS).collect()
     n = max(1, min(n, MAX_SAMPLE // max(1, len(counts))))
     limits = spark.createDataFrame([(r[0], max((1.5 * n + 50) / r.n, r.least)) for r in counts], f"_of {rows.schema[label].dataType.simpleString()}, _most double")
-    near = hashed.join(F.broadcast(limits), F.col(label) == F.col("_of"))  # MAX_LABELS rows at most.where(F.col("_u") <= F.col("_most"))
+    # The limits have MAX_LABELS rows at most.
+    near = hashed.join(F.broadcast(limits), F.col(label) == F.col("_of")).where(F.col("_u") <= F.col("_most"))
     w = Window.partitionBy(label).orderBy("_u", id_col, *[F.xxhash64(F.col(c)) for c in others])
     return materialize(near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).select(*rows.columns), "sampled-rows")
 
