@@ -177,6 +177,20 @@ def test_planted_passages_are_found(spark):
     assert planted and planted <= got and len(got) <= len(planted) * 1.1
 
 
+def test_one_pass_scores_as_training_and_scoring_do(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels, may_learn=queries.op7_may_learn())
+    got, same = quality.rank_quality(docs, labels, may_learn=queries.op7_may_learn())
+    assert same.anchor == model.anchor and got.columns == ["doc_id", "score"]
+    # Brute force: the fitted weights, row by row, outside Spark.
+    want = {r.doc_id: float(model.score(quality.features(r.text)[None, :])[0]) for r in docs.collect()}
+    assert {r.doc_id: r.score for r in got.collect()} == pytest.approx(want, abs=1e-9)
+    flat, _ = quality.rank_quality(odd(spark), labels.where("quality = 1"))
+    assert [r.score for r in flat.collect()] == pytest.approx([0.3] * len(ODD))
+    assert quality.rank_quality(docs.limit(0), labels)[0].count() == 0
+
+
 # ------------------------------------------------------------------ mixing
 
 
@@ -368,6 +382,19 @@ def test_fingerprint_tells_equal_from_unequal_and_locates_edits(spark):
     assert [a == b for a, b in zip(para[1], para[3])] == [True, True, True, False, True]
 
 
+def test_likeness_is_that_of_leaves_with_repeats(spark):
+    rng = random.Random(3)
+    words = ["a", "bb", "", "c"]
+    text = lambda: "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(0, 9)))
+    rows = [(text(), text()) for _ in range(150)] + [("tail " * 4000, "tail " * 2000 + "head " * 2000), ("", "x"), (None, "")]
+    df = merkle.with_tree(merkle.with_tree(spark.createDataFrame(rows, "a string, b string"), "a", "x"), "b", "y")
+    leaves = lambda t: collections.Counter(" ".join(p.split(" ")[k:k + 5]) for p in (t or "").split("\n") for k in range(0, len(p.split(" ")), 5))
+    for r in df.withColumn("like", merkle.likeness(F.col("x"), F.col("y"))).collect():
+        a, b = leaves(r.a), leaves(r.b)
+        assert r.like == pytest.approx(2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())))
+        assert len(r.x.leaves) == len(set(r.x.leaves)) == sum(a.values())
+
+
 def test_rows_of_one_id_are_spread_over_ranges(spark):
     ids = [7] * 300 + [None] * 300 + list(range(300)) + [250] * 100
     tie = lambda t: (h := xxhash.xxh64_intdigest(t, 42)) - (h >> 63 << 64)

@@ -13,7 +13,8 @@ the root cut to a few digits, as
 
 and comparing two of them from the root down leads to the branches that an edit
 touched.  The likeness of two fingerprints is the Dice coefficient of their
-sets of leaves.
+leaves with repeats: a leaf that stands three times in one and twice in the
+other counts as two common leaves, so repetitive texts keep their weight.
 """
 
 from __future__ import annotations
@@ -42,6 +43,19 @@ _SECTIONS = rf"((?:[^\n]*\n){{0,{SECTION - 1}}}[^\n]*)\n"
 _PHRASES = rf"([^ ]*(?: [^ ]*){{0,{PHRASE - 1}}}) "
 
 
+def _numbered(leaves: Column) -> Column:
+    """The leaves, each with the number of its occurrence, so that a plain
+    intersection of two such arrays is that of multisets.  Linear: runs of equal
+    leaves are cut from the sorted array."""
+    def of(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.transform(F.array(starts), lambda at: F.flatten(F.transform(at, lambda b, k: F.transform(
+            F.sequence(F.lit(1), F.coalesce(F.get(at, k + 1), F.size(s)) - b), lambda n: F.concat(F.get(s, b), F.lit(":"), n.cast("string"))))))[0]
+
+    # An array of one binds the sorted leaves (and the starts) to a variable, so they are made once.
+    return F.transform(F.array(F.array_sort(leaves)), of)[0]
+
+
 def _leaf_hashes(text: Column) -> Column:
     """array (sections) of arrays (paragraphs) of arrays (leaf hashes, whole)."""
     sections = F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(_SECTIONS), F.lit(1))
@@ -62,13 +76,13 @@ def _with_tree_of(df: DataFrame, leaves: str, out: str) -> DataFrame:
     body = F.array_join(F.transform(F.col(sections), lambda s: F.concat(F.substring(s["h"], 1, SECTION_HEX), F.lit(":"), s["below"])), "|")
     return (df.withColumn(paragraphs, named).withColumn(sections, nodes)
             .withColumn(out, F.struct(F.concat(root, F.lit("|"), body).alias("fp"),
-                                      F.array_distinct(cut(F.flatten(F.flatten(F.col(leaves))))).alias("leaves")))
+                                      _numbered(cut(F.flatten(F.flatten(F.col(leaves))))).alias("leaves")))
             .drop(paragraphs, sections))
 
 
 def with_tree(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """``df`` with ``out``: struct<fp: the fingerprint string, leaves: the
-    distinct leaf hashes (cut)>.  A null text counts as empty, which is a tree
+    leaf hashes (cut), each with the number of its occurrence>.  A null text counts as empty, which is a tree
     of one empty leaf.  A column of that name is replaced."""
     return _with_tree_of(df.withColumn("_own_leaves", _leaf_hashes(F.coalesce(F.col(text_col), F.lit("")))), "_own_leaves", out).drop("_own_leaves")
 
@@ -171,7 +185,8 @@ def _sql_tree(t: str) -> str:
     return f"""
       SELECT *, md5(array_to_string(list_transform(sections, lambda s: s.h), '')) || '|' ||
              array_to_string(list_transform(sections, lambda s: substr(s.h, 1, {SECTION_HEX}) || ':' || s.below), '|') AS fp,
-             list_distinct(list_transform(flatten(leaves), lambda h: substr(h, 1, {LEAF_HEX}))) AS cut
+             list_transform([list_sort(list_transform(flatten(leaves), lambda h: substr(h, 1, {LEAF_HEX})))],
+                     lambda hs: list_transform(hs, lambda h, i: h || ':' || (i - list_position(hs, h) + 1)))[1] AS cut
       FROM (
         SELECT *, list_transform(range(0, len(paragraphs), {SECTION}), lambda s: {{
             'h': md5(array_to_string(list_transform(list_slice(paragraphs, s + 1, s + {SECTION}), lambda p: p.h), '')),

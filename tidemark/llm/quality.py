@@ -122,12 +122,10 @@ def fit_pairs(x: np.ndarray, better: np.ndarray, pairs: int = 400_000, batch: in
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          may_learn: Column | None = None, rows_per_label: int = 2500) -> RankModel:
-    """Fit on at most ``rows_per_label`` documents of either label.  Rows with a
-    null id or label and those for which ``may_learn`` isn't true are left out;
-    an id labelled both ways counts as 0.  With a label missing altogether all
-    strengths are 0, so every score is ``cut``."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+        may_learn: Column | None = None, rows_per_label: int = 2500) -> tuple[RankModel, DataFrame]:
+    """The model, anchored by its sample alone, and one label for each id (_id,
+    _label) that may be learned from; see ``train``."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if may_learn is not None:
         usable = usable.where(may_learn)
@@ -146,28 +144,56 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = materialize(got, "quality-sample").toPandas()
     n = len(features(""))
     if got["label"].nunique() < 2:
-        return RankModel(np.zeros(n), np.zeros(n), np.ones(n))
+        return RankModel(np.zeros(n), np.zeros(n), np.ones(n)), one
     got = got.sort_values("id", kind="stable")
-    model = fit_pairs(np.stack(got["x"].to_numpy()), got["label"].to_numpy() == 1)
-    model.anchor = anchor_of_all(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), one, model)
+    return fit_pairs(np.stack(got["x"].to_numpy()), got["label"].to_numpy() == 1), one
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+          may_learn: Column | None = None, rows_per_label: int = 2500) -> RankModel:
+    """Fit on at most ``rows_per_label`` documents of either label.  Rows with a
+    null id or label and those for which ``may_learn`` isn't true are left out;
+    an id labelled both ways counts as 0.  With a label missing altogether all
+    strengths are 0, so every score is ``cut``."""
+    model, one = fit(docs, labels, id_col, text_col, label_col, may_learn, rows_per_label)
+    if model.weights.any():
+        src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null").join(one.select("_id"), "_id", "left_semi")
+        model.anchor = anchor_of_all(_strengths(src, model), one, model)
     return model
 
 
-def anchor_of_all(docs: DataFrame, one: DataFrame, model: RankModel) -> float:
-    """The strength that cuts off the share of label 0 of all documents
-    (_id, _text) with a label (_id, _label): between two strengths where that
-    share ends between them, or the strength that many rows there share.  The
-    rank is off by at most a hundred thousandth of the rows."""
-    src = docs.select("_text", "_id")
+def _strengths(src: DataFrame, model: RankModel) -> DataFrame:
+    """(_id, _text) -> (_id, _strength), a map."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_in(batches):
-            x = np.stack([features(t) for t in b.column(0).to_pylist()]) if b.num_rows else np.zeros((0, len(model.weights)))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(model.strength(x))], names=["_id", "_strength"])
-
-    kind = src.schema["_id"].dataType.simpleString()
-    all_rows = materialize(src.where("_id is not null").mapInArrow(run, f"_id {kind}, _strength double").join(one, "_id").select("_label", "_strength"),
-                           "quality-strengths")
+            x = np.stack([features(t) for t in b.column(1).to_pylist()]) if b.num_rows else np.zeros((0, len(model.weights)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.strength(x))], names=["_id", "_strength"])
+
+    return src.select("_id", "_text").mapInArrow(run, f"_id {src.schema['_id'].dataType.simpleString()}, _strength double")
+
+
+def rank_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+                 may_learn: Column | None = None, rows_per_label: int = 2500, score: str = "score") -> tuple[DataFrame, RankModel]:
+    """(id_col, ``score``) of every row, and the model: what ``train`` and
+    ``score_quality`` give for the same table, with one pass of features over its
+    texts.  The strengths are a table; the anchor and the scores both follow
+    from it."""
+    model, one = fit(docs, labels, id_col, text_col, label_col, may_learn, rows_per_label)
+    rows = materialize(_strengths(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), model), "quality-strengths")
+    if model.weights.any():
+        model.anchor = anchor_of_all(rows, one, model)
+    z = F.lit(model.slope) * (F.col("_strength") - F.lit(model.anchor)) + F.lit(float(np.log(model.cut / (1 - model.cut))))
+    value = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
+    return rows.select(F.col("_id").alias(id_col), value.alias(score)), model
+
+
+def anchor_of_all(strengths: DataFrame, one: DataFrame, model: RankModel) -> float:
+    """The strength that cuts off the share of label 0 of all rows (_id,
+    _strength) with a label (_id, _label): between two strengths where that
+    share ends between them, or the strength that many rows there share.  The
+    rank is off by at most a hundred thousandth of the rows."""
+    all_rows = materialize(strengths.where("_id is not null").join(one, "_id").select("_label", "_strength"), "quality-labelled")
     n, worse = all_rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("_label") == 0, 1))).first()
     s = F.col("_strength")
     at = all_rows.agg(F.percentile_approx(s, worse / n, 100_000)).first()[0]

@@ -83,8 +83,7 @@ def op7_may_learn():
 @register
 def op7_quality_ranking(spark, sf):
     docs = read_table(spark, sf, "documents")
-    model = quality.train(docs, read_table(spark, sf, "labels"), may_learn=op7_may_learn())
-    out = quality.score_quality(docs.select("doc_id", "text"), model)
+    out, model = quality.rank_quality(docs, read_table(spark, sf, "labels"), may_learn=op7_may_learn())
     return out.select("doc_id", (~op7_may_learn()).alias("held_out"), "score",
                       (F.col("score") >= model.cut).cast("int").alias("predicted"))
 
