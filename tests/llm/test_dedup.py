@@ -152,6 +152,34 @@ def test_line_runs_equal_brute_force(spark, m):
     assert got.columns == ["doc_id", "text", "_pos", "removed_runs", "kept"]
 
 
+def test_suffix_order_and_common_prefixes_equal_brute_force(spark):
+    rng = random.Random(8)
+    docs = ["\n".join(rng.choice("ab" if k % 3 else "abcdefgh") for _ in range(rng.randint(1, 13))) for k in range(50)]
+    docs += [docs[0], docs[1] + "\nq", "z\n" + docs[1], "unique\na\nb", "", "x\n" * 300]
+    rows = [(d, 0, k, len(t.split("\n")), x) for d, t in enumerate(docs) for k, x in enumerate(t.split("\n"))]
+    lines = spark.createDataFrame(rows, "_id long, _th long, _pos int, _n int, _line string")
+    order = linededup.suffix_order(lines)
+    got = sorted(order.collect(), key=lambda r: r._at)
+    count = collections.Counter(r[4] for r in rows)
+    cut = [t.split("\n") for t in docs]
+    assert sorted((r._id, r._pos) for r in got) == sorted((d, k) for d, _, k, _, x in rows if count[x] > 1)
+    shares = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    suffix = [cut[r._id][r._pos:] for r in got]
+    assert [r._lcp for r in got] == [0] + [shares(a, b) for a, b in zip(suffix, suffix[1:])]
+    seen = collections.defaultdict(set)
+    for d, ls in enumerate(cut):
+        for k in range(len(ls)):
+            for n in range(1, len(ls) - k + 1):
+                if len(ls) < 100:
+                    seen[tuple(ls[k:k + n])].add((d, k))
+    for r in linededup.longest_repeats(order).collect():
+        ls = cut[r._id]
+        if len(ls) < 100:
+            assert r.longest == max(n for n in range(1, len(ls) - r._pos + 1) if n == 1 or len(seen[tuple(ls[r._pos:r._pos + n])]) > 1)
+        else:  # from a line on, the lines up to the last "x" occur a line earlier (the first: later) too; the empty line, elsewhere
+            assert r.longest == max(1, min(299, 300 - r._pos))
+
+
 def test_long_lines_and_one_line_documents_need_no_neighbour(spark):
     long, other = " ".join(f"w{k}" for k in range(6)), " ".join(f"v{k}" for k in range(5))
     rows = [(1, long), (2, long), (3, f"a\n{long}\nb"), (4, f"c\n{other}\nd"), (5, f"e\n{other}\nf"), (6, "short"), (7, "short"),

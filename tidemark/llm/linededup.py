@@ -1,23 +1,27 @@
-"""Line dedup: repeated runs of lines, by prefix doubling over line-id sequences.
+"""Line dedup: a suffix array over line-id sequences by distributed prefix doubling.
 
 Every position (document, line number) stands for the suffix of its document
-that begins there.  Suffixes are named by their first line, then by their first
-2, 4, ... lines: the name of a suffix at a level is the *first* position of all
-that begin alike, so names are exact, comparable across the corpus, and a
-position is a later copy when its name isn't itself.  A level costs one window
-by document (the name 2^k lines further on), one aggregation by the pair of
-names and one join back; suffixes whose prefix occurs once are settled and drop
-out of all further levels.  The last level joins two overlapping names, so any
-``min_lines`` can be asked for; at 2, one step is all.  Suffixes are named, not
-ordered: no suffix array and no longest common prefix is made.  What the later
-copies of ``min_lines`` lines cover is deleted; a run of neighbouring ones may
-come from several sources.
+that begins there.  Lines that stand at two positions or more are ranked; a round
+ranks the suffixes that still share their rank by the pair (own rank, rank L
+lines further on) and doubles L, until each suffix is alone or equal to another
+up to the end of its document.  A rank is the number of suffixes before the
+group, so ranks of settled suffixes stay valid while others are refined.  A line
+that occurs once ends what its suffix can share, and such suffixes come last in
+their group, by position; so only repeated lines take part at all.
+
+Longest common prefixes of neighbours in suffix order: equal suffixes share all
+of their lines; where the lines before both agree the prefix is one less than
+that of the position before; the others, few, are compared line by line, up to
+the bound that the round in which they parted gives.  The intervals of the
+suffix order with common prefixes of ``min_lines`` or more are the repeats; the
+first position of an interval is their source, and what the others cover is deleted.
 
 With ``long_words`` a run qualifies by its content too: a single line of at
 least so many words, or one that is all of its document, needs no neighbour.
 
-A line or passage that a third of all documents hold is aggregated before the
-shuffle, and joined back in a sort-merge join that AQE splits.
+A line or passage that a third of all documents hold is numbered in ranges of
+(rank, next, position), aggregated before the shuffle, and joined back in a
+sort-merge join that AQE splits.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rank import row_number_by
 from ..session import materialize
 from ._common import WORD, shuffle_partitions
 
@@ -48,22 +53,107 @@ def _named(rows: DataFrame, by: list[str], shared: DataFrame | None = None) -> D
     return rows.join(_shared(rows, by) if shared is None else shared, by).select(*_KEY, "_pos", "name")
 
 
-def _joined(names: DataFrame, further: int) -> DataFrame:
-    """Names of L lines, and those ``further`` lines on, as the pair that stands for ``further`` + L lines."""
-    w = Window.partitionBy(*_KEY).orderBy("_pos").rangeBetween(further, further)
-    return names.withColumn("_next", F.first("name").over(w)).where("_next is not null")
-
-
-def repeated_positions(lines: DataFrame, min_lines: int, shared: DataFrame | None = None) -> DataFrame:
-    """Lines (_id, _th, _pos, _line) -> (_id, _th, _pos, name) of the positions
-    whose next ``min_lines`` lines occur at another position too.  ``shared``:
-    what ``_shared`` gives for the lines, if it is at hand."""
-    names, length = _named(lines, ["_line"], shared), 1
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        pairs = materialize(_joined(names, step).withColumnRenamed("name", "_first"), "line-pairs")
-        names, length = _named(pairs, ["_first", "_next"]), length + step
-    return names
+_UNIQUE = (1 << 62)  # in place of a rank: a line that occurs once
+_END = -1
+_BLOCK = 1 << 16     # entries of the suffix order in a block
+
+
+def _by_document():
+    return Window.partitionBy(*_KEY).orderBy("_pos")
+
+
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (one for each position) with ``_start`` and ``_members``: the first
+    number, in the order of ``by``, of the rows equal in it, and how many they are."""
+    numbered = row_number_by(rows, [*[F.col(c).asc() for c in by], *[F.col(c).asc() for c in (*_KEY, "_pos")]], out="_rn")
+    groups = numbered.groupBy(*by).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_members"))
+    groups = materialize(groups, "line-groups", shuffle_partitions(rows.sparkSession) // 4)
+    return numbered.join(groups, by)
+
+
+def suffix_ranks(lines: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Lines (_id, _th, _pos, _n, _line) -> (_id, _th, _pos, _n, _head, _rank,
+    _depth) of the positions whose line occurs at another position too: the rank
+    of the line and of the suffix, and twice the lines known to be shared with a
+    neighbour when it was settled, which no prefix shared with another suffix exceeds
+    but that of equal suffixes.  Equal ranks are equal suffixes."""
+    shared = _shared(lines, ["_line"]) if shared is None else shared
+    rows = lines.join(shared.select("_line"), "_line").select(*_KEY, "_pos", "_n", "_line").distinct()
+    state = _ranked(rows, ["_line"]).select(*_KEY, "_pos", "_n", F.col("_start").alias("_head"), F.col("_start").alias("_rank"),
+                                            F.lit(1).cast("long").alias("_depth"), F.lit(True).alias("_open"))
+    columns, done, length = state.columns[:-1], [], 1
+    state = materialize(state, "suffix-ranks")
+    while not state.where("_open").isEmpty():
+        ahead = F.first("_rank").over(_by_document().rangeBetween(length, length))
+        state = (state.withColumn("_next", F.when(F.col("_pos") + length >= F.col("_n"), F.lit(_END)).otherwise(F.coalesce(ahead, F.lit(_UNIQUE))))
+                 .withColumn("_active", F.max("_open").over(Window.partitionBy(*_KEY))))
+        state = materialize(state, "suffix-pairs")
+        done.append(state.where("not _active").select(*columns))  # documents without a suffix to refine
+        open_ = state.where("_open").drop("_open", "_active")
+        ranked = _ranked(open_, ["_rank", "_next"])
+        base = materialize(ranked.groupBy("_rank").agg(F.min("_start").alias("_base")), "suffix-bases", shuffle_partitions(lines.sparkSession) // 4)
+        alone = F.col("_next") == _UNIQUE  # each is different from all others
+        refined = ranked.join(base, "_rank").select(
+            *_KEY, "_pos", "_n", "_head", (F.col("_rank") + F.when(alone, F.col("_rn")).otherwise(F.col("_start")) - F.col("_base")).alias("_rank"),
+            F.lit(2 * length).cast("long").alias("_depth"), ((F.col("_members") > 1) & (F.col("_next") >= 0) & ~alone).alias("_open"))
+        rest = state.where("_active and not _open").select(*columns, F.lit(False).alias("_open"))
+        state, length = materialize(refined.unionByName(rest), "suffix-ranks"), 2 * length
+    for part in done:
+        state = state.select(*columns).unionByName(part)
+    return state.select(*columns)
+
+
+def suffix_order(lines: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Lines -> (_id, _th, _pos, _at, _lcp): the suffix array over repeated lines.
+    ``_at`` is the place in suffix order, from 1, and ``_lcp`` the number of lines
+    shared with the suffix before it there."""
+    ranks = suffix_ranks(lines, shared)
+    ranks = ranks.withColumn("_before", F.first("_head").over(_by_document().rangeBetween(-1, -1)))
+    order = row_number_by(ranks, [F.col(c).asc() for c in ("_rank", *_KEY, "_pos")], out="_at")
+    order = materialize(order, "suffix-order")
+    prev = order.select((F.col("_at") + 1).alias("_at"), F.struct(*_KEY, "_pos").alias("_p"), F.col("_rank").alias("_prank"), F.col("_head").alias("_pfirst"),
+                        F.col("_before").alias("_pbefore"), F.least(F.col("_depth"), F.col("_n") - F.col("_pos")).alias("_pmost"))
+    most = F.least("_pmost", "_depth", F.col("_n") - F.col("_pos"))
+    known = (F.when(F.col("_p").isNull() | (F.col("_head") != F.col("_pfirst")), F.lit(0).cast("long"))
+             .when(F.col("_rank") == F.col("_prank"), (F.col("_n") - F.col("_pos")).cast("long")))
+    pairs = order.join(prev, "_at", "left").withColumn("_lcp", known)
+    pairs = pairs.withColumn("_carried", F.col("_lcp").isNull() & F.coalesce(F.col("_before") == F.col("_pbefore"), F.lit(False)))
+    pairs = materialize(pairs.select(*_KEY, "_pos", "_at", "_lcp", "_carried", "_p", most.cast("int").alias("_most")), "suffix-neighbours")
+    open_ = pairs.where("_lcp is null and not _carried")
+    # Line by line, from the second line to the bound.
+    steps = open_.where("_most > 1").select("_at", *_KEY, "_pos", "_p", F.explode(F.sequence(F.lit(1), F.col("_most") - 1)).alias("_k"))
+    steps = steps.select("_at", "_k", *_KEY, (F.col("_pos") + F.col("_k")).alias("_pos"), F.col("_p._id").alias("_pid"), F.col("_p._th").alias("_pth"),
+                         (F.col("_p._pos") + F.col("_k")).alias("_ppos"))
+    one = order.select(*[F.col(c).alias(f"{c}1") for c in (*_KEY, "_pos")], F.col("_head").alias("_a"))
+    two = order.select(*[F.col(c).alias(f"{c}2") for c in (*_KEY, "_pos")], F.col("_head").alias("_b"))
+    same = steps.join(one, F.col("_id").eqNullSafe(F.col("_id1")) & (F.col("_th") == F.col("_th1")) & (F.col("_pos") == F.col("_pos1")), "left")
+    same = same.join(two, F.col("_pid").eqNullSafe(F.col("_id2")) & (F.col("_pth") == F.col("_th2")) & (F.col("_ppos") == F.col("_pos2")), "left")
+    parted = same.where(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).groupBy("_at").agg(F.min("_k").cast("long").alias("_parted"))
+    pairs = pairs.join(parted, "_at", "left")
+    lcp = F.when(F.col("_lcp").isNull() & ~F.col("_carried"), F.coalesce("_parted", F.col("_most").cast("long"))).otherwise(F.col("_lcp"))
+    pairs = pairs.select(*_KEY, "_pos", "_at", lcp.alias("_lcp"))
+    # The prefix of a carried position is that of the last position compared, less the lines between.
+    carried = F.last(F.col("_lcp") + F.col("_pos"), ignorenulls=True).over(_by_document().rowsBetween(Window.unboundedPreceding, 0))
+    return materialize(pairs.withColumn("_lcp", F.coalesce(F.col("_lcp"), carried - F.col("_pos"))), "suffix-lcp")
+
+
+def longest_repeats(order: DataFrame) -> DataFrame:
+    """(_id, _th, _pos, longest): the most lines from a position on that occur at another position too."""
+    after = order.select((F.col("_at") - 1).alias("_at"), F.col("_lcp").alias("_after"))
+    return order.join(after, "_at", "left").select(*_KEY, "_pos", F.greatest("_lcp", F.coalesce("_after", F.lit(0))).alias("longest"))
+
+
+def repeated_positions(order: DataFrame, min_lines: int) -> DataFrame:
+    """(_id, _th, _pos, name) of the positions in an interval of the suffix order
+    with common prefixes of ``min_lines`` or more; ``name`` is its first position."""
+    rows = order.withColumns({"_block": F.expr(f"_at div {_BLOCK}"), "_new": F.when(F.col("_lcp") < min_lines, F.col("_at"))})
+    # One row for each block: where the last interval begun in earlier blocks starts.
+    blocks = rows.groupBy("_block").agg(F.max("_new").alias("_new"))
+    blocks = blocks.select("_block", F.max("_new").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    w = Window.partitionBy("_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.max("_new").over(w)).join(blocks, "_block").withColumn("_interval", F.coalesce("_own", "_carry"))
+    rows = rows.select(*_KEY, "_pos", "_interval")
+    return _named(materialize(rows, "line-intervals"), ["_interval"])
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
@@ -72,14 +162,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     their sorted array of struct<from, to> (line numbers from 0, ``to`` left out)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = F.split(text, "\n")
-    size = [] if long_words is None else [F.size(cut).alias("_size")]
-    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), *size, F.posexplode(cut).alias("_pos", "_text"))
+    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), F.size(cut).alias("_n"), F.posexplode(cut).alias("_pos", "_text"))
     line = F.unhex(F.md5(F.col("_text").cast("binary"))).alias("_line")
-    long = [] if long_words is None else [((F.regexp_count("_text", F.lit(WORD)) >= long_words) | (F.col("_size") == 1)).alias("_long")]
-    lines = materialize(lines.select("_id", "_th", "_pos", line, *long), "lines")
+    long = [] if long_words is None else [((F.regexp_count("_text", F.lit(WORD)) >= long_words) | (F.col("_n") == 1)).alias("_long")]
+    lines = materialize(lines.select("_id", "_th", "_pos", "_n", line, *long), "lines")
     copies = lambda names, n: names.where(F.col("name") != _at()).select(*_KEY, "_pos", (F.col("_pos") + n).alias("_to"))
     shared = _shared(lines, ["_line"])
-    later = copies(repeated_positions(lines, min_lines, shared), min_lines)
+    later = copies(repeated_positions(suffix_order(lines, shared), min_lines), min_lines)
     if long:
         later = later.unionByName(copies(_named(lines.where("_long"), ["_line"], shared), 1))
     later = later.groupBy(*_KEY, "_pos").agg(F.max("_to").alias("_to"))
