@@ -63,12 +63,18 @@ def _by_document():
 
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` (one for each position) with ``_start`` and ``_members``: the first
-    number, in the order of ``by``, of the rows equal in it, and how many they are."""
-    numbered = row_number_by(rows, [*[F.col(c).asc() for c in by], *[F.col(c).asc() for c in (*_KEY, "_pos")]], out="_rn")
-    groups = numbered.groupBy(*by).agg(F.min("_rn").alias("_start"), F.count(F.lit(1)).alias("_members"))
-    groups = materialize(groups, "line-groups", shuffle_partitions(rows.sparkSession) // 4)
-    return numbered.join(groups, by)
+    """The distinct ``by`` of ``rows`` with ``_start``, the number of rows before
+    them in the order of ``by``, and ``_members``, the number of rows that have them.
+    Counted before the shuffle by ranges of ``by``; a range's rows are summed in it,
+    and shifted by the sums of the ranges before."""
+    spark = rows.sparkSession
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_members"))
+    groups = groups.repartitionByRange(shuffle_partitions(spark), *by).withColumn("_range", F.spark_partition_id())
+    groups = materialize(groups, "line-groups")
+    inside = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = groups.groupBy("_range").agg(F.sum("_members").alias("_sum"))  # one row for each range
+    shift = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    return groups.join(shift, "_range").select(*by, "_members", (F.coalesce(F.sum("_members").over(inside), F.lit(0)) + F.col("_shift")).alias("_start"))
 
 
 def suffix_ranks(lines: DataFrame, shared: DataFrame | None = None) -> DataFrame:
@@ -79,7 +85,7 @@ def suffix_ranks(lines: DataFrame, shared: DataFrame | None = None) -> DataFrame
     but that of equal suffixes.  Equal ranks are equal suffixes."""
     shared = _shared(lines, ["_line"]) if shared is None else shared
     rows = lines.join(shared.select("_line"), "_line").select(*_KEY, "_pos", "_n", "_line").distinct()
-    state = _ranked(rows, ["_line"]).select(*_KEY, "_pos", "_n", F.col("_start").alias("_head"), F.col("_start").alias("_rank"),
+    state = rows.join(_ranked(rows, ["_line"]), "_line").select(*_KEY, "_pos", "_n", F.col("_start").alias("_head"), F.col("_start").alias("_rank"),
                                             F.lit(1).cast("long").alias("_depth"), F.lit(True).alias("_open"))
     columns, done, length = state.columns[:-1], [], 1
     state = materialize(state, "suffix-ranks")
@@ -89,13 +95,16 @@ def suffix_ranks(lines: DataFrame, shared: DataFrame | None = None) -> DataFrame
                  .withColumn("_active", F.max("_open").over(Window.partitionBy(*_KEY))))
         state = materialize(state, "suffix-pairs")
         done.append(state.where("not _active").select(*columns))  # documents without a suffix to refine
-        open_ = state.where("_open").drop("_open", "_active")
-        ranked = _ranked(open_, ["_rank", "_next"])
-        base = materialize(ranked.groupBy("_rank").agg(F.min("_start").alias("_base")), "suffix-bases", shuffle_partitions(lines.sparkSession) // 4)
-        alone = F.col("_next") == _UNIQUE  # each is different from all others
-        refined = ranked.join(base, "_rank").select(
-            *_KEY, "_pos", "_n", "_head", (F.col("_rank") + F.when(alone, F.col("_rn")).otherwise(F.col("_start")) - F.col("_base")).alias("_rank"),
-            F.lit(2 * length).cast("long").alias("_depth"), ((F.col("_members") > 1) & (F.col("_next") >= 0) & ~alone).alias("_open"))
+        # Where the next line is unique the suffix differs from all others: its position stands beside the pair.
+        alone = F.when(F.col("_next") == _UNIQUE, _at())
+        open_ = state.where("_open").drop("_open", "_active").withColumn("_alone", alone)
+        ranked = _ranked(open_, ["_rank", "_next", "_alone"])
+        base = ranked.groupBy("_rank").agg(F.min("_start").alias("_base"))
+        ranked = materialize(ranked.join(base, "_rank").select(
+            "_rank", "_next", "_alone", (F.col("_rank") + F.col("_start") - F.col("_base")).alias("_new"), (F.col("_members") > 1).alias("_several")), "line-ranks")
+        refined = open_.join(ranked, (open_["_rank"] == ranked["_rank"]) & (open_["_next"] == ranked["_next"]) & open_["_alone"].eqNullSafe(ranked["_alone"]))
+        refined = refined.select(*_KEY, "_pos", "_n", "_head", F.col("_new").alias("_rank"), F.lit(2 * length).cast("long").alias("_depth"),
+                                 (F.col("_several") & (open_["_next"] >= 0)).alias("_open"))
         rest = state.where("_active and not _open").select(*columns, F.lit(False).alias("_open"))
         state, length = materialize(refined.unionByName(rest), "suffix-ranks"), 2 * length
     for part in done:
