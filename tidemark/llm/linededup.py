@@ -2,26 +2,29 @@
 
 Every position (document, line number) stands for the suffix of its document
 that begins there.  Lines that stand at two positions or more are ranked; a round
-ranks the suffixes that still share their rank by the pair (own rank, rank L
-lines further on) and doubles L, until each suffix is alone or equal to another
-up to the end of its document.  A rank is the number of suffixes before the
-group, so ranks of settled suffixes stay valid while others are refined.  A line
-that occurs once ends what its suffix can share, and such suffixes come last in
-their group, by position; so only repeated lines take part at all.
+ranks the suffixes that still share their rank by the ranks L, 2L, ... 7L lines
+further on, which is three doublings in one sort, and goes on with 8L, until each
+suffix is alone or equal to another up to the end of its document.  A rank is the
+number of suffixes before the group, so ranks of settled suffixes stay valid while
+others are refined, and documents whose suffixes are all settled take no further
+part.  A line that occurs once ends what its suffix can share, and such suffixes
+come last in their group, by position; so only repeated lines take part at all.
 
 Longest common prefixes of neighbours in suffix order: equal suffixes share all
-of their lines; where the lines before both agree the prefix is one less than
-that of the position before; the others, few, are compared line by line, up to
-the bound that the round in which they parted gives.  The intervals of the
-suffix order with common prefixes of ``min_lines`` or more are the repeats; the
-first position of an interval is their source, and what the others cover is deleted.
+of their lines; two that parted in a round share as many lines as the ranks
+equal in it say, exactly in the first round and within L lines in a later one.
+There, where the lines before both agree the prefix is one less than that of the
+position before, and the others, few, are compared line by line between the bounds.
+The intervals of the suffix order with common prefixes of ``min_lines`` or more
+are the repeats; the first position of an interval is their source, and what the
+others cover is deleted.
 
 With ``long_words`` a run qualifies by its content too: a single line of at
 least so many words, or one that is all of its document, needs no neighbour.
 
-A line or passage that a third of all documents hold is numbered in ranges of
-(rank, next, position), aggregated before the shuffle, and joined back in a
-sort-merge join that AQE splits.
+A line or passage that a third of all documents hold is spread over ranges of
+(rank, ranks ahead, position), each numbered in itself; what a range needs of the
+others is one row.
 """
 
 from __future__ import annotations
@@ -29,7 +32,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.rank import row_number_by
 from ..session import materialize
 from ._common import WORD, shuffle_partitions
 
@@ -56,57 +58,119 @@ def _named(rows: DataFrame, by: list[str], shared: DataFrame | None = None) -> D
 _UNIQUE = (1 << 62)  # in place of a rank: a line that occurs once
 _END = -1
 _BLOCK = 1 << 16     # entries of the suffix order in a block
+_TIMES = 8           # a round takes three doublings at once
+_PLACE = [*_KEY, "_pos"]
 
 
 def _by_document():
     return Window.partitionBy(*_KEY).orderBy("_pos")
 
 
-def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The distinct ``by`` of ``rows`` with ``_start``, the number of rows before
-    them in the order of ``by``, and ``_members``, the number of rows that have them.
-    Counted before the shuffle by ranges of ``by``; a range's rows are summed in it,
-    and shifted by the sums of the ranges before."""
-    spark = rows.sparkSession
-    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_members"))
-    groups = groups.repartitionByRange(shuffle_partitions(spark), *by).withColumn("_range", F.spark_partition_id())
-    groups = materialize(groups, "line-groups")
-    inside = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    sums = groups.groupBy("_range").agg(F.sum("_members").alias("_sum"))  # one row for each range
-    shift = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    return groups.join(shift, "_range").select(*by, "_members", (F.coalesce(F.sum("_members").over(inside), F.lit(0)) + F.col("_shift")).alias("_start"))
+def _in_ranges(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """A table of ``rows`` in ranges of ``order``, which tells all rows apart; ``_range`` is the range's place."""
+    return materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+
+
+def _inside(order: list[str]):
+    return Window.partitionBy("_range").orderBy(*order)
+
+
+def _ranges():
+    """Over one row for each range."""
+    return Window.orderBy("_range")
+
+
+def _earlier():
+    return _ranges().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _offset() -> Column:
+    return F.coalesce(F.sum("_count").over(_earlier()), F.lit(0)).alias("_offset")
+
+
+def _line_ranks(rows: DataFrame) -> DataFrame:
+    """``_line`` and ``_rank``, the number of rows with a lesser line; counted before the shuffle."""
+    groups = _in_ranges(rows.groupBy("_line").agg(F.count(F.lit(1)).alias("_members")), ["_line"], "line-groups")
+    ends = groups.groupBy("_range").agg(F.sum("_members").alias("_count")).select("_range", _offset())
+    before = F.coalesce(F.sum("_members").over(_inside(["_line"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return groups.withColumn("_before", before).join(ends, "_range").select("_line", (F.col("_before") + F.col("_offset")).alias("_rank"))
+
+
+def _parting(x: Column, y: Column, length: int) -> tuple[Column, Column]:
+    """The least and (one more than) the most lines shared by suffixes of one
+    rank, from the ranks ``length``, 2 ``length``, ... lines further on."""
+    k = F.array_position(F.zip_with(x, y, lambda a, b: (a != b) | (a == _UNIQUE)), True)
+    low = F.lit(length).cast("long") * k
+    a, b = F.get(x, (k - 1).cast("int")), F.get(y, (k - 1).cast("int"))
+    exact = F.lit(length == 1) | (F.least(a, b) == _END) | (F.greatest(a, b) == _UNIQUE)
+    return low, low + F.when(exact, F.lit(1)).otherwise(F.lit(length))
+
+
+def _refined(sorted_: DataFrame, length: int) -> DataFrame:
+    """A round: the rows of ``sorted_``, laid out by rank, ``_nexts`` and place,
+    with the ranks of suffixes ``_TIMES`` as long.  A group that spans ranges
+    takes its start from the range in which it begins."""
+    inside = _inside(["_rank", "_nexts", *_PLACE])
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    key = F.struct("_rank", "_nexts")
+    differs = lambda a, b: (a != b) | F.array_contains(b["_nexts"], F.lit(_UNIQUE))
+    low, high = _parting(F.col("_prev._nexts"), F.col("_nexts"), length)
+    begun = F.struct(F.col("_nth").alias("at"), low.alias("low"), high.alias("high"))
+    rows = sorted_.withColumns({"_nth": F.row_number().over(inside).cast("long"), "_prev": F.lag(key).over(inside), "_follow": F.lead(key).over(inside)})
+    rows = rows.withColumns({"_group": F.max(F.when(differs(F.col("_prev"), key), begun)).over(so_far),
+                             "_ranked": F.max(F.when(F.col("_prev._rank") != F.col("_rank"), F.col("_nth"))).over(so_far),
+                             "_several": ~differs(key, F.col("_follow"))})
+    rows = materialize(rows.drop("_prev", "_follow"), "suffix-groups")
+    ends = rows.groupBy("_range").agg(F.max("_nth").alias("_count"), F.min_by(key, "_nth").alias("_first"), F.max_by(key, "_nth").alias("_last"),
+                                      F.max("_group").alias("_g"), F.max("_ranked").alias("_r"))
+    ends = ends.select("*", _offset(), F.lag("_last").over(_ranges()).alias("_plast"), F.lead("_first").over(_ranges()).alias("_nfirst"))
+    low, high = _parting(F.col("_plast._nexts"), F.col("_first._nexts"), length)
+    shifted = lambda g: F.struct((g["at"] + F.col("_offset")).alias("at"), g["low"].alias("low"), g["high"].alias("high"))
+    here = F.struct((F.col("_offset") + 1).alias("at"), low.alias("low"), high.alias("high"))
+    ends = ends.withColumns({
+        "_g0": F.when(F.coalesce(differs(F.col("_plast"), F.col("_first")), F.lit(True)), here),
+        "_r0": F.when(F.coalesce(F.col("_plast._rank") != F.col("_first._rank"), F.lit(True)), F.col("_offset") + 1)})
+    ends = ends.withColumns({"_g": F.coalesce(F.when(F.col("_g").isNotNull(), shifted(F.col("_g"))), F.col("_g0")), "_r": F.coalesce(F.col("_r") + F.col("_offset"), F.col("_r0"))})
+    ends = ends.select("_range", "_offset", F.coalesce("_g0", F.last("_g", ignorenulls=True).over(_earlier())).alias("_g0"),
+                       F.coalesce("_r0", F.last("_r", ignorenulls=True).over(_earlier())).alias("_r0"),
+                       F.coalesce(~differs(F.col("_last"), F.col("_nfirst")), F.lit(False)).alias("_nsame"))
+    rows = rows.join(ends, "_range")
+    rows = rows.withColumns({"_group": F.coalesce(F.when(F.col("_group").isNotNull(), shifted(F.col("_group"))), F.col("_g0")),
+                             "_ranked": F.coalesce(F.col("_ranked") + F.col("_offset"), F.col("_r0"))})
+    several = F.coalesce("_several", "_nsame") | (F.col("_group.at") < F.col("_nth") + F.col("_offset"))
+    split = F.col("_open") & (F.col("_group.at") > F.col("_ranked"))
+    goes_on = F.element_at("_nexts", _TIMES - 1) >= 0
+    return rows.select(*_PLACE, "_n", "_head", F.when(split, F.col("_rank") + F.col("_group.at") - F.col("_ranked")).otherwise(F.col("_rank")).alias("_rank"),
+                       F.when(split, F.col("_group.low")).otherwise(F.col("_low")).alias("_low"),
+                       F.when(split, F.col("_group.high")).otherwise(F.col("_high")).alias("_high"),
+                       (F.col("_open") & several & goes_on).alias("_open"))
 
 
 def suffix_ranks(lines: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """Lines (_id, _th, _pos, _n, _line) -> (_id, _th, _pos, _n, _head, _rank,
-    _depth) of the positions whose line occurs at another position too: the rank
-    of the line and of the suffix, and twice the lines known to be shared with a
-    neighbour when it was settled, which no prefix shared with another suffix exceeds
-    but that of equal suffixes.  Equal ranks are equal suffixes."""
+    _low, _high) of the positions whose line occurs at another position too: the
+    rank of the line and of the suffix, and the bounds, the upper one left out, of
+    the lines shared with the suffixes of the next lesser rank.  Equal ranks are
+    equal suffixes."""
     shared = _shared(lines, ["_line"]) if shared is None else shared
-    rows = lines.join(shared.select("_line"), "_line").select(*_KEY, "_pos", "_n", "_line").distinct()
-    state = rows.join(_ranked(rows, ["_line"]), "_line").select(*_KEY, "_pos", "_n", F.col("_start").alias("_head"), F.col("_start").alias("_rank"),
-                                            F.lit(1).cast("long").alias("_depth"), F.lit(True).alias("_open"))
+    rows = lines.join(shared.select("_line"), "_line").select(*_PLACE, "_n", "_line").distinct()
+    state = rows.join(_line_ranks(rows), "_line").select(*_PLACE, "_n", F.col("_rank").alias("_head"), "_rank", F.lit(0).cast("long").alias("_low"),
+                                                         F.lit(1).cast("long").alias("_high"), F.lit(True).alias("_open"))
     columns, done, length = state.columns[:-1], [], 1
-    state = materialize(state, "suffix-ranks")
-    while not state.where("_open").isEmpty():
-        ahead = F.first("_rank").over(_by_document().rangeBetween(length, length))
-        state = (state.withColumn("_next", F.when(F.col("_pos") + length >= F.col("_n"), F.lit(_END)).otherwise(F.coalesce(ahead, F.lit(_UNIQUE))))
-                 .withColumn("_active", F.max("_open").over(Window.partitionBy(*_KEY))))
-        state = materialize(state, "suffix-pairs")
-        done.append(state.where("not _active").select(*columns))  # documents without a suffix to refine
-        # Where the next line is unique the suffix differs from all others: its position stands beside the pair.
-        alone = F.when(F.col("_next") == _UNIQUE, _at())
-        open_ = state.where("_open").drop("_open", "_active").withColumn("_alone", alone)
-        ranked = _ranked(open_, ["_rank", "_next", "_alone"])
-        base = ranked.groupBy("_rank").agg(F.min("_start").alias("_base"))
-        ranked = materialize(ranked.join(base, "_rank").select(
-            "_rank", "_next", "_alone", (F.col("_rank") + F.col("_start") - F.col("_base")).alias("_new"), (F.col("_members") > 1).alias("_several")), "line-ranks")
-        refined = open_.join(ranked, (open_["_rank"] == ranked["_rank"]) & (open_["_next"] == ranked["_next"]) & open_["_alone"].eqNullSafe(ranked["_alone"]))
-        refined = refined.select(*_KEY, "_pos", "_n", "_head", F.col("_new").alias("_rank"), F.lit(2 * length).cast("long").alias("_depth"),
-                                 (F.col("_several") & (open_["_next"] >= 0)).alias("_open"))
-        rest = state.where("_active and not _open").select(*columns, F.lit(False).alias("_open"))
-        state, length = materialize(refined.unionByName(rest), "suffix-ranks"), 2 * length
+    while True:
+        w = _by_document()
+        nexts = [F.when(F.col("_pos") + k * length >= F.col("_n"), F.lit(_END).cast("long")).otherwise(
+            F.coalesce(F.first("_rank").over(w.rangeBetween(k * length, k * length)), F.lit(_UNIQUE))) for k in range(1, _TIMES)]
+        # What follows a unique line tells nothing: the suffix differs from all others there.
+        cut = F.array_position("_nexts", F.lit(_UNIQUE))
+        nexts = state.withColumns({"_nexts": F.array(*nexts), "_active": F.max("_open").over(Window.partitionBy(*_KEY))})
+        nexts = nexts.withColumn("_nexts", F.when(F.col("_open"), F.when(cut > 0, F.transform("_nexts", lambda x, k: F.when(k < cut, x).otherwise(F.lit(_END).cast("long"))))
+                                                  .otherwise(F.col("_nexts"))).otherwise(F.array_repeat(F.lit(_END).cast("long"), _TIMES - 1)))
+        laid = _in_ranges(nexts, ["_rank", "_nexts", *_PLACE], "suffix-ranges")
+        done.append(laid.where("not _active").select(*columns))  # documents without a suffix to refine
+        state, length = _refined(laid.where("_active").drop("_active"), length), _TIMES * length
+        if state.where("_open").isEmpty():
+            break
     for part in done:
         state = state.select(*columns).unionByName(part)
     return state.select(*columns)
@@ -118,29 +182,33 @@ def suffix_order(lines: DataFrame, shared: DataFrame | None = None) -> DataFrame
     shared with the suffix before it there."""
     ranks = suffix_ranks(lines, shared)
     ranks = ranks.withColumn("_before", F.first("_head").over(_by_document().rangeBetween(-1, -1)))
-    order = row_number_by(ranks, [F.col(c).asc() for c in ("_rank", *_KEY, "_pos")], out="_at")
-    order = materialize(order, "suffix-order")
-    prev = order.select((F.col("_at") + 1).alias("_at"), F.struct(*_KEY, "_pos").alias("_p"), F.col("_rank").alias("_prank"), F.col("_head").alias("_pfirst"),
-                        F.col("_before").alias("_pbefore"), F.least(F.col("_depth"), F.col("_n") - F.col("_pos")).alias("_pmost"))
-    most = F.least("_pmost", "_depth", F.col("_n") - F.col("_pos"))
-    known = (F.when(F.col("_p").isNull() | (F.col("_head") != F.col("_pfirst")), F.lit(0).cast("long"))
-             .when(F.col("_rank") == F.col("_prank"), (F.col("_n") - F.col("_pos")).cast("long")))
-    pairs = order.join(prev, "_at", "left").withColumn("_lcp", known)
-    pairs = pairs.withColumn("_carried", F.col("_lcp").isNull() & F.coalesce(F.col("_before") == F.col("_pbefore"), F.lit(False)))
-    pairs = materialize(pairs.select(*_KEY, "_pos", "_at", "_lcp", "_carried", "_p", most.cast("int").alias("_most")), "suffix-neighbours")
-    open_ = pairs.where("_lcp is null and not _carried")
-    # Line by line, from the second line to the bound.
-    steps = open_.where("_most > 1").select("_at", *_KEY, "_pos", "_p", F.explode(F.sequence(F.lit(1), F.col("_most") - 1)).alias("_k"))
+    order = _in_ranges(ranks, ["_rank", *_PLACE], "suffix-order")
+    inside = _inside(["_rank", *_PLACE])
+    row = F.struct(*_PLACE, "_n", "_rank", "_before")
+    pairs = order.withColumns({"_nth": F.row_number().over(inside).cast("long"), "_p": F.lag(row).over(inside)})
+    ends = order.groupBy("_range").agg(F.count(F.lit(1)).alias("_count"), F.max_by(row, F.struct("_rank", *_PLACE)).alias("_last"))
+    ends = ends.select("_range", _offset(), F.lag("_last").over(_ranges()).alias("_plast"))
+    pairs = pairs.join(ends, "_range").withColumns({"_at": F.col("_nth") + F.col("_offset"), "_p": F.coalesce("_p", "_plast")})
+    left = (F.col("_n") - F.col("_pos")).cast("long")
+    most = F.least(F.col("_high") - 1, left, (F.col("_p._n") - F.col("_p._pos")).cast("long"))
+    pairs = pairs.withColumn("_most", most)
+    known = (F.when(F.col("_p").isNull(), F.lit(0).cast("long")).when(F.col("_rank") == F.col("_p._rank"), left)
+             .when(F.col("_most") <= F.col("_low"), F.col("_low")))
+    pairs = pairs.withColumn("_lcp", known)
+    pairs = pairs.withColumn("_carried", F.col("_lcp").isNull() & F.coalesce(F.col("_before") == F.col("_p._before"), F.lit(False)))
+    pairs = materialize(pairs.select(*_PLACE, "_at", "_lcp", "_carried", "_p", "_low", "_most"), "suffix-neighbours")
+    # Line by line between the bounds.
+    steps = pairs.where("_lcp is null and not _carried").select("_at", *_PLACE, "_p", F.explode(F.sequence(F.col("_low"), F.col("_most") - 1)).alias("_k"))
     steps = steps.select("_at", "_k", *_KEY, (F.col("_pos") + F.col("_k")).alias("_pos"), F.col("_p._id").alias("_pid"), F.col("_p._th").alias("_pth"),
                          (F.col("_p._pos") + F.col("_k")).alias("_ppos"))
-    one = order.select(*[F.col(c).alias(f"{c}1") for c in (*_KEY, "_pos")], F.col("_head").alias("_a"))
-    two = order.select(*[F.col(c).alias(f"{c}2") for c in (*_KEY, "_pos")], F.col("_head").alias("_b"))
+    one = order.select(*[F.col(c).alias(f"{c}1") for c in _PLACE], F.col("_head").alias("_a"))
+    two = order.select(*[F.col(c).alias(f"{c}2") for c in _PLACE], F.col("_head").alias("_b"))
     same = steps.join(one, F.col("_id").eqNullSafe(F.col("_id1")) & (F.col("_th") == F.col("_th1")) & (F.col("_pos") == F.col("_pos1")), "left")
     same = same.join(two, F.col("_pid").eqNullSafe(F.col("_id2")) & (F.col("_pth") == F.col("_th2")) & (F.col("_ppos") == F.col("_pos2")), "left")
-    parted = same.where(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).groupBy("_at").agg(F.min("_k").cast("long").alias("_parted"))
+    parted = same.where(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).groupBy("_at").agg(F.min("_k").alias("_parted"))
     pairs = pairs.join(parted, "_at", "left")
-    lcp = F.when(F.col("_lcp").isNull() & ~F.col("_carried"), F.coalesce("_parted", F.col("_most").cast("long"))).otherwise(F.col("_lcp"))
-    pairs = pairs.select(*_KEY, "_pos", "_at", lcp.alias("_lcp"))
+    lcp = F.when(F.col("_lcp").isNull() & ~F.col("_carried"), F.coalesce("_parted", "_most")).otherwise(F.col("_lcp"))
+    pairs = pairs.select(*_PLACE, "_at", lcp.alias("_lcp"))
     # The prefix of a carried position is that of the last position compared, less the lines between.
     carried = F.last(F.col("_lcp") + F.col("_pos"), ignorenulls=True).over(_by_document().rowsBetween(Window.unboundedPreceding, 0))
     return materialize(pairs.withColumn("_lcp", F.coalesce(F.col("_lcp"), carried - F.col("_pos"))), "suffix-lcp")
