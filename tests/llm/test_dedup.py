@@ -152,7 +152,17 @@ def test_line_runs_equal_brute_force(spark, m):
     assert got.columns == ["doc_id", "text", "_pos", "removed_runs", "kept"]
 
 
-def test_suffix_order_and_common_prefixes_equal_brute_force(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])  # one range, or groups that span ranges
+def test_suffix_order_and_common_prefixes_equal_brute_force(spark, coalesce):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        check_suffix_order(spark)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def check_suffix_order(spark):
     rng = random.Random(8)
     docs = ["\n".join(rng.choice("ab" if k % 3 else "abcdefgh") for _ in range(rng.randint(1, 13))) for k in range(50)]
     docs += [docs[0], docs[1] + "\nq", "z\n" + docs[1], "unique\na\nb", "", "x\n" * 300]
