@@ -57,7 +57,7 @@ def _named(rows: DataFrame, by: list[str], shared: DataFrame | None = None) -> D
 
 _UNIQUE = (1 << 62)  # in place of a rank: a line that occurs once
 _END = -1
-_BLOCK = 1 << 16     # entries of the suffix order in a block
+_BLOCK = 1 << 14     # entries of the suffix order in a block
 _TIMES = 8           # a round takes three doublings at once
 _PLACE = [*_KEY, "_pos"]
 
@@ -238,8 +238,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(_id, _th, runs) of the documents with a line run to delete: ``runs`` is
     their sorted array of struct<from, to> (line numbers from 0, ``to`` left out)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = F.split(text, "\n")
-    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), F.size(cut).alias("_n"), F.posexplode(cut).alias("_pos", "_text"))
+    # What is said of a text is said before it is exploded: above the lines it would be worked out for each of them.
+    cut = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), F.split(text, "\n").alias("_cut")).withColumn("_n", F.size("_cut"))
+    lines = cut.select(*_KEY, "_n", F.posexplode("_cut").alias("_pos", "_text"))
     line = F.unhex(F.md5(F.col("_text").cast("binary"))).alias("_line")
     long = [] if long_words is None else [((F.regexp_count("_text", F.lit(WORD)) >= long_words) | (F.col("_n") == 1)).alias("_long")]
     lines = materialize(lines.select("_id", "_th", "_pos", "_n", line, *long), "lines")
