@@ -256,6 +256,64 @@ def test_repeated_bytes_equal_brute_force(spark, length, period, block, ranges):
         assert sum(s["to"] - s["from"] for s in r.spans) == r.n_bytes - len(r.kept)
 
 
+def passages_expected(texts, least):
+    words = [t.split() for t in texts]
+    holders = collections.defaultdict(set)
+    for d, w in enumerate(words):
+        for i in range(len(w) - least + 1):
+            holders[tuple(w[i:i + least])].add(d)
+    out = []
+    for w in words:
+        shared = bytearray(len(w))
+        for i in range(len(w) - least + 1):
+            if len(holders[tuple(w[i:i + least])]) > 1:
+                shared[i:i + least] = b"\1" * least
+        out.append(sum(shared))
+    return out
+
+
+@pytest.mark.parametrize("least,period,block,ranges", [(5, 3, 60, 40), (9, 5, 500, 10**6), (13, 7, 10**6, 30)])
+def test_passages_of_words_equal_brute_force(spark, least, period, block, ranges):
+    rng = random.Random(least)
+    texts = []
+    for k in range(80):
+        some = lambda n: "".join(rng.choice("ab" if k % 9 == 0 else ["c", "dé", "e", "f", "g", "日本"]) + rng.choice(" \n\t\v") * rng.randint(1, 2) for _ in range(n))
+        t = some(rng.randint(0, 20))
+        if texts and rng.random() < 0.6:
+            src = rng.choice(texts).split()
+            at = rng.randint(0, len(src))
+            t += " ".join(src[at: at + rng.randint(0, 4 * least)]) + " " + some(rng.randint(0, 20))
+        if rng.random() < 0.2:
+            t += t  # in the same document only
+        texts.append(t)
+    texts += ["", " \n", "z " * 300, "y" * 40, texts[3], texts[4] + "tail", "h " * least + "own", " ".join(["q"] * least)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, None), (5, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = suffixes.repeated_bytes(df, length=12, period=5, block_bytes=block, range_names=ranges).collect()
+    got = suffixes.repeated_bytes(df, length=12, period=5, block_bytes=block, range_names=ranges, passage_words=least, passage_period=period).collect()
+    want = [(d, len((t or "").encode()), n) for (d, t), n in zip(rows, passages_expected([t or "" for _, t in rows], least))]
+    assert sorted(((r.doc_id, r.n_bytes, r.n_passage_words) for r in got), key=str) == sorted(want, key=str)
+    assert any(n for *_, n in want) and not all(n for *_, n in want)
+    short = lambda r: (r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept))
+    assert sorted(map(short, got), key=str) == sorted(map(short, plain), key=str)  # the removal is the same
+
+
+def test_op3_tells_of_passages_of_over_50_words_under_400_bytes(spark, tmp):
+    from tidemark.llm import queries
+
+    rng = random.Random(3)
+    word = lambda n: [f"{rng.choice('bcdfg')}{rng.randrange(10**4)}" for _ in range(n)]
+    passage, shorter = word(51), word(50)
+    assert len(" ".join(passage)) < 400
+    rows = [(1, " ".join(word(80) + passage + word(80))), (2, " ".join(word(30)) + "\n" + "\n".join(passage) + "\n" + " ".join(word(90))),
+            (3, " ".join(word(40) + shorter)), (4, " ".join(shorter + word(70))), (5, " ".join(passage[:50])),
+            (6, " ".join(["same"] * 51 + word(9) + ["same"] * 51)), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_substring_dedup(spark, tmp).collect()}
+    assert {d: r.n_passage_words for d, r in got.items()} == {1: 51, 2: 51, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+    assert all(r.n_removed == 0 for r in got.values())  # under 400 bytes: told of, not removed
+
+
 def test_difference_covers():
     for period in (5, 7, 13, 133, 50):
         d = suffixes.difference_cover(period).tolist()

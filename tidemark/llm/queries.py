@@ -131,14 +131,19 @@ def op10_token_counts(spark, sf):
                       F.sha2(F.col("counts.edited").cast("binary"), 256).alias("edited_sha256"))
 
 
+#: Passages of over 50 words.
+OP3_PASSAGE = 51
+
+
 @register
 def op3_substring_dedup(spark, sf):
-    out = suffixes.repeated_bytes(read_table(spark, sf, "documents"))
+    out = suffixes.repeated_bytes(read_table(spark, sf, "documents"), passage_words=OP3_PASSAGE)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
-    # What follows the contract's columns tells the outcome: what is left, in bytes and in characters, and whether anything went.
+    # What follows the contract's columns tells the outcome: what is left, in bytes and in characters, and whether anything went;
+    # and the words in passages that another document holds too, removed or (under 400 bytes) not.
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"),
-                      F.char_length(F.col("kept").cast("string")).cast("long").alias("n_kept_chars"), (removed > 0).alias("touched"))
+                      F.char_length(F.col("kept").cast("string")).cast("long").alias("n_kept_chars"), (removed > 0).alias("touched"), "n_passage_words")
 
 
 @register

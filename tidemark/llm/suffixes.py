@@ -33,6 +33,11 @@ Tuples only rule out; the answers come from 64-bit names.  The number of the
 range is a second hash, but only of as many values as there are ranges, so it
 adds log2(ranges) bits.
 
+*Passages.*  The same steps, in the same rounds, can run on words in place of
+bytes: the symbols are hashes of words, the length is a number of words, and only
+a string that another document holds counts.  That finds passages that are long
+in words and too short in bytes to be removed.
+
 The headings are the textbook's.  The recursion is unrolled to rounds of a fixed
 number that filter by fingerprint, and no order of suffixes is made or merged.
 
@@ -59,10 +64,12 @@ from ._common import rows_in, utf8
 BLOCK = 2 << 20
 #: Names that one range task sorts, about.
 RANGE = 1 << 20
-#: Bytes that are hashed at a time.
-STRETCH = 1 << 20
-#: A perfect difference set modulo 133 (every residue but 0 is a difference exactly once).
-COVERS = {133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)}
+#: Bytes that are hashed at a time, so few that a core's cache holds the sums.
+STRETCH = 1 << 15
+#: Perfect difference sets modulo 133 and 21 (every residue but 0 is a difference exactly once).
+COVERS = {133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109), 21: (0, 1, 4, 14, 16)}
+#: White space between words, by byte.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 ELSEWHERE, LEAST, ASKED = 1, 2, 4  # bits of an answer
 
@@ -87,6 +94,13 @@ def _family(which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def _sums(mark: np.ndarray) -> np.ndarray:
+    """How many marks there are before each position, and in all."""
+    total = np.zeros(len(mark) + 1, np.int64 if len(mark) >> 31 else np.int32)
+    np.cumsum(mark, out=total[1:], dtype=total.dtype)
+    return total
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -95,42 +109,67 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def fingerprints(data: np.ndarray, at: np.ndarray, length: int | np.ndarray, which: int) -> np.ndarray:
     """64-bit names of data[at : at + length] (``at`` ascending), in stretches so
-    that memory doesn't grow with the text."""
+    that memory doesn't grow with the text.  ``data``: bytes, or 64-bit hashes."""
     out = np.empty(len(at), np.uint64)
     lens = np.broadcast_to(np.asarray(length, np.int64), at.shape)
     longest = int(lens.max()) if len(at) else 0
-    values, up, down = _family(which, STRETCH + (longest // 4096 + 1) * 4096)
-    cuts = np.searchsorted(at, np.arange(0, len(data) + STRETCH, STRETCH))
+    over = (longest // 4096 + 1) * 4096
+    stretch = max(STRETCH, over)
+    values, up, down = _family(which, stretch + over)
+    cuts = np.searchsorted(at, np.arange(0, len(data) + stretch, stretch))
     for k in range(len(cuts) - 1):
         lo, hi = cuts[k], cuts[k + 1]
         if lo == hi:
             continue
-        start = k * STRETCH
-        part = data[start: start + STRETCH + longest]
+        start = k * stretch
+        part = data[start: start + stretch + longest]
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(values[part] * up[: len(part)], out=total[1:])
+        coded = values[part] if part.dtype == np.uint8 else _mix(part + values[0])
+        np.cumsum(coded * up[: len(part)], out=total[1:])
         i = at[lo:hi] - start
         h = (total[i + lens[lo:hi]] - total[i]) * down[i]
         out[lo:hi] = _mix(h + lens[lo:hi].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
+def words_of(lens: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each document has, and the words' hashes; no word reaches
+    over the end of a document."""
+    begin = np.concatenate([[0], np.cumsum(lens)])
+    first, last = begin[:-1][lens > 0], begin[1:][lens > 0] - 1
+    inside = ~SPACE[data]
+    head, tail = inside.copy(), inside.copy()
+    head[1:] &= ~inside[:-1]
+    tail[:-1] &= ~inside[1:]
+    head[first], tail[last] = inside[first], inside[last]
+    at = np.flatnonzero(head)
+    return np.diff(np.searchsorted(at, begin)), fingerprints(data, at, np.flatnonzero(tail) + 1 - at, 2)
+
+
 # ---------------------------------------------------------------- blocks
 
 
 class Block:
-    """Documents laid end to end, and their sampled positions."""
+    """Documents laid end to end (as bytes or hashes of words), and their sampled positions."""
 
     def __init__(self, lens: np.ndarray, data: np.ndarray, period: int):
         self.lens, self.data = lens, data
         self.begin = np.concatenate([[0], np.cumsum(lens)])
-        n = len(data)
-        start = np.repeat(self.begin[:-1], lens)
-        chosen = np.zeros(period, bool)
-        chosen[difference_cover(period)] = True
-        self.sampled = np.flatnonzero(chosen[(np.arange(n) - start) % period])
-        self.end = np.repeat(self.begin[1:], lens)  # by position: where its document ends
-        self.start = start
+        times = -(-lens // period)
+        tiles = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        at = (np.repeat(self.begin[:-1], times) + tiles * period)[:, None] + difference_cover(period)
+        self.sampled = at[at < np.repeat(self.begin[1:], times)[:, None]]
+
+    def start(self, at: np.ndarray) -> np.ndarray:
+        """Where the documents of these positions start."""
+        return self.begin[np.searchsorted(self.begin, at, "right") - 1]
+
+    def end(self, at: np.ndarray) -> np.ndarray:
+        return self.begin[np.searchsorted(self.begin, at, "right")]
+
+    def whole(self, period: int) -> np.ndarray:
+        """The sampled positions with a whole tuple."""
+        return self.sampled[self.sampled + period <= self.end(self.sampled)]
 
 
 def _pack(arr: np.ndarray) -> bytes:
@@ -177,10 +216,16 @@ def _block_rows(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
 
 class Names:
     """The names a block sends: distinct (range, name) pairs in order, and for
-    each place which of them it has."""
-
-    def __init__(self, ranges: np.ndarray, names: np.ndarray, asks: np.ndarray | None = None):
-        order = np.lexsort((names, ranges))
+    each place which of them it has.  With ``owners``, by place, a name is
+    elsewhere in the block where it has another owner."""
+
+    def __init__(self, ranges: np.ndarray, names: np.ndarray, asks: np.ndarray | None = None, owners: np.ndarray | None = None):
+        if names.dtype.itemsize == 4:
+            order = np.argsort((ranges << np.uint64(32)) | names)
+        else:
+            order = np.argsort(names)
+            small = ranges.astype(np.uint16) if not len(ranges) or ranges.max() < 1 << 16 else ranges  # sorted by radix
+            order = order[np.argsort(small[order], kind="stable")]
         r, v = ranges[order], names[order]
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
@@ -188,9 +233,13 @@ class Names:
         self.which = np.empty(len(r), np.int64)
         self.which[order] = group
         self.ranges, self.names = r[new], v[new]
-        self.count = np.bincount(group, minlength=len(self.names))
-        self.first = np.zeros(len(r), bool)  # lexsort is stable: the first place of each name
-        self.first[order[new]] = True
+        at = np.flatnonzero(new)
+        self.first = np.zeros(len(r), bool)  # the first place of each name
+        self.first[np.minimum.reduceat(order, at) if len(at) else at] = True
+        if owners is None or not len(at):
+            self.many = np.diff(at, append=len(r)) > 1
+        else:
+            self.many = np.minimum.reduceat(owners[order], at) != np.maximum.reduceat(owners[order], at)
         self.asks = np.zeros(len(self.names), np.uint8)
         if asks is not None:
             np.bitwise_or.at(self.asks, self.which, asks.astype(np.uint8))
@@ -209,9 +258,11 @@ class Names:
         code = np.full(len(self.names), LEAST, np.uint8)  # ranges where all is so send no answer
         for a in got or ():
             k = int(np.searchsorted(self.ranges, np.uint64(a["range"])))
+            if k == len(self.ranges) or self.ranges[k] != a["range"]:  # a range of the block's other names
+                continue
             raw = np.frombuffer(a["bits"], np.uint8)
             code[k: k + len(raw)] = raw
-        code |= np.where(self.count > 1, ELSEWHERE, 0).astype(np.uint8) | (self.asks * np.uint8(ASKED))
+        code |= self.many * np.uint8(ELSEWHERE) | (self.asks * np.uint8(ASKED))
         return code[self.which]
 
 
@@ -242,88 +293,103 @@ def _sorted_range(table: pa.Table, kind: str) -> pa.Table:
                      "bits": pa.array([p.tobytes() for _, p in rows], pa.binary())})
 
 
-def _ask(rows: DataFrame, names_of: Callable[[dict], Names], kind: str, step: str) -> DataFrame:
+def _ask(rows: DataFrame, names_of: Callable[[dict], Iterable[Names]], kind: str, step: str) -> DataFrame:
     """One round: every block's names out, sorted by range, answers back as
     (block, answers_<step>)."""
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_in(batches, 1):
             row = b.to_pylist()[0]
-            yield names_of(row).messages(row["block"])
+            for names in names_of(row):
+                yield names.messages(row["block"])
 
     told = rows.mapInArrow(send, MESSAGE).groupBy("range").applyInArrow(lambda t: _sorted_range(t, kind), ANSWER)
     return materialize(told.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias(f"answers_{step}")), f"answers-{step}")
 
 
-def _ranges(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+def _ranges(h: np.ndarray, n: int, first: int = 0) -> np.ndarray:
+    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)) + np.uint64(first)
 
 
 # ---------------------------------------------------------------- the steps
 
 
 class Depth:
-    """What the steps compute for one block; ``length`` and ``period`` fixed."""
+    """What the steps compute for one block; ``length`` and ``period`` fixed.
+
+    ``words``: on words, and repeats are those across documents.  ``which``: the
+    place among the depths that share their rounds; ``first``: its first range.
+    """
 
-    def __init__(self, length: int, period: int, ranges: int):
+    def __init__(self, length: int, period: int, ranges: int, words: bool = False, which: int = 0, first: int = 0):
         if period > (length + 1) // 2:
             raise ValueError("the period must leave a whole tuple in length - period + 1 bytes")
         self.length, self.period, self.ranges = length, period, ranges
+        self.words, self.which, self.first = words, which, first
         self.tiles = (length - period + 1) // period
         self.residues = len(difference_cover(period))
 
     def block(self, row: dict) -> Block:
-        return Block(np.array(row["lens"], np.int64), _unpack(row["data"]), self.period)
+        lens, data = np.array(row["lens"], np.int64), _unpack(row["data"])
+        return Block(*(words_of(lens, data) if self.words else (lens, data)), self.period)
+
+    def _zone_of(self, row: dict, b: Block) -> np.ndarray:
+        return np.unpackbits(_unpack(row["zones"][self.which]), count=len(b.data)).astype(bool)
+
+    def _owners(self, b: Block, at: np.ndarray) -> np.ndarray | None:
+        return b.start(at) if self.words else None
 
-    def _named(self, b: Block, at: np.ndarray, length, asks=None) -> Names:
-        return Names(_ranges(fingerprints(b.data, at, length, 0), self.ranges), fingerprints(b.data, at, length, 1), asks)
+    def _named(self, b: Block, at: np.ndarray, length, asks=None, owners=None) -> Names:
+        return Names(_ranges(fingerprints(b.data, at, length, 0), self.ranges, self.first), fingerprints(b.data, at, length, 1), asks, owners)
 
     # 1. sampled tuples
 
     def tuples(self, row: dict, b: Block | None = None) -> Names:
         b = b or self.block(row)
-        at = b.sampled[b.sampled + self.period <= b.end[b.sampled]]
+        at = b.whole(self.period)
         h = fingerprints(b.data, at, self.period, 0)
-        return Names(_ranges(h, self.ranges), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        return Names(_ranges(h, self.ranges, self.first), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), owners=self._owners(b, at))
 
     # 2. names of names, and what may repeat
 
     def zone(self, row: dict, b: Block) -> np.ndarray:
         """By position: may a string of ``length`` bytes that starts here repeat?"""
-        at = b.sampled[b.sampled + self.period <= b.end[b.sampled]]
+        at = b.whole(self.period)
         repeats = np.zeros(len(b.data) + 1, bool)
         repeats[at[self.tuples(row, b).answers(row["answers_1"]) & ELSEWHERE > 0]] = True
-        alive = at[at + self.tiles * self.period <= b.end[at]]
+        alive = at[at + self.tiles * self.period <= b.end(at)]
         for k in range(self.tiles):
             alive = alive[repeats[alive + k * self.period]]
         edge = np.zeros(len(b.data) + 1, np.int32)
-        np.add.at(edge, np.maximum(alive - self.period + 1, b.start[alive] if len(alive) else 0), 1)
+        np.add.at(edge, np.maximum(alive - self.period + 1, b.start(alive)), 1)
         np.add.at(edge, alive + 1, -1)
-        may = np.cumsum(edge)[:-1] > 0
-        return may & (np.arange(len(b.data)) + self.length <= b.end)
+        may = np.cumsum(edge, dtype=np.int32)[:-1] > 0
+        for s, e in zip(b.begin[:-1].tolist(), b.begin[1:].tolist()):
+            may[max(s, e - self.length + 1): e] = False
+        return may
 
     def strings(self, b: Block, zone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The sampled positions with a zone position before the next one: where
         they are, where the next one is, and whether their string fits."""
         here = b.sampled
         after = np.append(here[1:], len(b.data))
-        after = np.minimum(after, b.end[here]) if len(here) else after
-        inside = np.concatenate([[0], np.cumsum(zone)])
+        after = np.minimum(after, b.end(here))
+        inside = _sums(zone)
         some = inside[after] > inside[here]
         here, after = here[some], after[some]
-        return here, after, after + self.length <= b.end[here]
+        return here, after, after + self.length <= b.end(here)
 
     def string_names(self, row: dict, b: Block | None = None, zone: np.ndarray | None = None) -> Names:
         b = b or self.block(row)
-        here, after, fits = self.strings(b, _zone_of(row) if zone is None else zone)
-        return self._named(b, here[fits], after[fits] - here[fits] + self.length)
+        here, after, fits = self.strings(b, self._zone_of(row, b) if zone is None else zone)
+        return self._named(b, here[fits], after[fits] - here[fits] + self.length, owners=self._owners(b, here[fits]))
 
     # 3. who asks, who answers
 
     def roles(self, row: dict, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """By position: asks (zone, its string didn't repeat), may answer (zone,
         first copy of a repeated string); and the repeated strings (from, to)."""
-        zone = _zone_of(row)
+        zone = self._zone_of(row, b)
         here, after, fits = self.strings(b, zone)
         names = self.string_names(row, b, zone)
         code = np.zeros(len(here), np.uint8)
@@ -338,18 +404,18 @@ class Depth:
             spread[:] = 0
             np.add.at(spread, here[some], 1)
             np.add.at(spread, after[some], -1)
-            out[:] = (np.cumsum(spread[:-1]) > 0) & zone
+            out[:] = (np.cumsum(spread[:-1], dtype=np.int8) > 0) & zone
         return asks, answers, here[repeats], after[repeats] + self.length
 
     def class_names(self, row: dict, b: Block | None = None, roles=None) -> tuple[Names, np.ndarray]:
         """The tuples of names behind which a position asks or may answer."""
         b = b or self.block(row)
         asks, answers, _, _ = roles or self.roles(row, b)
-        at = b.sampled[b.sampled + self.tiles * self.period <= b.end[b.sampled]]
-        low = np.maximum(at - self.period + 1, b.start[at]) if len(at) else at
+        at = b.whole(self.tiles * self.period)
+        low = np.maximum(at - self.period + 1, b.start(at))
         some = []
         for mark in (asks, answers):
-            total = np.concatenate([[0], np.cumsum(mark)])
+            total = _sums(mark)
             some.append(total[at + 1] > total[low])
         keep = some[0] | some[1]
         return self._named(b, at[keep], self.tiles * self.period, some[0][keep]), at[keep]
@@ -363,28 +429,25 @@ class Depth:
         names, at = self.class_names(row, b, roles)
         asked = at[names.answers(row["answers_3"]) & ASKED > 0]
         edge = np.zeros(len(b.data) + 1, np.int32)
-        np.add.at(edge, np.maximum(asked - self.period + 1, b.start[asked] if len(asked) else 0), 1)
+        np.add.at(edge, np.maximum(asked - self.period + 1, b.start(asked)), 1)
         np.add.at(edge, asked + 1, -1)
-        send = np.flatnonzero(asks | (answers & (np.cumsum(edge)[:-1] > 0)))
-        return self._named(b, send, self.length), send, asks, roles
+        send = np.flatnonzero(asks | (answers & (np.cumsum(edge, dtype=np.int32)[:-1] > 0)))
+        # What answers has a copy in another document, so it is no document's own.
+        owners = np.where(asks[send], b.start(send), -1) if self.words else None
+        return self._named(b, send, self.length, owners=owners), send, asks, roles
 
     def covered(self, row: dict, b: Block) -> np.ndarray:
-        """By position: is the byte in a repeat?"""
+        """By position: is the byte (or word) in a repeat?"""
         names, send, asks, (_, _, start, stop) = self.suffix_names(row, b)
         hit = send[(names.answers(row["answers_4"]) & ELSEWHERE > 0) & asks[send]]
         edge = np.zeros(len(b.data) + 1, np.int32)
         np.add.at(edge, np.concatenate([hit, start]), 1)
         np.add.at(edge, np.concatenate([hit + self.length, stop]), -1)
-        return np.cumsum(edge)[:-1] > 0
-
-
-def _zone_of(row: dict) -> np.ndarray:
-    n = int(sum(row["lens"]))
-    return np.unpackbits(_unpack(row["zone"]), count=n).astype(bool)
+        return np.cumsum(edge, dtype=np.int32)[:-1] > 0
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, period: int = 133,
-                   block_bytes: int = BLOCK, range_names: int = RANGE) -> DataFrame:
+                   block_bytes: int = BLOCK, range_names: int = RANGE, passage_words: int | None = None, passage_period: int = 21) -> DataFrame:
     """One row per input row: id_col, n_bytes, ``spans`` (array of struct<from,
     to>: the maximal runs of repeated bytes, ``to`` left out) and ``kept`` (the
     other bytes).
@@ -393,10 +456,20 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the end of a document.  Rows with equal ids are documents of their own.
     Texts shorter than ``length`` repeat nothing.  No other column is read; an
     empty table gives no rows.
+
+    ``passage_words``: a further column ``n_passage_words``, the words that lie
+    in a run of so many words that another document holds too, whatever white
+    space is between them.  It removes nothing.
     """
     blocks = materialize(_block_rows(docs, id_col, text_col, block_bytes), "blocks")
     n_bytes = blocks.agg(F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
-    d = Depth(length, period, max(1, int(n_bytes * len(difference_cover(period)) / period / range_names)))
+
+    def ranges(n: int, period: int) -> int:
+        return max(1, int(n * len(difference_cover(period)) / period / range_names))
+
+    depths = [Depth(length, period, ranges(n_bytes, period))]
+    if passage_words is not None:  # four bytes a word, so that short words don't fill a range
+        depths.append(Depth(passage_words, passage_period, ranges(n_bytes // 4, passage_period), words=True, which=1, first=depths[0].ranges))
     ids_type = blocks.schema["ids"].dataType.simpleString()
 
     def answered(rows: DataFrame, *steps: DataFrame) -> DataFrame:
@@ -404,36 +477,42 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = rows.join(s, "block", "left")
         return rows
 
-    one = _ask(blocks, d.tuples, "<u4", "1")
+    one = _ask(blocks, lambda row: [d.tuples(row) for d in depths], "<u4", "1")
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block as two rows: the documents that are settled, and those with a zone."""
         for b in rows_in(batches, 1):
             row = b.to_pylist()[0]
-            k = d.block(row)
-            zone = d.zone(row, k)
-            has = np.add.reduceat(np.append(zone, False).astype(np.int64), k.begin[:-1]) * (k.lens > 0) > 0
+            lens, data = np.array(row["lens"], np.int64), _unpack(row["data"])
+            has, zones = np.zeros(len(lens), bool), []
+            for d in depths:
+                k = d.block(row)
+                zone = d.zone(row, k)
+                has |= np.add.reduceat(np.append(zone, False).astype(np.int64), k.begin[:-1]) * (k.lens > 0) > 0
+                zones.append((k.lens, zone))
             for alive in (False, True):
                 docs_of = np.flatnonzero(has == alive)
                 if not len(docs_of):
                     continue
-                mask = np.repeat(has == alive, k.lens)
+                mask = np.repeat(has == alive, lens)
+                left = [_pack(np.packbits(zone[np.repeat(has, n)])) for n, zone in zones] if alive else None
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([[row["ids"][i] for i in docs_of]], b.schema.field(1).type), pa.array([k.lens[docs_of].tolist()], pa.list_(pa.int64())),
-                     pa.array([_pack(k.data[mask])], pa.binary()), pa.array([_pack(np.packbits(zone[mask])) if alive else None], pa.binary())],
-                    names=["block", "ids", "lens", "data", "zone"])
+                    [b.column(0), pa.array([[row["ids"][i] for i in docs_of]], b.schema.field(1).type), pa.array([lens[docs_of].tolist()], pa.list_(pa.int64())),
+                     pa.array([_pack(data[mask])], pa.binary()), pa.array([left], pa.list_(pa.binary()))],
+                    names=["block", "ids", "lens", "data", "zones"])
 
-    work = materialize(answered(blocks, one).mapInArrow(part, f"block bigint, ids {ids_type}, lens array<bigint>, data binary, zone binary"), "blocks-left")
-    open_ = work.where("zone is not null")
-    two = _ask(open_, d.string_names, "<u8", "2")
-    three = _ask(answered(open_, two), lambda row: d.class_names(row)[0], "<u8", "3")
-    four = _ask(answered(open_, two, three), lambda row: d.suffix_names(row)[0], "<u8", "4")
+    work = materialize(answered(blocks, one).mapInArrow(part, f"block bigint, ids {ids_type}, lens array<bigint>, data binary, zones array<binary>"), "blocks-left")
+    open_ = work.where("zones is not null")
+    two = _ask(open_, lambda row: [d.string_names(row) for d in depths], "<u8", "2")
+    three = _ask(answered(open_, two), lambda row: [d.class_names(row)[0] for d in depths], "<u8", "3")
+    four = _ask(answered(open_, two, three), lambda row: [d.suffix_names(row)[0] for d in depths], "<u8", "4")
 
     def result(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_in(batches, 1):
             row = b.to_pylist()[0]
             lens, data = np.array(row["lens"], np.int64), _unpack(row["data"])
-            gone = d.covered(row, d.block(row)) if row.get("zone") is not None else np.zeros(len(data), bool)
+            is_open = row.get("zones") is not None
+            gone = depths[0].covered(row, depths[0].block(row)) if is_open else np.zeros(len(data), bool)
             begin = np.concatenate([[0], np.cumsum(lens)])
             spans, kept = [], []
             for s, e in zip(begin[:-1].tolist(), begin[1:].tolist()):
@@ -441,10 +520,16 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 step = np.flatnonzero(np.diff(own, prepend=False, append=False)) if len(own) else np.empty(0, int)
                 spans.append([{"from": int(x), "to": int(y)} for x, y in zip(step[::2], step[1::2])])
                 kept.append(data[s:e][~own].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row["ids"], b.schema.field(1).type.value_type), pa.array(lens), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=[id_col, "n_bytes", "spans", "kept"])
-
-    schema = f"`{id_col}` {ids_type[6:-1]}, n_bytes bigint, spans array<struct<from:bigint,to:bigint>>, kept binary"
-    settled = work.where("zone is null").select("block", "ids", "lens", "data")
+            out = {id_col: pa.array(row["ids"], b.schema.field("ids").type.value_type), "n_bytes": pa.array(lens),
+                   "spans": pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), "kept": pa.array(kept, pa.binary())}
+            if passage_words is not None:
+                shared = np.zeros(len(lens), np.int64)
+                if is_open:
+                    k = depths[1].block(row)
+                    shared = np.diff(np.concatenate([[0], np.cumsum(depths[1].covered(row, k))])[k.begin])
+                out["n_passage_words"] = pa.array(shared)
+            yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
+
+    schema = f"`{id_col}` {ids_type[6:-1]}, n_bytes bigint, spans array<struct<from:bigint,to:bigint>>, kept binary" + ", n_passage_words bigint" * (passage_words is not None)
+    settled = work.where("zones is null").select("block", "ids", "lens", "data")
     return settled.mapInArrow(result, schema).unionByName(answered(open_, two, three, four).mapInArrow(result, schema))
